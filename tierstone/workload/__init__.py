@@ -1 +1 @@
-from tierstone.workload import star  # noqa: F401
+from tierstone.workload import landing, star  # noqa: F401
