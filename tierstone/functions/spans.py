@@ -45,76 +45,70 @@ TASK_MARK = TASK_FIELDS["task_id"]
 NESTING = 3
 
 
-def _either(value: Column, camel: str, snake: str, as_type: str) -> Column:
-    return F.coalesce(
-        F.try_variant_get(value, f"$.{camel}", as_type),
-        F.try_variant_get(value, f"$.{snake}", as_type),
-    )
+# One typed OTLP value as from_json reads it. Lists and key lists stay JSON text and are
+# only parsed where they occur.
+_KINDS = ("string", "int", "double", "bool", "array", "kvlist")
+_FIELDS = ", ".join(f"{k}Value string, {k}_value string" for k in _KINDS)
+VALUE_TYPE = f"struct<{_FIELDS}>"
+LIST_TYPE = f"array<struct<key string, value {VALUE_TYPE}>>"
+# An element of a list is a value, one of a key list a key with a value: one type reads both.
+_ELEMENTS = f"values array<struct<key string, value {VALUE_TYPE}, {_FIELDS}>>"
 
 
-def _scalar_text(value: Column) -> Column:
-    return F.coalesce(
-        _either(value, "stringValue", "string_value", "string"),
-        _either(value, "intValue", "int_value", "string"),
-        _either(value, "doubleValue", "double_value", "string"),
-        _either(value, "boolValue", "bool_value", "string"),
-    )
+def _part(value: Column, kind: str) -> Column:
+    return F.coalesce(value[f"{kind}Value"], value[f"{kind}_value"])
 
 
-def _json(value: Column, depth: int) -> Column:
-    """One typed value as JSON text; null stays null."""
-    quoted = F.to_json(F.struct(_either(value, "stringValue", "string_value", "string").alias("v")))
-    text = F.when(
-        _either(value, "stringValue", "string_value", "string").isNotNull(),
-        # {"v":"..."} without its wrapper
-        F.regexp_extract(quoted, r'(?s)^\{"v":(.*)\}$', 1),
-    ).otherwise(_scalar_text(value))
-    return F.coalesce(text, _container(value, depth)) if depth else text
+def _quoted(text: Column) -> Column:
+    """A JSON string; the wrapper {"v":"..."} is cut off again."""
+    wrapped = F.to_json(F.struct(text.alias("v")))
+    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
-def _container(value: Column, depth: int) -> Column:
-    items = _either(value, "arrayValue.values", "array_value.values", "array<variant>")
-    pairs = _either(value, "kvlistValue.values", "kvlist_value.values", "array<variant>")
-    item_text = F.array_join(
-        F.transform(items, lambda v: _json(v, depth - 1)), ",", null_replacement="null"
-    )
-    pair_text = F.array_join(
-        F.transform(
-            pairs,
-            lambda p: F.concat(
-                F.regexp_extract(
-                    F.to_json(F.struct(F.try_variant_get(p, "$.key", "string").alias("v"))),
-                    r'(?s)^\{"v":(.*)\}$',
-                    1,
-                ),
-                F.lit(":"),
-                F.coalesce(_json(F.try_variant_get(p, "$.value", "variant"), depth - 1), F.lit("null")),
-            ),
-        ),
-        ",",
-    )
-    return F.when(items.isNotNull(), F.concat(F.lit("["), item_text, F.lit("]"))).when(
-        pairs.isNotNull(), F.concat(F.lit("{"), pair_text, F.lit("}"))
-    )
+def _listed(raw: Column, is_list: Column, depth: int) -> Column:
+    """A list or key list as plain JSON text, followed `depth` levels down."""
+
+    def part(element: Column, kind: str) -> Column:
+        return F.coalesce(_part(element, kind), _part(element["value"], kind))
+
+    def plain(element: Column) -> Column:
+        options = [part(element, k) for k in ("int", "double", "bool")]
+        if depth:
+            inner = F.coalesce(part(element, "array"), part(element, "kvlist"))
+            options.append(_listed(inner, part(element, "array").isNotNull(), depth - 1))
+        text = part(element, "string")
+        return F.when(text.isNotNull(), _quoted(text)).otherwise(F.coalesce(*options, F.lit("null")))
+
+    def entry(element: Column) -> Column:
+        key = F.when(element["key"].isNotNull(), F.concat(_quoted(element["key"]), F.lit(":")))
+        return F.concat(F.coalesce(key, F.lit("")), plain(element))
+
+    elements = F.coalesce(F.from_json(raw, _ELEMENTS)["values"], F.array())
+    joined = F.array_join(F.transform(elements, entry), ",")
+    opening, closing = F.when(is_list, "[").otherwise("{"), F.when(is_list, "]").otherwise("}")
+    return F.when(raw.isNotNull(), F.concat(opening, joined, closing))
 
 
 def attribute_text(value: Column) -> Column:
-    """A typed OTLP value (VARIANT) as text; lists and key lists become JSON text."""
-    return F.coalesce(_scalar_text(value), _container(value, NESTING))
+    """A typed OTLP value as text; lists and key lists become JSON text, bytes null."""
+    scalar = [_part(value, k) for k in ("string", "int", "double", "bool")]
+    raw = F.coalesce(_part(value, "array"), _part(value, "kvlist"))
+    return F.coalesce(*scalar, _listed(raw, _part(value, "array").isNotNull(), NESTING))
+
+
+def one_attr(listed: Column, key: str) -> Column:
+    """The last plain text value of one key, without building the map."""
+    hits = F.filter(listed, lambda a: a["key"] == key)
+    return _part(F.try_element_at(hits, F.lit(-1))["value"], "string")
 
 
 def attrs(listed: Column) -> Column:
-    """array<struct<key, value variant>> to map<string,string>, later duplicates win."""
+    """LIST_TYPE to map<string,string>, later duplicates win."""
     keyed = F.filter(listed, lambda a: a["key"].isNotNull())
-    return F.coalesce(
-        F.map_from_entries(
-            F.transform(
-                keyed,
-                lambda a: F.struct(a["key"].alias("key"), attribute_text(a["value"]).alias("value")),
-            )
-        ),
-        F.create_map().cast("map<string,string>"),
+    entries = F.transform(
+        keyed, lambda a: F.struct(a["key"].alias("key"), attribute_text(a["value"]).alias("value"))
     )
+    return F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string,string>"))
 
 
 def first_attr(attributes: Column, keys: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierstone.functions import spans as S
 from tierstone.operators.ancestry import above, nearest_or_self
 from tierstone.operators.ranking import first_per_key
+from tierstone.session import settle
 from tierstone.sources.bronze import nest_children
 
 KEY = ["trace_id", "span_id"]
@@ -25,41 +26,61 @@ def one_per_span(spans: DataFrame) -> DataFrame:
     return first_per_key(spans, KEY, [F.col("start_unix_nano").desc(), F.col("duration_ms").desc_nulls_last()])
 
 
-def owning_run(tagged: DataFrame) -> DataFrame:
+def reach(tagged: DataFrame) -> DataFrame:
+    """trace_id, mark, span_id, found: for each span the nearest agent run (mark 'run')
+    and the nearest task span (mark 'task') at or above it. Both searches walk the same
+    forest, so they share the rounds: the mark is one more part of the key."""
+    marks = F.inline(
+        F.array(
+            F.struct(F.lit("run").alias("mark"), (F.col("kind") == "agent_run").alias("_hit")),
+            F.struct(F.lit("task").alias("mark"), F.map_contains_key("attributes", F.lit(S.TASK_MARK)).alias("_hit")),
+        )
+    )
+    nodes = tagged.select(*KEY, "parent_span_id", marks)
+    return nearest_or_self(nodes, "span_id", "parent_span_id", F.col("_hit"), ["trace_id", "mark"])
+
+
+def _marked(reached: DataFrame, mark: str) -> DataFrame:
+    return reached.filter(F.col("mark") == mark).drop("mark")
+
+
+def owning_run(tagged: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """trace_id, span_id, ancestor: the agent run a span descends from."""
-    nodes = tagged.select(*KEY, "parent_span_id", "kind")
-    reached = nearest_or_self(nodes, "span_id", "parent_span_id", F.col("kind") == "agent_run", ["trace_id"])
-    return above(nodes, "span_id", "parent_span_id", reached, ["trace_id"])
+    found = _marked(reach(tagged) if reached is None else reached, "run")
+    return above(tagged, "span_id", "parent_span_id", found, ["trace_id"])
 
 
-def task_context(tagged: DataFrame) -> DataFrame:
+def task_context(tagged: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """trace_id, span_id and the five fields of the nearest task span at or above it."""
-    marked = F.map_contains_key("attributes", F.lit(S.TASK_MARK))
-    nodes = tagged.select(*KEY, "parent_span_id", marked.alias("_task"))
-    reached = nearest_or_self(nodes, "span_id", "parent_span_id", F.col("_task"), ["trace_id"])
-    fields = tagged.filter(marked).select(
+    found = _marked(reach(tagged) if reached is None else reached, "task")
+    fields = tagged.filter(F.map_contains_key("attributes", F.lit(S.TASK_MARK))).select(
         "trace_id",
         F.col("span_id").alias("found"),
         *[F.try_element_at("attributes", F.lit(k)).alias(n) for n, k in S.TASK_FIELDS.items()],
     )
-    return reached.join(fields, ["trace_id", "found"], "left").drop("found")
+    return found.join(fields, ["trace_id", "found"], "left").drop("found")
 
 
 def owned_spans(tagged: DataFrame, owners: DataFrame) -> DataFrame:
-    """Tool calls and model calls below an agent run, keyed by that run."""
-    calls = tagged.filter(F.col("kind").isin("tool_call", "model_call"))
-    return (
-        calls.join(owners.filter("ancestor is not null"), KEY)
-        .withColumnRenamed("ancestor", "run_span_id")
+    """Tool calls and model calls below an agent run, keyed by that run. Written once:
+    the counts and both tool lists read it, and the joins behind it are the wide ones."""
+    a = F.col("attributes")
+    named = F.coalesce(F.nullif(F.try_element_at(a, F.lit(S.TOOL_NAME)), F.lit("")), F.col("name"))
+    calls = tagged.filter(F.col("kind").isin("tool_call", "model_call")).select(
+        *KEY,
+        "kind",
+        "start_unix_nano",
+        "duration_ms",
+        F.when(F.col("kind") == "tool_call", named).alias("tool"),
+        F.when(F.col("kind") == "model_call", S.offered_tools(a)).alias("offered"),
     )
+    owned = calls.join(owners.filter("ancestor is not null"), KEY).withColumnRenamed("ancestor", "run_span_id")
+    return settle(owned, "owned-spans")
 
 
 def tool_calls(owned: DataFrame) -> DataFrame:
     """One row per tool call of a run."""
-    name = F.coalesce(F.nullif(F.try_element_at("attributes", F.lit(S.TOOL_NAME)), F.lit("")), F.col("name"))
-    return owned.filter("kind = 'tool_call'").select(
-        *RUN, "span_id", "start_unix_nano", name.alias("tool"), "duration_ms"
-    )
+    return owned.filter("kind = 'tool_call'").select(*RUN, "span_id", "start_unix_nano", "tool", "duration_ms")
 
 
 def tool_call_lists(owned: DataFrame, segment_rows: int = 10_000, slice_nanos: int = 60_000_000_000) -> DataFrame:
@@ -93,7 +114,7 @@ def tools_used(calls: DataFrame) -> DataFrame:
 def tools_offered(owned: DataFrame) -> DataFrame:
     offered = (
         owned.filter("kind = 'model_call'")
-        .select(*RUN, "start_unix_nano", "span_id", F.posexplode(S.offered_tools(F.col("attributes"))).alias("_place", "tool"))
+        .select(*RUN, "start_unix_nano", "span_id", F.posexplode("offered").alias("_place", "tool"))
     )
     return _seen_first(offered, "tool", "tools_available")
 
@@ -103,7 +124,8 @@ def agent_runs(spans: DataFrame) -> DataFrame:
     it ran under. The individual calls are rows of tool_calls / tool_call_lists; a run
     carries their number and the distinct names."""
     tagged = tag(spans)
-    owned = owned_spans(tagged, owning_run(tagged))
+    reached = reach(tagged)
+    owned = owned_spans(tagged, owning_run(tagged, reached))
     calls = tool_calls(owned)
     counts = calls.groupBy(*RUN).agg(F.count(F.lit(1)).alias("tool_call_count"))
     a = F.col("attributes")
@@ -125,7 +147,7 @@ def agent_runs(spans: DataFrame) -> DataFrame:
         S.first_attr(a, S.MESSAGES).alias("prompt"),
         F.to_json(S.json_or_raw(S.first_attr(a, S.FINAL_RESULT))).alias("output"),
     )
-    context = task_context(tagged).withColumnRenamed("span_id", "run_span_id")
+    context = task_context(tagged, reached).withColumnRenamed("span_id", "run_span_id")
     empty = F.array().cast("array<string>")
     return (
         runs.join(counts, RUN, "left")

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierstone.functions.spans import attrs
+from tierstone.functions.spans import LIST_TYPE, attrs, one_attr
 
 # Both spellings of every key are read; the first one present wins.
-_LISTED = "array<struct<key string, value variant>>"
 _SPAN = (
     "struct<traceId string, trace_id string, spanId string, span_id string,"
     " parentSpanId string, parent_span_id string, name string,"
     " startTimeUnixNano string, start_time_unix_nano string,"
     " endTimeUnixNano string, end_time_unix_nano string,"
-    f" attributes {_LISTED}>"
+    f" attributes {LIST_TYPE}>"
 )
 _SCOPE = f"array<struct<spans array<{_SPAN}>>>"
-_RESOURCE = f"array<struct<resource struct<attributes {_LISTED}>, scopeSpans {_SCOPE}, scope_spans {_SCOPE}>>"
+_RESOURCE = f"array<struct<resource struct<attributes {LIST_TYPE}>, scopeSpans {_SCOPE}, scope_spans {_SCOPE}>>"
 LINE_SCHEMA = f"resourceSpans {_RESOURCE}, resource_spans {_RESOURCE}"
 
 
@@ -34,7 +33,7 @@ def flatten_spans(lines: DataFrame, text_col: str = "value") -> DataFrame:
         F.explode(F.coalesce("line.resourceSpans", "line.resource_spans")).alias("r")
     )
     scopes = resources.select(
-        F.try_element_at(attrs(F.col("r.resource.attributes")), F.lit("service.name")).alias("service_name"),
+        one_attr(F.col("r.resource.attributes"), "service.name").alias("service_name"),
         F.explode(F.coalesce("r.scopeSpans", "r.scope_spans")).alias("scope"),
     )
     spans = scopes.select("service_name", F.explode("scope.spans").alias("s"))
