@@ -132,6 +132,35 @@ def _within_estimate() -> Column:
     return F.col("delivery_days") <= F.col("avg_transit_days")
 
 
+def order_refunds(refunds: DataFrame) -> DataFrame:
+    """What was paid back, one row per refunded order."""
+    return refunds.groupBy("order_id").agg(
+        F.sum("amount_credits").alias("_refunded"), _rows().alias("refund_count")
+    )
+
+
+def order_outcomes(orders: DataFrame, refunds: DataFrame, shipments: DataFrame, routes: DataFrame) -> DataFrame:
+    """Orders with their refund and delivery: the part of fct_orders the marts read. All
+    joins but the one to the routes share the order key, so they need one exchange each."""
+    sent = shipments.select("order_id", "shipment_id", "shipped_at", "delivered_at", "delivery_days", "shipment_status")
+    lanes = routes.select("route_id", "route_name", "avg_transit_days")
+    return (
+        orders.join(order_refunds(refunds), "order_id", "left")
+        .join(sent, "order_id", "left")
+        .join(lanes, "route_id", "left")
+        .withColumns(
+            {
+                "ordered_date": F.to_date("ordered_at"),
+                "refunded_credits": F.coalesce("_refunded", F.lit(0)),
+                "refund_count": F.coalesce("refund_count", F.lit(0)),
+                "was_refunded": F.col("_refunded").isNotNull(),
+                "delivered_on_time": _within_estimate(),
+            }
+        )
+        .drop("_refunded", "avg_transit_days")
+    )
+
+
 def fct_orders(
     orders: DataFrame, order_items: DataFrame, payments: DataFrame, refunds: DataFrame, shipments: DataFrame,
     routes: DataFrame,
@@ -140,42 +169,18 @@ def fct_orders(
     refunds are grouped before they meet the orders; a second payment or shipment of an
     order would repeat it (check them with quality.unique)."""
     lines = order_items.groupBy("order_id").agg(_rows().alias("line_count"), F.sum("quantity").alias("unit_count"))
-    refunded = refunds.groupBy("order_id").agg(
-        F.sum("amount_credits").alias("_refunded"), _rows().alias("refund_count")
-    )
     paid = payments.select("order_id", "charge_id", "payment_status", "payment_method")
-    sent = shipments.select("order_id", "shipment_id", "shipped_at", "delivered_at", "delivery_days", "shipment_status")
-    lanes = routes.select("route_id", "route_name", "avg_transit_days")
-    wide = orders
-    for other in (lines, paid, refunded, sent):
-        wide = wide.join(other, "order_id", "left")
-    return wide.join(lanes, "route_id", "left").select(
-        "order_id",
-        "customer_id",
-        "order_status",
-        "ordered_at",
-        F.to_date("ordered_at").alias("ordered_date"),
-        "route_id",
-        "route_name",
+    with_lines = orders.join(lines, "order_id", "left").join(paid, "order_id", "left")
+    return order_outcomes(with_lines, refunds, shipments, routes).select(
+        "order_id", "customer_id", "order_status", "ordered_at", "ordered_date", "route_id", "route_name",
         F.coalesce(_key("hub", "destination_hub_id"), _key("station", "destination_station_id")).alias(
             "destination_location_key"
         ),
-        "destination_name",
-        "revenue_credits",
+        "destination_name", "revenue_credits",
         _zero("line_count"),
         _zero("unit_count"),
-        "charge_id",
-        "payment_status",
-        "payment_method",
-        F.coalesce("_refunded", F.lit(0)).alias("refunded_credits"),
-        _zero("refund_count"),
-        F.col("_refunded").isNotNull().alias("was_refunded"),
-        "shipment_id",
-        "shipped_at",
-        "delivered_at",
-        "delivery_days",
-        "shipment_status",
-        _within_estimate().alias("delivered_on_time"),
+        "charge_id", "payment_status", "payment_method", "refunded_credits", "refund_count", "was_refunded",
+        "shipment_id", "shipped_at", "delivered_at", "delivery_days", "shipment_status", "delivered_on_time",
     )
 
 
@@ -338,12 +343,29 @@ def mart_product_performance(
 ) -> DataFrame:
     """One row per product: sales, support and refunds. The refund rate of a product
     that sold without refunds is null; its tickets per hundred units is 0."""
-    sales = order_lines.groupBy("product_sku").agg(
-        F.count_distinct("order_id").alias("order_count"),
-        F.sum("quantity").alias("units_sold"),
-        F.sum("line_revenue_credits").alias("revenue_credits"),
-        exact_mean("unit_price_credits").alias("avg_unit_price_credits"),
-        exact_mean("unit_price_variance_credits").alias("avg_price_variance_credits"),
+    # One row per product and order first: the distinct orders, and those with a refund,
+    # are then plain counts of one pass, and lines joined by order stay where they are.
+    refunded = orders.filter("was_refunded").select("order_id", F.lit(True).alias("_refunded"))
+    per_order = (
+        order_lines.join(refunded, "order_id", "left")
+        .groupBy("order_id", "product_sku")
+        .agg(
+            F.first("_refunded").alias("_refunded"),
+            F.sum("quantity").alias("_units"),
+            F.sum("line_revenue_credits").alias("_revenue"),
+            F.sum("unit_price_credits").alias("_price"),
+            F.count("unit_price_credits").alias("_prices"),
+            F.sum("unit_price_variance_credits").alias("_variance"),
+            F.count("unit_price_variance_credits").alias("_variances"),
+        )
+    )
+    sales = per_order.groupBy("product_sku").agg(
+        F.count("order_id").alias("order_count"),
+        F.nullif(F.count_if(F.col("_refunded")), F.lit(0)).alias("_refunded_orders"),
+        F.sum("_units").alias("units_sold"),
+        F.sum("_revenue").alias("revenue_credits"),
+        ratio(F.sum("_price"), F.sum("_prices")).alias("avg_unit_price_credits"),
+        ratio(F.sum("_variance"), F.sum("_variances")).alias("avg_price_variance_credits"),
     )
     support = (
         tickets.filter("product_sku is not null")
@@ -354,14 +376,8 @@ def mart_product_performance(
             F.avg("satisfaction_rating").alias("avg_satisfaction_rating"),
         )
     )
-    returned = (
-        order_lines.select("product_sku", "order_id")
-        .join(orders.filter("was_refunded").select("order_id"), "order_id", "left_semi")
-        .groupBy("product_sku")
-        .agg(F.count_distinct("order_id").alias("_refunded_orders"))
-    )
     wide = product
-    for part in (sales, support, returned):
+    for part in (sales, support):
         wide = wide.join(part, "product_sku", "left")
     return wide.select(
         "product_sku", "product_name", "category_name", "parent_category_name", "is_hazardous",

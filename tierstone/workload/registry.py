@@ -19,7 +19,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # set on the instance, so the footers of a table are read once per query
+        setattr(self, name, self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+        return self.__dict__[name]
 
 
 def query(name: str, sql: str | None = None):

@@ -252,7 +252,8 @@ WITH["order_shipments"] = """
 
 
 def order_shipments(t: Tables) -> DataFrame:
-    grouped = t.lineitem.groupBy("l_orderkey").agg(
+    # grouped by the text key the orders are joined on: one exchange serves both
+    grouped = t.lineitem.groupBy(text("l_orderkey").alias("order_id")).agg(
         F.min("l_suppkey").cast("int").alias("route_id"),
         F.min("l_shipdate").cast("timestamp").alias("shipped_at"),
         F.max("l_quantity").alias("_units"),
@@ -264,8 +265,8 @@ def order_shipments(t: Tables) -> DataFrame:
         F.unix_micros("shipped_at") + (F.col("_units") * 23).cast("bigint") * F.lit(3_600_000_000)
     )
     return grouped.withColumn("delivered_at", F.when(done, arrival)).select(
-        text("l_orderkey").alias("order_id"),
-        F.concat(F.lit("sh-"), text("l_orderkey")).alias("shipment_id"),
+        "order_id",
+        F.concat(F.lit("sh-"), "order_id").alias("shipment_id"),
         "route_id",
         "shipped_at",
         "delivered_at",
@@ -310,10 +311,10 @@ WITH["orders"] = """
 
 def orders(t: Tables) -> DataFrame:
     """Orders on the route of their first supplier; an order without lines has none."""
-    lead = t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").cast("int").alias("route_id"))
-    return plain_orders(t).drop("route_id").join(
-        lead.select(text("l_orderkey").alias("order_id"), "route_id"), "order_id", "left"
+    lead = t.lineitem.groupBy(text("l_orderkey").alias("order_id")).agg(
+        F.min("l_suppkey").cast("int").alias("route_id")
     )
+    return plain_orders(t).drop("route_id").join(lead, "order_id", "left")
 
 
 WITH["plain_orders"] = WITH["orders"].partition("FROM orders LEFT JOIN")[0].replace("r.route_id", "NULL AS route_id") + "FROM orders"

@@ -282,6 +282,11 @@ def orders_fact(t: Tables) -> DataFrame:
     )
 
 
+def outcomes(t: Tables) -> DataFrame:
+    """The part of the order fact the marts read."""
+    return G.order_outcomes(I.orders(t), I.refunds(t), I.order_shipments(t), I.routes(t))
+
+
 @query(
     "fct_orders",
     with_sql(
@@ -466,7 +471,7 @@ def mart_customer_360(t: Tables) -> DataFrame:
     mart = G.mart_customer_360(
         G.dim_customer(I.customers(t), I.planets(t)),
         G.dim_date(I.window(t)),
-        orders_fact(t),
+        outcomes(t),
         tickets_fact(t),
         lines_fact(t),
         I.product_categories(t),
@@ -503,7 +508,10 @@ def mart_customer_360(t: Tables) -> DataFrame:
 def mart_product_performance(t: Tables) -> DataFrame:
     return plain(
         G.mart_product_performance(
-            G.dim_product(I.products(t), I.product_categories(t)), lines_fact(t), orders_fact(t), tickets_fact(t)
+            G.dim_product(I.products(t), I.product_categories(t)),
+            lines_fact(t),
+            G.order_refunds(I.refunds(t)).withColumn("was_refunded", F.lit(True)),
+            tickets_fact(t),
         )
     )
 
@@ -534,7 +542,7 @@ def mart_product_performance(t: Tables) -> DataFrame:
     ),
 )
 def mart_route_performance(t: Tables) -> DataFrame:
-    return plain(G.mart_route_performance(I.routes(t), shipments_fact(t), orders_fact(t), _locations(t)))
+    return plain(G.mart_route_performance(I.routes(t), shipments_fact(t), I.orders(t), _locations(t)))
 
 
 # --- aggregates on their own ---------------------------------------------------------
