@@ -35,7 +35,14 @@ def eval_records(responses: DataFrame, scores: DataFrame, spans: DataFrame, task
         *RUN, F.col("model").alias("_model"), "trace_id", "span_id", "input_tokens", "output_tokens",
         "reasoning_tokens", "cost", "duration_ms", "tool_call_count", "tools_available",
     )
-    joined = responses.join(scores.select(*RUN, "scores", "scored_at"), RUN, "left").join(traced, RUN, "left")
+    # inner plus anti instead of one left join: an inner join of two stored tables can
+    # split a run that has a large share of all spans, a left join cannot split its right side
+    with_span = traced.join(responses, RUN)
+    without = responses.join(traced.select(*RUN), RUN, "left_anti")
+    judged = scores.select(*RUN, "scores", "scored_at")
+    joined = with_span.join(judged, RUN, "left").unionByName(
+        without.join(judged, RUN, "left"), allowMissingColumns=True
+    )
     return joined.select(
         F.concat_ws(":", *RUN).alias("eval_id"),
         *RUN,

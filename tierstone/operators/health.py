@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierstone.functions.columns import second_text
 from tierstone.operators.membership import contained, missing
 from tierstone.operators.ranking import top_n
+from tierstone.session import settle
 
 # Fixed value: how many asset names a summary spells out.
 SAMPLE = 5
@@ -24,15 +25,16 @@ def failure_streak(
 ) -> DataFrame:
     """Failures since the last success, for entities that have any.
 
-    No ranking of the history: the newest success per entity is a small aggregate with
-    map-side combining, and only failed runs meet it. AQE broadcasts it when it is
-    small and splits the failures of a hot entity when it is not.
+    No ranking of the history: the newest success per entity is an aggregate with
+    map-side combining, and only failed runs meet it. It is written out first: from a
+    stored table AQE knows its size, broadcasts it when that is small, and otherwise
+    splits the failures of a hot entity, which it cannot do beside an aggregate.
     """
     stamped = runs.withColumn("_when", _recency(at, tiebreak))
     newest = stamped.filter(F.col(state) == success).groupBy(entity).agg(F.max("_when").alias("_success"))
     failed = stamped.filter(F.col(state) == failure).select(entity, "_when")
     return (
-        failed.join(newest, entity, "left")
+        failed.join(settle(newest, "newest-success"), entity, "left")
         .filter(F.col("_success").isNull() | (F.col("_when") > F.col("_success")))
         .groupBy(entity)
         .agg(F.count(F.lit(1)).alias("consecutive_failures"))

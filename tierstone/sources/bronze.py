@@ -30,14 +30,15 @@ def as_text(df: DataFrame) -> DataFrame:
 
 
 def load_bronze(
-    df: DataFrame, table_dir: str, source: str | Column, run_id: str, now: str | None = None
+    df: DataFrame, table_dir: str, source: str | Column, run_id: str, now: str | None = None, mixed: bool = False
 ) -> int:
     """Land df under its source label(s) and return the number of rows written.
 
     Labels are partitions and only the written ones are replaced, so a stable label
-    replaces itself, a new one appends, and an empty batch changes nothing. The
-    rebalance hint lets AQE split the files of a label that holds most of the rows
-    and merge the tiny ones, instead of one writer per label.
+    replaces itself, a new one appends, and an empty batch changes nothing. Rows go
+    straight from the reading task to its files. Set mixed where the labels of a
+    column lie mixed in the input: the rows are then rebalanced by label, and AQE
+    splits the files of a label with most of the rows and merges the tiny ones.
     """
     reserved = sorted(set(df.columns) & set(LINEAGE))
     if reserved:
@@ -45,13 +46,11 @@ def load_bronze(
     label = F.lit(source) if isinstance(source, str) else source.cast("string")
     stamp = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     seen = Observation()
-    labelled = df.withColumn(SOURCE, label)
+    rows = as_text(df.withColumn(SOURCE, label)).withColumn(LOADED_AT, stamp).withColumn(RUN, F.lit(run_id))
+    if mixed:
+        rows = rows.hint("rebalance", F.col(SOURCE))
     (
-        as_text(labelled)
-        .withColumn(LOADED_AT, stamp)
-        .withColumn(RUN, F.lit(run_id))
-        .hint("rebalance", F.col(SOURCE))
-        .observe(seen, F.count(F.lit(1)).alias("rows"))
+        rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(SOURCE)

@@ -93,7 +93,7 @@ def bronze_replace(t: Tables) -> DataFrame:
     new column, and an empty batch, which changes nothing."""
     path, now = fresh_path(t.spark, "bronze"), "2026-09-01 00:00:00"
     label = F.concat(F.lit("orders-"), F.col("order_status"), F.lit(".csv"))
-    load_bronze(_order_text(t), path, label, "run-1", now)
+    load_bronze(_order_text(t), path, label, "run-1", now, mixed=True)
     again = t.orders.filter("o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'").select(
         text("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("priority")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierstone.functions.columns import exact_mean
 from tierstone.plans import gold as G
 from tierstone.plans import silver as S
+from tierstone.session import settle
 from tierstone.workload import standins as I
 from tierstone.workload.registry import Tables, query
 from tierstone.workload.standins import money, plain, text, with_sql
@@ -510,7 +511,7 @@ def mart_product_performance(t: Tables) -> DataFrame:
         G.mart_product_performance(
             G.dim_product(I.products(t), I.product_categories(t)),
             lines_fact(t),
-            G.order_refunds(I.refunds(t)).withColumn("was_refunded", F.lit(True)),
+            settle(G.order_refunds(I.refunds(t)), "refunded").withColumn("was_refunded", F.lit(True)),
             tickets_fact(t),
         )
     )
