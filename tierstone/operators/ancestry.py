@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tierstone.session import fresh_path
+from tierstone.session import drop_dir, fresh_path
 
 
-def _write(df: DataFrame, label: str, open_rows: Column) -> tuple[DataFrame, int]:
+def _write(df: DataFrame, open_rows: Column) -> tuple[DataFrame, str, int]:
     """Store one round in the shared folder; also count the rows still open."""
     spark, seen = df.sparkSession, Observation()
-    path = fresh_path(spark, label)
+    path = fresh_path(spark, "ancestry")
     df.observe(seen, F.count_if(open_rows).alias("open")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["open"]
+    return spark.read.schema(df.schema).parquet(path), path, seen.get["open"]
 
 
 def nearest_or_self(
@@ -40,18 +40,19 @@ def nearest_or_self(
         F.when(marked, F.col(node)).alias("found"),
         F.when(F.coalesce(marked, F.lit(False)), F.lit(None)).otherwise(F.col(parent)).alias("_next"),
     )
-    state, still_open = _write(start, "ancestry", is_open)
+    state, path, still_open = _write(start, is_open)
     while still_open:
         ahead = state.select(
             *keys, F.col(node).alias("_next"), F.col("found").alias("_found"), F.col("_next").alias("_after")
         )
-        waiting = state.filter(is_open)
-        stepped = waiting.join(ahead, [*keys, "_next"], "left").select(
-            *keys, node, F.col("_found").alias("found"), F.col("_after").alias("_next")
+        stepped = (
+            state.filter(is_open)
+            .join(ahead, [*keys, "_next"], "left")
+            .select(*keys, node, F.col("_found").alias("found"), F.col("_after").alias("_next"))
         )
-        settled = state.filter(~is_open)
-        before = still_open
-        state, still_open = _write(settled.unionByName(stepped), "ancestry", is_open)
+        before, older = still_open, path
+        state, path, still_open = _write(state.filter(~is_open).unionByName(stepped), is_open)
+        drop_dir(nodes.sparkSession, older)  # the new round holds everything the old one did
         if still_open == before:
             break
     return state.select(*keys, node, "found")

@@ -15,7 +15,7 @@ def high_water(spark: SparkSession, table_dir: str, column: str) -> str | None:
     """The largest value landed so far; None when the table is not there yet. ISO-8601
     UTC text sorts like the time it names."""
     try:
-        return read_bronze(spark, table_dir).agg(F.max(column)).first()[0]
+        return read_bronze(spark, table_dir, [column]).agg(F.max(column)).first()[0]
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None

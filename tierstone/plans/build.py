@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierstone.operators.profile import with_docs
+from tierstone.operators.results import bounded_result
 from tierstone.plans import gold as G
+from tierstone.plans.silver import SOURCES, silver_layer
+from tierstone.sources.bronze import read_bronze
 
 # The data window of the domain.
 WINDOW_START, WINDOW_END = "2026-03-01", "2026-08-31"
 
 
+def read_silver(spark: SparkSession, bronze: str) -> dict[str, DataFrame]:
+    """The conformed layer over the landed tables below a folder, all of it lazy."""
+    return silver_layer({src: read_bronze(spark, f"{bronze}/{src}", cols) for src, cols in SOURCES.items()})
+
+
 def data_window(spark: SparkSession, start: str = WINDOW_START, end: str = WINDOW_END) -> DataFrame:
     return spark.range(1).select(
         F.lit(start).cast("date").alias("window_start"), F.lit(end).cast("date").alias("window_end")
@@ -70,6 +78,15 @@ def build_gold(
     return gold_layer(s, data_window(spark) if window is None else window, write)
 
 
+def ask(tables: dict[str, DataFrame], sql: str) -> DataFrame:
+    """A SELECT over the written tables, each visible under its name, within the caps of
+    bounded_result. Rows come in the order of their columns where the SELECT gives none."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    result = next(iter(tables.values())).sparkSession.sql(sql)
+    return bounded_result(result, [F.col(f"`{c}`") for c in result.columns])
+
+
 def same_under_any_clock(build, first_now: str, second_now: str) -> bool:
     """Whether build(now) gives the same rows at two times, which no table that reads
     the clock does."""

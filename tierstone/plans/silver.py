@@ -164,6 +164,18 @@ def silver_customers(app: DataFrame, crm: DataFrame) -> DataFrame:
     return conform(app, APP_CUSTOMER).join(account, "customer_id", "left")
 
 
+def landed_columns(shape: str) -> list[str]:
+    """The names a shape reads from the landed table."""
+    pairs = [s.strip().split(" ") for s in shape.split(",")]
+    return [kind.partition("<")[2] or name for name, kind in pairs]
+
+
+# Landed tables of the conformed layer and the columns read from them.
+SOURCES = {src: landed_columns(shape) for src, shape in SHAPES.values()} | {
+    "appdb__customers": landed_columns(APP_CUSTOMER)
+}
+
+
 def silver_layer(bronze: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All conformed tables whose landed tables are given, as lazy views."""
     out = {name: silver(name, bronze[src]) for name, (src, _) in SHAPES.items() if src in bronze}

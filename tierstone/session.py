@@ -43,6 +43,8 @@ def local_session(cores: int | str = "*", app: str = "tierstone", **conf: str) -
         .config("spark.sql.shuffle.partitions", str(threads))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        # building a plan otherwise looks up the Python call site of every column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

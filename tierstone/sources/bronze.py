@@ -59,9 +59,21 @@ def load_bronze(
     return seen.get["rows"]
 
 
-def read_bronze(spark: SparkSession, table_dir: str) -> DataFrame:
-    """A landed table; a column first seen in a later source is null in the others."""
-    return spark.read.option("mergeSchema", True).parquet(table_dir)
+def read_bronze(spark: SparkSession, table_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A landed table; a column first seen in a later source is null in the others.
+
+    With the wanted columns given no file is opened to learn the schema: all landed
+    columns are text. Without them the schemas of all files are merged.
+    """
+    if columns is None:
+        return spark.read.option("mergeSchema", True).parquet(table_dir)
+    fields = [T.StructField(c, T.StringType()) for c in columns if c not in LINEAGE]
+    lineage = [
+        T.StructField(LOADED_AT, T.TimestampType()),
+        T.StructField(RUN, T.StringType()),
+        T.StructField(SOURCE, T.StringType()),
+    ]
+    return spark.read.schema(T.StructType(fields + lineage)).parquet(table_dir)
 
 
 def land_csv_folder(spark: SparkSession, pattern: str, bronze: str, prefix: str, run_id: str) -> dict[str, int]:

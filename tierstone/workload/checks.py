@@ -113,16 +113,15 @@ def catalog_profile(t: Tables) -> DataFrame:
     return P.profile_columns(t.orders, "orders")
 
 
-_PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-
-
 @query(
     "catalog_profile_exact",
     """WITH cells AS (
          SELECT 1 AS p, 'o_orderkey' AS c, CAST(o_orderkey AS VARCHAR) AS v FROM orders
          UNION ALL SELECT 2, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
          UNION ALL SELECT 3, 'o_orderstatus', o_orderstatus FROM orders
-         UNION ALL SELECT 4, 'o_orderpriority', o_orderpriority FROM orders),
+         UNION ALL SELECT 4, 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM orders
+         UNION ALL SELECT 5, 'o_orderdate', CAST(o_orderdate AS VARCHAR) FROM orders
+         UNION ALL SELECT 6, 'o_orderpriority', o_orderpriority FROM orders),
        counted AS (SELECT p, c, v, count(*) AS n FROM cells GROUP BY 1, 2, 3),
        top AS (SELECT p, string_agg(v, ',' ORDER BY n DESC, v) AS vals FROM
          (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, v) AS rn FROM counted WHERE v IS NOT NULL) WHERE rn <= 10 GROUP BY 1)
@@ -131,5 +130,5 @@ _PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
        FROM counted JOIN top USING (p) GROUP BY c, vals""",
 )
 def catalog_profile_exact(t: Tables) -> DataFrame:
-    found = P.profile_columns_exact(t.orders.select(*_PROFILED), "orders")
+    found = P.profile_columns_exact(t.orders, "orders")
     return found.select("column_name", "row_count", "n_distinct", "most_common_values", "null_fraction")
