@@ -131,7 +131,7 @@ def records(frame):
     scores = frame(
         "dag_id string, run_id string, scores string, scored_at timestamp",
         ("d", "1", '{"grounded":{"score":"good","confidence":"low"},"sql":{"score":"poor","confidence":"high"},"fresh":true}', at(5)),
-        ("d", "2", '{"grounded":{"score":"acceptable","confidence":"high"},"note":{"text":"x"}}', at(4)),
+        ("d", "2", '{"grounded":{"score":"acceptable","confidence":"high"},"note":{"text":"x"},"empty":{"score":null}}', at(4)),
     )
     spans = frame(
         SPANS,
@@ -149,7 +149,7 @@ def test_eval_records(frame):
     assert (unscored["dimensions"], unscored["flags"], unscored["has_no_trace"], unscored["tool_call_count"]) == ({}, {}, True, 0)
     assert set(first["dimensions"]) == {"grounded", "sql"} and first["flags"] == {"fresh": "true"}
     assert (first["model"], second["model"], first["sql_used"], first["tables_used"]) == ("m", "own", ["s"], [])
-    assert set(second["flags"]) == {"note"}
+    assert set(second["flags"]) == {"note"} and set(second["dimensions"]) == {"grounded", "empty"}
 
 
 def test_eval_rollups(frame):
@@ -158,7 +158,7 @@ def test_eval_rollups(frame):
         "name": "grounded", "counted": 3, "good": 2, "acceptable": 1, "poor": 0, "low_confidence": 2, "good_percent": 67,
         "acceptable_percent": 33, "poor_percent": 0,
     }
-    assert rows["sql"]["poor"] == 2 and len(rows) == 2
+    assert rows["sql"]["poor"] == 2 and len(rows) == 3
     assert E.eval_summary(records(frame)).first() == (4, None, 3.1, 0.8)
     assert E.eval_summary(records(frame), dedupe=True).first() == (3, None, 2.2, 1.0)
     assert E.eval_summary(records(frame).limit(0)).first() == (0, None, None, None)

@@ -29,7 +29,7 @@ def eval_records(responses: DataFrame, scores: DataFrame, spans: DataFrame, task
     )
 
     def graded(_, value):
-        return F.coalesce(F.get_json_object(value, "$.score").isNotNull(), F.lit(False))
+        return F.coalesce(F.array_contains(F.json_object_keys(value), "score"), F.lit(False))
 
     traced = spans.filter(F.col("task_id") == task).select(
         *RUN, F.col("model").alias("_model"), "trace_id", "span_id", "input_tokens", "output_tokens",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tierstone.functions.columns import exact_mean, hours_between, ratio
 from tierstone.operators.ranking import first_per_key
+from tierstone.session import settle
 
 # Fixed values
 URGENT = ("high", "urgent")
@@ -345,7 +346,10 @@ def mart_product_performance(
     that sold without refunds is null; its tickets per hundred units is 0."""
     # One row per product and order first: the distinct orders, and those with a refund,
     # are then plain counts of one pass, and lines joined by order stay where they are.
-    refunded = orders.filter("was_refunded").select("order_id", F.lit(True).alias("_refunded"))
+    # The refunded orders are made distinct, so that an order repeated by a second payment
+    # counts once, and stored, so that the join with them can split a hot order.
+    returned = orders.filter("was_refunded").select("order_id").distinct()
+    refunded = settle(returned, "refunded-orders").withColumn("_refunded", F.lit(True))
     per_order = (
         order_lines.join(refunded, "order_id", "left")
         .groupBy("order_id", "product_sku")

@@ -257,10 +257,9 @@ def order_shipments(t: Tables) -> DataFrame:
         F.min("l_suppkey").cast("int").alias("route_id"),
         F.min("l_shipdate").cast("timestamp").alias("shipped_at"),
         F.max("l_quantity").alias("_units"),
-        F.min("l_linestatus").alias("_low"),
-        F.max("l_linestatus").alias("_high"),
+        F.min((F.col("l_linestatus") == "F").cast("int")).alias("_closed"),
     )
-    done = (F.col("_low") == "F") & (F.col("_high") == "F")
+    done = F.col("_closed") == 1
     arrival = F.timestamp_micros(
         F.unix_micros("shipped_at") + (F.col("_units") * 23).cast("bigint") * F.lit(3_600_000_000)
     )
