@@ -5,7 +5,7 @@ from tierstone.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, app="tests")
+    session = local_session(8, app="tests")
     yield session
     session.stop()
 

@@ -23,6 +23,8 @@ def duck():
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     sql = entry.oracle_sql().get(name)
     if sql is None:

@@ -36,12 +36,6 @@ def small_broadcasts(spark):
         spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
-def test_no_cross_join(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER), final=True)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_scans_are_pruned_and_filtered(spark):
     text = plan(entry.queries()["chunk_checksum"](spark, FOLDER), final=True)
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,text:string>" in text

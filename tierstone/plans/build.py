@@ -9,6 +9,7 @@ from tierstone.operators.profile import with_docs
 from tierstone.operators.results import bounded_result
 from tierstone.plans import gold as G
 from tierstone.plans.silver import SOURCES, silver_layer
+from tierstone.session import scratch
 from tierstone.sources.bronze import read_bronze
 
 # The data window of the domain.
@@ -75,7 +76,8 @@ def build_gold(
         with_docs(df, (docs or {}).get(name, {})).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    return gold_layer(s, data_window(spark) if window is None else window, write)
+    with scratch(spark):
+        return gold_layer(s, data_window(spark) if window is None else window, write)
 
 
 def ask(tables: dict[str, DataFrame], sql: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,24 +56,45 @@ def local_session(cores: int | str = "*", app: str = "tierstone", **conf: str) -
     return tune(session)
 
 
+_own_folder: str | None = None
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in spark.checkpoint.dir.
 
     Only a local master may fall back to a folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tierstone-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="tierstone-")
+    return _own_folder
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no earlier call has returned."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scratch.get() is not None:
+        _scratch.get().append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop what was written to fresh paths inside the block once its results are
+    stored elsewhere. Without it such tables stay for the frames that read them."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        for path in _scratch.get():
+            drop_dir(spark, path)
+        _scratch.reset(token)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tierstone.functions.spans import TASK_FIELDS
 from tierstone.operators.agent_runs import KEY, agent_runs, one_per_span
 from tierstone.operators.upsert import upsert
-from tierstone.session import drop_dir, list_dirs, settle
+from tierstone.session import drop_dir, list_dirs, scratch, settle
 from tierstone.sources.otlp import flatten_spans
 
 # The store is cut into this many parts by trace id; a micro-batch reads and rewrites
@@ -103,8 +103,13 @@ def stream_spans(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     spans = flatten_spans(reader.text(in_dir))
+
+    def absorb(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            _absorb(batch, batch_id, store, parts)
+
     return (
-        spans.writeStream.foreachBatch(lambda batch, batch_id: _absorb(batch, batch_id, store, parts))
+        spans.writeStream.foreachBatch(absorb)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
