@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tierstone.functions import spans as S
 from tierstone.operators import agent_runs as A
 from tierstone.operators.ancestry import nearest_ancestor, nearest_or_self
-from tierstone.sources.otlp import flatten_spans
+from tierstone.sources.otlp import flatten_spans, read_spans
 from tierstone.streaming.spans import stored_runs, stored_spans, stream_spans
 
 
@@ -69,6 +69,12 @@ def test_flatten_both_casings_and_broken_lines(frame):
     assert (got["2"]["duration_ms"], got["2"]["start_unix_nano"], got["2"]["attributes"]) == (None, 5, {"k": "7"})
 
 
+def test_an_export_that_is_not_there_yet_has_no_spans(spark, tmp_path):
+    assert read_spans(spark, str(tmp_path / "none.jsonl")).isEmpty()
+    (tmp_path / "some.jsonl").write_text(line(span("1")) + "\n\n{broken\n")
+    assert read_spans(spark, str(tmp_path / "some.jsonl")).count() == 1
+
+
 def test_attribute_values(frame):
     listed = [
         attr("s", stringValue=""), attr("i", intValue="12"), attr("d", doubleValue=1.5), attr("b", boolValue=True),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierstone.functions.spans import LIST_TYPE, attrs, one_attr
@@ -49,3 +50,14 @@ def flatten_spans(lines: DataFrame, text_col: str = "value") -> DataFrame:
         "service_name",
         attrs(F.col("s.attributes")).alias("attributes"),
     )
+
+
+def read_spans(spark: SparkSession, path: str) -> DataFrame:
+    """The spans of an export; none while it does not exist yet."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string")
+    return flatten_spans(lines)

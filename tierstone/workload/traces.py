@@ -9,14 +9,17 @@ from tierstone.functions import spans as S
 from tierstone.operators import agent_runs as A
 from tierstone.operators.ancestry import nearest_ancestor
 from tierstone.session import fresh_path, settle
-from tierstone.sources.otlp import flatten_spans
+from tierstone.sources.otlp import read_spans
 from tierstone.streaming.spans import stored_runs, stream_spans
 from tierstone.workload.registry import Tables, query
 from tierstone.workload.standins import span_lines, text, with_sql
 
 
 def _spans(t: Tables) -> DataFrame:
-    return flatten_spans(span_lines(t))
+    """The events exported as JSON lines, read back as spans."""
+    export = fresh_path(t.spark, "export")
+    span_lines(t).write.text(export)
+    return read_spans(t.spark, export)
 
 
 def _stored(t: Tables) -> DataFrame:
