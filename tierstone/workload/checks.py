@@ -65,7 +65,7 @@ def dq_relationships(t: Tables) -> DataFrame:
 
 @query(
     "dq_expression",
-    "SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_returnflag <> 'A' AND NOT (l_discount >= l_tax)",
+    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_discount, l_tax FROM lineitem WHERE l_returnflag <> 'A' AND NOT (l_discount >= l_tax)",
 )
 def dq_expression(t: Tables) -> DataFrame:
     found = Q.expression_is_true(t.lineitem, "l_discount >= l_tax", "l_returnflag <> 'A'")

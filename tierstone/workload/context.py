@@ -401,7 +401,7 @@ _RECORDS = """
 @query(
     "eval_records",
     f"""SELECT eval_id, model, span_id, has_no_trace, reasoning_tokens, duration_ms, tool_call_count,
-          CASE WHEN lang = 'en' THEN 2 ELSE 0 END AS n_sql, CASE WHEN is_scored THEN 'quality,toxicity' ELSE '' END AS dimensions,
+          CAST(CASE WHEN lang = 'en' THEN 2 ELSE 0 END AS BIGINT) AS n_sql, CASE WHEN is_scored THEN 'quality,toxicity' ELSE '' END AS dimensions,
           CASE WHEN is_scored THEN 'data_was_fresh=' || CASE WHEN quality = 1 THEN 'true' ELSE 'false' END ELSE '' END AS flags,
           CASE WHEN is_scored THEN '2026-08-02 00:00:00' ELSE '2026-08-01 00:00:00' END AS sort_at FROM ({_RECORDS})""",
 )

@@ -194,7 +194,7 @@ def late_rows(t: Tables) -> DataFrame:
 
 @query(
     "incr_children",
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey IN
+    f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey IN
         (SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') > {_MARK})""",
 )
 def incr_children(t: Tables) -> DataFrame:
@@ -310,7 +310,7 @@ def upsert_partial(t: Tables) -> DataFrame:
 
 @query(
     "cascade_delete",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey FROM lineitem
        WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""",
 )
 def cascade_delete(t: Tables) -> DataFrame:

@@ -42,9 +42,9 @@ def span_flatten(t: Tables) -> DataFrame:
     "span_attributes",
     with_sql(
         "spans",
-        """SELECT span_id, CASE event_type WHEN 'signup' THEN 6 WHEN 'click' THEN 2 WHEN 'view' THEN 1 WHEN 'purchase' THEN 4
-             ELSE 0 END AS n, CASE WHEN event_type = 'signup' THEN 'm-' || (user_id % 7) END AS model,
-             CASE WHEN event_type = 'signup' THEN k END AS input_tokens,
+        """SELECT span_id, CAST(CASE event_type WHEN 'signup' THEN 6 WHEN 'click' THEN 2 WHEN 'view' THEN 1
+             WHEN 'purchase' THEN 4 ELSE 0 END AS BIGINT) AS n, CASE WHEN event_type = 'signup' THEN 'm-' || (user_id % 7) END AS model,
+             CASE WHEN event_type = 'signup' THEN CAST(k AS BIGINT) END AS input_tokens,
              CASE WHEN event_type = 'signup' THEN user_id END AS output_tokens,
              CASE WHEN event_type = 'signup' THEN '["a","' || k || '"]' END AS tags FROM s_spans""",
     ),
