@@ -9,6 +9,7 @@ from tierstone.operators import evals as E
 from tierstone.operators.ancestry import nearest_or_self
 from tierstone.operators.health import failure_streak
 from tierstone.plans import gold as G
+from tierstone.sources.bronze import nest_children
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -137,3 +138,19 @@ def test_star_of_one_parent(small_broadcasts):
     )
     found = nearest_or_self(nodes, "id", "parent", F.col("id") == 0)
     assert found.filter("found = 0").count() == 50_000
+
+
+def test_hot_parent_is_split(small_broadcasts, tmp_path):
+    spark = small_broadcasts
+    children = spark.range(0, 60_000, numPartitions=8).select(
+        hot(100).alias("k"), "id", F.sha2(F.col("id").cast("string"), 256).alias("body")
+    )
+    parents = spark.range(200).select(F.concat(F.lit("u"), "id").alias("k")).union(spark.sql("SELECT 'hot'"))
+    nested = nest_children(
+        stored(parents, tmp_path / "p"), stored(children, tmp_path / "c"), "k", ["id"], F.floor(F.col("id") / 1000), "rows", 50
+    )
+    rows = nested.select("k", "segment", F.size("rows").alias("n")).collect()
+    assert sum(r["n"] for r in rows) == 60_000 and max(r["n"] for r in rows) == 50
+    assert {r["k"] for r in rows if r["n"] == 0} >= {f"u{i}" for i in range(100, 200)}
+    nested.collect()
+    assert "skew=true" in plan(nested, final=True)

@@ -123,3 +123,43 @@ def test_manifest(spark, tmp_path):
         manifest.file_hashes(spark, f"{tmp_path}/*.csv"), manifest.read_manifest(spark, f"{tmp_path}/MANIFEST")
     )
     assert [r["file"] for r in failing.collect()] == ["y.csv"]
+
+
+def test_land_tickets_and_cursor(spark, tmp_path):
+    def ticket(ident, updated, *comments):
+        return {"ticket_id": ident, "body": "b", "updated_at": updated,
+                "comments": [{"comment_id": c, "is_public": True} for c in comments]}
+
+    export, t, c = str(tmp_path / "tickets.json"), str(tmp_path / "t"), str(tmp_path / "c")
+
+    def put(cursor, *tickets):
+        (tmp_path / "tickets.json").write_text(json.dumps({"count": len(tickets), "next_cursor": cursor, "tickets": tickets}))
+
+    put("2026-03-02", ticket("t1", "2026-03-01", "c1", "c2"), ticket("t2", "2026-03-02"))
+    first = B.land_tickets(spark, export, t, c, "r1")
+    assert first == {"comments": 2, "tickets": 2, "next_cursor": "2026-03-02"}
+    assert B.land_tickets(spark, export, t, c, "r2") == first
+    assert B.read_bronze(spark, t).count() == 2  # replaced, not doubled
+    put("2026-03-09", ticket("t2", "2026-03-02", "old"), ticket("t3", "2026-03-09", "c3"))
+    assert B.land_tickets(spark, export, t, c, "r3", cursor="2026-03-02") == {
+        "comments": 1, "tickets": 1, "next_cursor": "2026-03-09",
+    }
+    assert as_set(B.read_bronze(spark, c).select("ticket_id", "comment_id", "is_public")) == {
+        ("t1", "c1", "true"), ("t1", "c2", "true"), ("t3", "c3", "true"),
+    }
+    assert as_set(B.read_bronze(spark, t).select("ticket_id")) == {("t1",), ("t2",), ("t3",)}
+
+
+def test_land_events(spark, tmp_path):
+    events = [
+        {"id": f"e{i}", "type": kind, "created": "now", "data": {"object": {"charge_id": f"c{i}", "amount_credits": 1.5}}}
+        for i, kind in enumerate(["charge.ok", "charge.failed", "charge.ok"])
+    ]
+    (tmp_path / "charges.json").write_text(json.dumps(events))
+    out = str(tmp_path / "charges")
+    got = B.land_events(spark, str(tmp_path / "charges.json"), "charges.json", out, "r")
+    assert got == {"rows": 3, "event_types": ["charge.failed", "charge.ok"]}
+    row = B.read_bronze(spark, out).filter("charge_id = 'c1'").first().asDict()
+    assert (row["event_id"], row["event_type"], row["amount_credits"], row["_source_file"]) == (
+        "e1", "charge.failed", "1.5", "charges.json",
+    )

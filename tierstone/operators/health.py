@@ -10,8 +10,15 @@ from tierstone.operators.membership import contained, missing
 from tierstone.operators.ranking import top_n
 from tierstone.session import settle
 
-# Fixed value: how many asset names a summary spells out.
+# How many asset names a summary spells out, and how it counts the rest.
 SAMPLE = 5
+AND, MORE = ", and ", " more"
+# The wording of a health line.
+LAST_RUN, AT, LAST_SUCCESS, NEVER = ": last run ", " at ", "; last success ", "never"
+FAILURES = " consecutive failures since then"
+PAUSED = "; PAUSED, so its data is not being refreshed"
+BROKEN = "; HAS AN IMPORT ERROR, so it cannot run at all"
+ABSENT = "no health recorded for: "
 
 
 def _recency(at: str, tiebreak: str) -> Column:
@@ -90,7 +97,7 @@ def asset_summary(events: DataFrame, entity: str, name: str, at: str, sample: in
             entity,
             "last_event_at",
             F.coalesce("asset_count", F.lit(0)).alias("asset_count"),
-            F.when(more > 0, F.concat("_shown", F.lit(", and "), more.cast("string"), F.lit(" more")))
+            F.when(more > 0, F.concat("_shown", F.lit(AND), more.cast("string"), F.lit(MORE)))
             .otherwise(F.col("_shown"))
             .alias("produces_assets"),
         )
@@ -127,19 +134,18 @@ def entity_health(
 def health_text(health: DataFrame, key: str, requested: DataFrame | None = None) -> DataFrame:
     """One line of prose per entity, and one for each requested entity without health."""
     failures = F.col("consecutive_failures")
+    ran_at = F.concat(F.lit(AT), second_text("last_run_at"))
     line = F.concat(
-        F.col(key), F.lit(": last run "), F.coalesce("last_state", F.lit("never")),
-        F.when(F.col("last_run_at").isNotNull(), F.concat(F.lit(" at "), second_text("last_run_at"))).otherwise(""),
-        F.lit("; last success "), F.coalesce(second_text("last_success_at"), F.lit("never")),
-        F.when(failures > 0, F.concat(F.lit("; "), failures.cast("string"), F.lit(" consecutive failures since then")))
-        .otherwise(""),
-        F.when(F.col("is_paused"), "; PAUSED, so its data is not being refreshed").otherwise(""),
-        F.when(F.col("has_import_error"), "; HAS AN IMPORT ERROR, so it cannot run at all").otherwise(""),
+        F.col(key), F.lit(LAST_RUN), F.coalesce("last_state", F.lit(NEVER)), F.coalesce(ran_at, F.lit("")),
+        F.lit(LAST_SUCCESS), F.coalesce(second_text("last_success_at"), F.lit(NEVER)),
+        F.when(failures > 0, F.concat(F.lit("; "), failures.cast("string"), F.lit(FAILURES))).otherwise(""),
+        F.when(F.col("is_paused"), PAUSED).otherwise(""),
+        F.when(F.col("has_import_error"), BROKEN).otherwise(""),
     )
     lines = health.select(key, line.alias("line"))
     if requested is None:
         return lines
     absent = missing(requested, health, key)
     return lines.join(requested.select(key), key, "left_semi").unionByName(
-        absent.select(key, F.concat(F.lit("no health recorded for: "), key).alias("line"))
+        absent.select(key, F.concat(F.lit(ABSENT), key).alias("line"))
     )

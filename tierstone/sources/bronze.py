@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierstone.operators.ranking import ordinal
-from tierstone.sources.files import listing, read_csv_text
+from tierstone.sources.files import listing, read_csv_text, read_json_doc
 
 # The lineage columns every landed row carries.
 LOADED_AT, SOURCE, RUN = "_loaded_at", "_source_file", "_ingest_run_id"
@@ -147,8 +147,48 @@ def nest_children(
         .withColumn(name, F.transform("_list", lambda c: F.struct(*[c[f].alias(f) for f in fields])))
         .drop("_list")
     )
-    return (
-        parent.join(lists, key, "left")
-        .withColumn("segment", F.coalesce("segment", F.lit(0)))
-        .withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    # inner plus anti instead of one left join, which could not split the many segments
+    # of one parent
+    with_lists = parent.join(lists, key)
+    without = parent.join(child.select(key), key, "left_anti").select(
+        "*", F.lit(0).alias("segment"), F.array().cast(lists.schema[name].dataType).alias(name)
     )
+    return with_lists.unionByName(without)
+
+
+def land_tickets(
+    spark: SparkSession, pattern: str, tickets_dir: str, comments_dir: str, run_id: str,
+    schema: T.StructType | str | None = None, cursor: str | None = None, now: str | None = None,
+) -> dict:
+    """Ticket documents into a ticket and a comment table; returns the rows of both and
+    the next cursor, which the caller keeps only now that both are stored.
+
+    A cursor takes the tickets updated after it and adds them under a label of its own.
+    A document is read by one task, so a large export should come as many files.
+    """
+    documents = read_json_doc(spark, pattern, schema)
+    tickets = documents.select(F.inline("tickets"))
+    label = "tickets.json"
+    if cursor is not None:
+        tickets, label = tickets.filter(F.col("updated_at") > F.lit(cursor)), f"{label}:{cursor}"
+    parents, comments = flatten_children(tickets, "comments", ["ticket_id"])
+    # comments first: a retry after a failure between the two replaces them
+    loaded = {
+        "comments": load_bronze(comments, comments_dir, f"{label}:comments", run_id, now),
+        "tickets": load_bronze(parents, tickets_dir, label, run_id, now),
+    }
+    return loaded | {"next_cursor": documents.agg(F.max("next_cursor")).first()[0]}
+
+
+def land_events(
+    spark: SparkSession, pattern: str, source: str, table_dir: str, run_id: str,
+    schema: T.StructType | str | None = None, now: str | None = None,
+) -> dict:
+    """Files of event envelopes into one table under one label; returns the rows and
+    the distinct event types in order."""
+    events = unwrap_envelope(read_json_doc(spark, pattern, schema))
+    types = events.select("event_type").distinct().orderBy("event_type")  # a small vocabulary
+    return {
+        "rows": load_bronze(events, table_dir, source, run_id, now),
+        "event_types": [r[0] for r in types.collect()],
+    }
