@@ -5,7 +5,7 @@ import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from tierstone.operators.profile import profile_columns
+from tierstone.operators.profile import profile_columns, profile_layer
 from tierstone.operators.quality import dq_report
 from tierstone.plans import build, checks
 from tierstone.plans import gold as G
@@ -270,3 +270,11 @@ def test_gold_ignores_the_clock(spark, silver):
 def test_comments_survive_the_write(gold):
     profile = profile_columns(gold["dim_customer"], "dim_customer")
     assert row(profile, column_name="customer_id")["column_description"] == "who buys"
+
+
+def test_profile_of_the_whole_layer(gold):
+    picked = {n: gold[n] for n in ("dim_date", "fct_orders", "mart_route_performance")}
+    profile = profile_layer(picked)
+    assert profile.count() == sum(len(df.columns) for df in picked.values())
+    on_time = row(profile, table_name="fct_orders", column_name="delivered_on_time")
+    assert (on_time["row_count"], on_time["null_fraction"], on_time["most_common_values"]) == (3, 2 / 3, "false")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +127,11 @@ def profile_columns_exact(df: DataFrame, table: str, top_k: int = 10) -> DataFra
     )
 
 
+def profile_layer(tables: dict[str, DataFrame], top_k: int = 10) -> DataFrame:
+    """The profiles of several tables in one frame, one scan per table."""
+    return reduce(DataFrame.unionAll, [profile_columns(df, name, top_k) for name, df in tables.items()])
+
+
 def table_sizes(tables: dict[str, DataFrame]) -> list[dict]:
     """Row and column count per table; the counts come from parquet footers."""
     return [
