@@ -21,7 +21,7 @@ from tierstone.session import settle
 Knots = list[tuple[float, float]]
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_ROWS = 20_000  # rows of a source that one window task orders
+SLICE_ROWS = 2_000  # rows of a source that one window task orders
 MAX_SOURCES = 100_000  # sources the driver plans for and sends to all tasks; more are refused
 
 
