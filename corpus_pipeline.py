@@ -17,8 +17,7 @@ ORACLE_SQL = None  # network, signatures and tokenizer are beyond SQL; tests/llm
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the network sees a language; null, empty and letterless texts go."""
     tune(spark)
-    found = langid.predict(docs, langid.fit(docs))
-    return found.filter(found["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
+    return langid.recognised(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,14 +162,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, per_row: int = TRAIN_WINDOWS) -
     return net
 
 
-def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """docs with lang_pred and score: the language with the largest mean probability over the whole text, and that mean.
-
-    `und` with score 0 where text is null or has no letter, or if there is no network. Columns of docs
-    named lang_pred or score are replaced; all others pass through.
-    """
-    kept = docs.drop("lang_pred", "score")
-
+def _guesser(net: ByteNet | None):
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -201,6 +194,21 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
         settle_held()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return kept.withColumn("_guess", guess(F.col("text").cast("string"))).select(
+    return guess
+
+
+def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
+    """docs with lang_pred and score: the language with the largest mean probability over the whole text, and that mean.
+
+    `und` with score 0 where text is null or has no letter, or if there is no network. Columns of docs
+    named lang_pred or score are replaced; all others pass through.
+    """
+    kept = docs.drop("lang_pred", "score")
+    return kept.withColumn("_guess", _guesser(net)(F.col("text").cast("string"))).select(
         *kept.columns, F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score")
     )
+
+
+def recognised(docs: DataFrame, net: ByteNet | None) -> DataFrame:
+    """The rows of docs, with their own columns, in which the network sees a language."""
+    return docs.filter(_guesser(net)(F.col("text").cast("string"))["lang_pred"] != UNKNOWN)
