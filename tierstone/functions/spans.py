@@ -41,7 +41,7 @@ TASK_FIELDS = {
 }
 TASK_MARK = TASK_FIELDS["task_id"]
 
-# Lists inside lists inside attributes are followed this deep.
+# Lists inside lists inside attributes are followed this deep; what lies deeper stays as it was sent.
 NESTING = 3
 
 
@@ -73,9 +73,8 @@ def _listed(raw: Column, is_list: Column, depth: int) -> Column:
 
     def plain(element: Column) -> Column:
         options = [part(element, k) for k in ("int", "double", "bool")]
-        if depth:
-            inner = F.coalesce(part(element, "array"), part(element, "kvlist"))
-            options.append(_listed(inner, part(element, "array").isNotNull(), depth - 1))
+        inner = F.coalesce(part(element, "array"), part(element, "kvlist"))
+        options.append(_listed(inner, part(element, "array").isNotNull(), depth - 1) if depth else inner)
         text = part(element, "string")
         return F.when(text.isNotNull(), _quoted(text)).otherwise(F.coalesce(*options, F.lit("null")))
 

@@ -71,7 +71,7 @@ def chunk(tickets: DataFrame, comments: DataFrame, min_chars: int = MIN_COMMENT_
         "product_sku",
         F.col("_n").cast("int").alias("chunk_ordinal"),
         "heading",
-        F.concat("author_role", F.lit(": "), "_said").alias("body"),
+        F.concat(F.coalesce("author_role", F.lit("None")), F.lit(": "), "_said").alias("body"),
     )
     return _identified(whole, "ticket", "_mark").unionByName(_identified(replies, "comment", "comment_id"))
 

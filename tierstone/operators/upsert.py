@@ -29,10 +29,14 @@ def upsert(
     A matched key takes update_cols (default: every non-key column) from the source
     and keeps the rest; a new key is inserted whole; touch_col is set on both. Two
     source rows of one key apply in order_col order, and then the columns outside
-    update_cols come from the first of them when the key is new.
+    update_cols come from the first of them when the key is new; without order_col a
+    repeated key fails the job. The target is only looked up in the source, so a small
+    batch leaves it where it is.
     """
     columns = [c for c in target.columns if c not in keys and c != touch_col]
     updated = set(columns if update_cols is None else update_cols)
+    if unknown := updated - set(columns):
+        raise ValueError(f"update_cols that the target does not have: {sorted(unknown)}")
     stamp = F.current_timestamp() if now is None else now
     if order_col is not None:
         newest = last_per_key(source, keys, order_col)
@@ -41,34 +45,33 @@ def upsert(
             oldest = first_per_key(source, keys, [F.col(order_col).asc_nulls_first()])
             newest = newest.drop(*kept).join(oldest.select(*keys, *kept), list(keys))
         source = newest
+    else:
+        whole = F.struct(*[c for c in source.columns if c not in keys])
+        once = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(whole).alias("_row"))
+        single = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit("a key occurs twice in the batch and no order_col is given")))
+        source = once.select(*keys, single.alias("_row")).select(*keys, "_row.*")
     source = source.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.struct(*columns).alias("_new"),
         F.lit(True).alias("_in_source"),
     )
-    old = target.withColumn("_in_target", F.lit(True))
     same = None
     for i, k in enumerate(keys):
-        term = old[k] == source[f"_k{i}"]
+        term = F.col(k) == F.col(f"_k{i}")
         same = term if same is None else same & term
-    joined = old.join(source, same, "full_outer")
     from_source = F.col("_in_source").isNotNull()
-    known = F.col("_in_target").isNotNull()
 
-    def pick(c: str) -> Column:
-        take_new = from_source if c in updated else from_source & ~known
-        return F.when(take_new, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+    def kept(c: str) -> Column:
+        new = stamp if c == touch_col else F.col(f"_new.{c}") if c in updated else None
+        return F.col(c) if new is None else F.when(from_source, new).otherwise(F.col(c)).alias(c)
 
-    out = []
-    for c in target.columns:
-        if c in keys:
-            i = list(keys).index(c)
-            out.append(F.coalesce(F.col(c), F.col(f"_k{i}")).alias(c))
-        elif c == touch_col:
-            out.append(F.when(from_source, stamp).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(pick(c))
-    return joined.select(*out)
+    def inserted(c: str) -> Column:
+        new = F.col(f"_k{list(keys).index(c)}") if c in keys else stamp if c == touch_col else F.col(f"_new.{c}")
+        return new.cast(target.schema[c].dataType).alias(c)
+
+    matched = target.join(source, same, "left").select(*[kept(c) for c in target.columns])
+    added = source.join(target.select(*keys), same, "left_anti").select(*[inserted(c) for c in target.columns])
+    return matched.union(added)
 
 
 def cascade(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +84,15 @@ def build_gold(
 
 def ask(tables: dict[str, DataFrame], sql: str) -> DataFrame:
     """A SELECT over the written tables, each visible under its name, within the caps of
-    bounded_result. Rows come in the order of their columns where the SELECT gives none."""
+    bounded_result. Rows come in the order of their columns where the SELECT gives none.
+    Statements that write or change anything are refused before they run."""
+    spark = next(iter(tables.values())).sparkSession
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    if not re.match(r"[\s(]*(select|with|values|from|table)\b", sql, re.I) or re.search(r"(?m)^[\s:+|-]*'?(Insert|Merge|Update|Delete|\w+Command)", parsed):
+        raise ValueError("only a SELECT can be asked")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    result = next(iter(tables.values())).sparkSession.sql(sql)
+    result = spark.sql(sql)
     return bounded_result(result, [F.col(f"`{c}`") for c in result.columns])
 
 

@@ -416,7 +416,7 @@ def mart_route_performance(
     )
 
     def hub_names(side: str) -> DataFrame:
-        return locations.select(
+        return locations.filter("location_type = 'hub'").select(
             F.col("location_key").alias(f"_{side}_key"), F.col("location_name").alias(f"{side}_hub_name")
         )
 

@@ -6,11 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
+from tierstone.functions.spans import TASK_FIELDS
 from tierstone.operators.upsert import upsert
 
-# How much run history and how many asset events are kept.
-RUNS_KEPT, EVENTS_KEPT = 50, 250
-
 
 @dataclass(frozen=True)
 class Store:
@@ -42,9 +40,10 @@ STORES = {
     "answer_scores": Store(("dag_id", "run_id"), ("scores",), "scored_at"),
     "trace_spans": Store(
         ("trace_id", "span_id"),
+        # the task fields are among them because a late parent completes them
         (
-            "model", "input_tokens", "output_tokens", "reasoning_tokens", "duration_ms", "tool_calls",
-            "tools_available", "prompt", "output",
+            *TASK_FIELDS, "model", "input_tokens", "output_tokens", "reasoning_tokens", "duration_ms", "tool_call_count",
+            "tools_used", "tools_available", "prompt", "output",
         ),
         "ingested_at",
     ),

@@ -36,10 +36,13 @@ def read_csv_text(
     """CSV with a header as string columns; an empty cell is '' and not null.
 
     Line-wise reading keeps big files splittable; pass multi_line=True where quoted
-    cells contain line breaks.
+    cells contain line breaks. A line with another number of cells than the header, or a
+    file whose header differs from the first one's, fails the job.
     """
     return (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .option("escape", '"')
         .option("emptyValue", "")
         .option("multiLine", multi_line)
@@ -81,8 +84,11 @@ def read_json_text(
 def read_json_doc(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """Whole-file JSON documents; a top-level array gives one row per element."""
+    """Whole-file JSON documents; a top-level array gives one row per element. Without a
+    schema numbers and booleans stay text, as they were sent."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
+    else:
+        reader = reader.option("primitivesAsString", True)
     return reader.json(path)

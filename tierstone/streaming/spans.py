@@ -6,22 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tierstone.functions.spans import TASK_FIELDS
-from tierstone.operators.agent_runs import KEY, agent_runs, one_per_span
-from tierstone.operators.upsert import upsert
+from tierstone.operators.agent_runs import agent_runs
+from tierstone.plans.stores import apply
 from tierstone.session import drop_dir, list_dirs, scratch, settle
 from tierstone.sources.otlp import flatten_spans
 
 # The store is cut into this many parts by trace id; a micro-batch reads and rewrites
 # only the parts its traces fall into. Raise it with the size of the store.
 PARTS = 64
-# What a re-exported run may change; the rest keeps its first value. The
-# task fields are among them because a late parent completes them.
-RUN_UPDATES = [
-    *TASK_FIELDS,
-    "model", "input_tokens", "output_tokens", "reasoning_tokens", "duration_ms", "tool_call_count",
-    "tools_used", "tools_available", "prompt", "output",
-]
 
 
 def _part(parts: int) -> Column:
@@ -85,11 +77,11 @@ def _absorb(batch: DataFrame, batch_id: int, store: str, parts: int) -> None:
         .drop("part", "batch")
         .join(traces, "trace_id", "left_semi")
     )
-    runs = agent_runs(one_per_span(known)).withColumn("ingested_at", F.current_timestamp())
+    runs = agent_runs(known).withColumn("ingested_at", F.current_timestamp())
     if list_dirs(spark, f"{store}/runs"):
         older = _store(spark, f"{store}/runs").filter(F.col("part").isin(touched) & (F.col("batch") < batch_id))
         target = _newest(older).drop("part", "batch")
-        runs = upsert(target, runs, KEY, update_cols=RUN_UPDATES, touch_col="ingested_at")
+        runs = apply("trace_spans", target, runs)
     _write(runs, batch_id, f"{store}/runs", parts)
     _forget_superseded(spark, f"{store}/runs", touched, batch_id)
 
@@ -98,7 +90,15 @@ def stream_spans(
     spark: SparkSession, in_dir: str, store: str, checkpoint: str, parts: int = PARTS, files_per_batch: int | None = None
 ) -> StreamingQuery:
     """Take up new files of JSON lines, then stop. The checkpoint remembers the files
-    already taken, and is advanced only after a batch has been stored."""
+    already taken, and is advanced only after a batch has been stored. A store keeps the
+    number of parts it was begun with; another number is refused."""
+    layout = f"{store}/layout"
+    if list_dirs(spark, layout):
+        begun = spark.read.parquet(layout).first()["parts"]
+        if begun != parts:
+            raise ValueError(f"the store has {begun} parts, not {parts}")
+    else:
+        spark.createDataFrame([(parts,)], "parts int").write.parquet(layout)
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

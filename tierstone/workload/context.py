@@ -54,16 +54,16 @@ def _assets(t: Tables) -> DataFrame:
     )
 
 
-_RANKED = """ranked AS (
-    SELECT CAST(user_id AS VARCHAR) AS unit, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST,
-             CAST(event_id AS VARCHAR) DESC) AS rn,
+_HEALTH = """runs AS (
+    SELECT CAST(user_id AS VARCHAR) AS unit, ts, {'at': ts, 'id': CAST(event_id AS VARCHAR)} AS moment,
            CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE event_type END AS state
     FROM events WHERE event_id <> 7),
-  first_success AS (SELECT unit, min(rn) AS rn FROM ranked WHERE state = 'success' GROUP BY 1),
-  health AS (SELECT r.unit, count(*) AS total_runs, max(state) FILTER (WHERE r.rn = 1) AS last_state,
-      max(ts) FILTER (WHERE r.rn = 1) AS last_run_at, max(ts) FILTER (WHERE state = 'success') AS last_success_at,
-      count(*) FILTER (WHERE state = 'failed' AND r.rn < coalesce(f.rn, 2147483647)) AS consecutive_failures
-    FROM ranked r LEFT JOIN first_success f ON f.unit = r.unit GROUP BY 1),
+  won AS (SELECT unit, max(moment) AS newest, max(ts) AS last_success_at FROM runs WHERE state = 'success' GROUP BY unit),
+  lost AS (SELECT unit, count(*) AS consecutive_failures FROM runs LEFT JOIN won USING (unit)
+    WHERE state = 'failed' AND (newest IS NULL OR moment > newest) GROUP BY unit),
+  health AS (SELECT unit, count(*) AS total_runs, arg_max(state, moment) AS last_state, max(ts) AS last_run_at,
+      any_value(last_success_at) AS last_success_at, coalesce(any_value(consecutive_failures), 0) AS consecutive_failures
+    FROM runs LEFT JOIN won USING (unit) LEFT JOIN lost USING (unit) GROUP BY unit),
   names AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS unit, 'store/' || event_type || '/' || json_extract_string(props, '$.k') AS name
     FROM events),
   ordered AS (SELECT unit, json_extract_string('["' || replace(name, '/', '","') || '"]', '$[2]') AS short, name,
@@ -89,7 +89,7 @@ def _state(t: Tables) -> DataFrame:
 
 @query(
     "run_health",
-    f"""WITH {_RANKED} SELECT * REPLACE (strftime(last_run_at, '%Y-%m-%d %H:%M:%S') AS last_run_at,
+    f"""WITH {_HEALTH} SELECT * REPLACE (strftime(last_run_at, '%Y-%m-%d %H:%M:%S') AS last_run_at,
           strftime(last_success_at, '%Y-%m-%d %H:%M:%S') AS last_success_at,
           strftime(last_asset_event_at, '%Y-%m-%d %H:%M:%S') AS last_asset_event_at) FROM state""",
 )
@@ -99,10 +99,11 @@ def run_health(t: Tables) -> DataFrame:
 
 @query(
     "failure_streak",
-    """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS rn
-                  FROM events), f AS (SELECT user_id, min(rn) AS rn FROM r WHERE event_type = 'purchase' GROUP BY 1)
-       SELECT CAST(r.user_id AS VARCHAR) AS unit, count(*) AS consecutive_failures FROM r LEFT JOIN f ON f.user_id = r.user_id
-       WHERE event_type = 'error' AND r.rn < coalesce(f.rn, 2147483647) GROUP BY 1""",
+    """SELECT CAST(e.user_id AS VARCHAR) AS unit, count(*) AS consecutive_failures FROM events e
+       WHERE e.event_type = 'error' AND NOT EXISTS (
+         SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'purchase'
+           AND (s.ts > e.ts OR s.ts = e.ts AND CAST(s.event_id AS VARCHAR) > CAST(e.event_id AS VARCHAR)))
+       GROUP BY 1""",
 )
 def failure_streak(t: Tables) -> DataFrame:
     return H.failure_streak(_runs(t), "unit", "state", "run_after", "run_id")
@@ -110,7 +111,7 @@ def failure_streak(t: Tables) -> DataFrame:
 
 @query(
     "asset_summary",
-    f"""WITH {_RANKED} SELECT l.unit, strftime(last_event_at, '%Y-%m-%d %H:%M:%S') AS last_event_at, asset_count, produces_assets
+    f"""WITH {_HEALTH} SELECT l.unit, strftime(last_event_at, '%Y-%m-%d %H:%M:%S') AS last_event_at, asset_count, produces_assets
         FROM latest l LEFT JOIN assets a ON a.unit = l.unit""",
 )
 def asset_summary(t: Tables) -> DataFrame:
@@ -119,7 +120,7 @@ def asset_summary(t: Tables) -> DataFrame:
 
 @query(
     "health_text",
-    f"""WITH {_RANKED}, lines AS (SELECT unit, unit || ': last run ' || coalesce(last_state, 'never') ||
+    f"""WITH {_HEALTH}, lines AS (SELECT unit, unit || ': last run ' || coalesce(last_state, 'never') ||
           coalesce(' at ' || strftime(last_run_at, '%Y-%m-%d %H:%M:%S'), '') || '; last success ' ||
           coalesce(strftime(last_success_at, '%Y-%m-%d %H:%M:%S'), 'never') ||
           CASE WHEN consecutive_failures > 0 THEN '; ' || consecutive_failures || ' consecutive failures since then' ELSE '' END ||
