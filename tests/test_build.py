@@ -40,3 +40,13 @@ def test_stores_keep_what_they_must(frame, name):
     if rule.touch:
         assert row[rule.touch].month == 9
     assert as_set(apply(name, old, new.limit(0))) == as_set(old)
+
+
+def test_ask_refuses_what_is_no_select(frame, tmp_path):
+    tables = {"things": frame("a int", 1, 2)}
+    assert build.ask(tables, "WITH t AS (SELECT a FROM things) SELECT a FROM t").count() == 2
+    for sql in (f"INSERT OVERWRITE DIRECTORY '{tmp_path}/x' USING csv SELECT * FROM things", "DROP VIEW things", "CREATE VIEW v AS SELECT 1",
+                f"FROM things INSERT OVERWRITE DIRECTORY '{tmp_path}/x' USING csv SELECT a"):
+        with pytest.raises(ValueError):
+            build.ask(tables, sql)
+    assert not (tmp_path / "x").exists()

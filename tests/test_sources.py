@@ -163,3 +163,19 @@ def test_land_events(spark, tmp_path):
     assert (row["event_id"], row["event_type"], row["amount_credits"], row["_source_file"]) == (
         "e1", "charge.failed", "1.5", "charges.json",
     )
+
+
+def test_ragged_and_reordered_csv_fail(spark, tmp_path):
+    for name, text in (("ragged", "id,name\n1,a,extra\n"), ("short", "id,name\n1\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+        with pytest.raises(Exception):  # noqa: B017
+            files.read_csv_text(spark, str(tmp_path / f"{name}.csv")).collect()
+    (tmp_path / "one.csv").write_text("id,name\n1,a\n")
+    (tmp_path / "two.csv").write_text("name,id\nb,2\n")
+    with pytest.raises(Exception):  # noqa: B017
+        files.read_csv_text(spark, [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")]).collect()
+
+
+def test_numbers_of_a_json_document_stay_as_sent(spark, tmp_path):
+    (tmp_path / "d.json").write_text('[{"n": 12345678.9, "b": true}]')
+    assert tuple(files.read_json_doc(spark, str(tmp_path / "d.json")).select("n", "b").first()) == ("12345678.9", "true")

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
@@ -55,3 +56,22 @@ def test_composite_key(frame):
 def test_cascade(frame):
     child = frame("d string, r string, s int", ("a", "1", 1), ("a", "2", 2))
     assert as_set(cascade(child, frame("d string, r string", ("a", "2")), ["d", "r"])) == {("a", "2", 2)}
+
+
+def test_unknown_update_columns_are_refused(frame):
+    with pytest.raises(ValueError, match="nope"):
+        run(frame, [("x", 1, 1)], [("x", 5, 5, 1)], update_cols=["a", "nope"])
+
+
+def test_a_repeated_key_without_order_fails(frame):
+    target = frame("k string, a int", ("x", 1))
+    ok = upsert(target, frame("k string, a int", ("x", 2), ("y", 3)), ["k"])
+    assert as_set(ok) == {("x", 2), ("y", 3)}
+    with pytest.raises(Exception, match="occurs twice"):
+        upsert(target, frame("k string, a int", ("x", 2), ("x", 3)), ["k"]).collect()
+
+
+def test_a_small_batch_leaves_the_target_in_place(spark):
+    target = spark.range(1000).selectExpr("id k", "id a")
+    plan = upsert(target, target.limit(3), ["k"], order_col="a")._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and "BroadcastHashJoin [k" in plan and "LeftOuter" in plan
