@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tierstone.operators import chunks as C
 from tierstone.operators import evals as E
 from tierstone.operators.results import bounded_result, load_report, passages_text
-from tierstone.operators.vectors import search, top_k_similar
+from tierstone.operators.vectors import search, top_k_of_each, top_k_similar
 
 TICKETS = "ticket_id string, customer_id string, product_sku string, subject string, body string"
 COMMENTS = "comment_id string, ticket_id string, author_role string, body string, created_at timestamp"
@@ -106,10 +106,20 @@ def test_bounded_result(frame):
     assert as_set(bounded_result(wide, order).select("i", "row_count", "truncated_by")) == {(1, 1, "bytes")}
 
 
+def test_search_for_a_set_of_vectors(frame):
+    corpus = frame("id string, v array<float>", ("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 3.0]), ("z", [0.0, 0.0]), ("n", None))
+    asked = frame("query_id int, v array<float>", (1, [5.0, 0.0]), (2, [1.0, 1.0]), (3, None))
+    got = top_k_of_each(corpus, asked, 4, "id", "v")
+    ranked = {(r["query_id"], r["rank"]): (r["id"], r["similarity"]) for r in got.collect()}
+    assert [ranked[1, i][0] for i in (1, 2, 3, 4)] == ["a", "b", "c", "z"] and ranked[1, 4][1] is None
+    assert [ranked[2, i][0] for i in (1, 2, 3, 4)] == ["a", "b", "c", "z"] and len(ranked) == 8
+    assert top_k_of_each(corpus, asked.limit(0), 4, "id", "v").collect() == []
+
+
 def test_load_report(frame):
     df = frame("t string, f string", ("a", "1"), ("a", "1"), ("a", "2"), ("b", "1"))
-    assert as_set(load_report(df, "t", "f")) == {("a", 2, 3), ("b", 1, 1), (None, 3, 4)}
-    assert as_set(load_report(df, "t", "f", total=False)) == {("a", 2, 3), ("b", 1, 1)}
+    assert as_set(load_report(df, "t", "f")) == {("a", 2, 3, False), ("b", 1, 1, False), (None, 3, 4, True)}
+    assert as_set(load_report(df, "t", "f", total=False)) == {("a", 2, 3, False), ("b", 1, 1, False)}
 
 
 RESPONSES = (

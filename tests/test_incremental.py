@@ -13,15 +13,20 @@ def test_high_water_load(spark, frame, tmp_path):
     first = frame(ORDERS, ("o1", "2026-03-01T00:00:00Z"), ("o2", "2026-03-02T00:00:00Z"))
     items = frame(ITEMS, ("o1", "a"), ("o2", "b"))
     loaded = I.load_since(spark, bronze, ("orders", first, "ordered_at"), {"items": items}, "order_id", "r1")
-    assert loaded == {"items": 2, "orders": 2}
+    assert loaded == {"items": 2, "orders": 2, "items__late": 0, "orders__late": 0}
     # nothing new: equal to the mark is not loaded
     assert I.load_since(spark, bronze, ("orders", first, "ordered_at"), {"items": items}, "order_id", "r2") == {
-        "items": 0, "orders": 0,
+        "items": 0, "orders": 0, "items__late": 0, "orders__late": 0,
     }
     second = first.unionByName(frame(ORDERS, ("o3", "2026-03-03T00:00:00Z"), ("o0", "2026-02-01T00:00:00Z")))
     more = frame(ITEMS, ("o1", "late"), ("o3", "c"))
     loaded = I.load_since(spark, bronze, ("orders", second, "ordered_at"), {"items": more}, "order_id", "r3")
-    assert loaded == {"items": 1, "orders": 1}
+    assert loaded == {"items": 1, "orders": 1, "items__late": 1, "orders__late": 1}
+    assert as_set(read_bronze(spark, f"{bronze}/orders__late").select("order_id")) == {("o0",)}
+    assert as_set(read_bronze(spark, f"{bronze}/items__late").select("order_id", "item")) == {("o1", "late")}
+    # under a later mark they are not reported again
+    loaded = I.load_since(spark, bronze, ("orders", second, "ordered_at"), {"items": more}, "order_id", "r4")
+    assert loaded == {"items": 0, "orders": 0, "items__late": 0, "orders__late": 0}
     assert as_set(read_bronze(spark, f"{bronze}/items").select("order_id", "item")) == {("o1", "a"), ("o2", "b"), ("o3", "c")}
     mark = I.high_water(spark, f"{bronze}/orders", "ordered_at")
     assert mark == "2026-03-03T00:00:00Z"

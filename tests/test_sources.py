@@ -150,6 +150,39 @@ def test_land_tickets_and_cursor(spark, tmp_path):
     assert as_set(B.read_bronze(spark, t).select("ticket_id")) == {("t1",), ("t2",), ("t3",)}
 
 
+def test_updated_tickets_count_once(spark, tmp_path):
+    from tierstone.plans.build import read_silver
+
+    def put(cursor, *tickets):
+        (tmp_path / "e.json").write_text(json.dumps({"next_cursor": cursor, "tickets": [
+            {"ticket_id": i, "ticket_status": s, "updated_at": u, "comments": [{"comment_id": c, "body": b} for c, b in said]}
+            for i, s, u, said in tickets
+        ]}))
+
+    t, c = str(tmp_path / "zendesk__tickets"), str(tmp_path / "zendesk__ticket_comments")
+    put("2026-03-02", ("t1", "open", "2026-03-01", [("c1", "a"), ("c2", "b")]), (None, "open", "2026-03-02", []), ("t2", "open", "2026-03-02", [("c3", "x")]))
+    B.land_tickets(spark, str(tmp_path / "e.json"), t, c, "r1", now="2026-03-03")
+    put("2026-03-09", ("t1", "solved", "2026-03-09", [("c1", "a"), ("c2", "edited"), ("c4", "d")]))
+    B.land_tickets(spark, str(tmp_path / "e.json"), t, c, "r2", cursor="2026-03-02", now="2026-03-10")
+    assert B.read_bronze(spark, t).count() == 4
+    s = read_silver(spark, str(tmp_path), ("zendesk__tickets", "zendesk__ticket_comments"))
+    assert as_set(s["tickets"].select("ticket_id", "ticket_status")) == {("t1", "solved"), ("t2", "open"), (None, "open")}
+    said = s["ticket_comments"].select("ticket_id", "comment_id", "body")
+    assert said.count() == 4 and as_set(said) == {("t1", "c1", "a"), ("t1", "c2", "edited"), ("t1", "c4", "d"), ("t2", "c3", "x")}
+
+
+def test_an_empty_batch_can_empty_its_label(spark, frame, tmp_path):
+    table = str(tmp_path / "t")
+    rows = frame("a string", "x", "y")
+    B.load_bronze(rows, table, "one: 1/2.csv", "r1")
+    B.load_bronze(rows.limit(1), table, "two.csv", "r1")
+    assert B.load_bronze(rows.limit(0), table, "one: 1/2.csv", "r2") == 0 and B.read_bronze(spark, table).count() == 3
+    assert B.load_bronze(rows.limit(0), table, "one: 1/2.csv", "r3", replace_empty=True) == 0
+    assert as_set(B.read_bronze(spark, table).select("_source_file")) == {("two.csv",)}
+    with pytest.raises(ValueError):
+        B.load_bronze(rows, table, F.col("a"), "r4", replace_empty=True)
+
+
 def test_land_events(spark, tmp_path):
     events = [
         {"id": f"e{i}", "type": kind, "created": "now", "data": {"object": {"charge_id": f"c{i}", "amount_credits": 1.5}}}

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.sources.bronze import load_bronze, read_bronze
+from tierstone.sources.bronze import SOURCE, as_text, load_bronze, read_bronze
 
 
 def high_water(spark: SparkSession, table_dir: str, column: str) -> str | None:
@@ -38,6 +38,26 @@ def children_of(child: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return child.join(parents.select(key), key, "left_semi")
 
 
+def _landed(spark: SparkSession, table_dir: str, columns: Sequence[str], but: str | None = None) -> DataFrame | None:
+    """The columns of a landed table without the rows of one label; None when it is not there yet."""
+    try:
+        rows = read_bronze(spark, table_dir, columns)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return (rows if but is None else rows.filter(F.col(SOURCE) != but)).select(*columns)
+
+
+def _missing(df: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rows of df that known does not have, nulls compared as values."""
+    if known is None:
+        return df
+    row = lambda rows: F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    there = known.select(row(known).alias("_known"))
+    return df.withColumn("_row", row(df)).join(there, F.col("_row") == F.col("_known"), "left_anti").drop("_row")
+
+
 def load_since(
     spark: SparkSession,
     bronze: str,
@@ -51,13 +71,27 @@ def load_since(
 
     Children go first and the parent last: the mark moves only once everything below
     it has landed, and a retry writes the same labels and so replaces itself.
+
+    What the load leaves behind lands in a table of its own, <name>__late: parents at or
+    before the mark that never landed, and children of no parent of this load that
+    never landed (a child is known by all its columns). Rows already there under an
+    earlier mark are not repeated.
     """
     table, rows, column = parent
     mark = high_water(spark, f"{bronze}/{table}", column)
     fresh = newer_than(rows, column, mark)
+    label = f"{table}:{mark}"
+    behind = {table: as_text(late(rows, column, mark, _landed(spark, f"{bronze}/{table}", [key]), [key]) if mark else rows.limit(0))}
+    for name, df in children.items():
+        known = _landed(spark, f"{bronze}/{name}", df.columns)
+        behind[name] = _missing(as_text(df.join(fresh.select(key), key, "left_anti")), known)
+    side = {}
+    for name, df in behind.items():
+        earlier = _landed(spark, f"{bronze}/{name}__late", df.columns, but=label)
+        side[f"{name}__late"] = load_bronze(_missing(df, earlier), f"{bronze}/{name}__late", label, run_id, now)
     loaded = {
         name: load_bronze(children_of(df, fresh, key), f"{bronze}/{name}", f"{name}:{mark}", run_id, now)
         for name, df in children.items()
     }
     loaded[table] = load_bronze(fresh, f"{bronze}/{table}", f"{table}:{mark}", run_id, now)
-    return loaded
+    return loaded | side

@@ -42,11 +42,14 @@ def bounded_result(
 
 
 def load_report(bronze: DataFrame, by: str, file_col: str, total: bool = True) -> DataFrame:
-    """Rows and distinct files per table, plus a grand total row with a null name."""
+    """Rows and files per table, plus a grand total row, which is_total marks: its name is
+    null like that of rows without a table. Rows without a file count as one file."""
     per_file = bronze.groupBy(by, file_col).agg(F.count(F.lit(1)).alias("n"))
     grouped = per_file.rollup(by) if total else per_file.groupBy(by)
     return grouped.agg(
-        F.count_distinct(by, file_col).alias("files"), F.sum("n").alias("rows")
+        F.count(F.lit(1)).alias("files"),
+        F.sum("n").alias("rows"),
+        (F.grouping(by) == 1 if total else F.lit(False)).alias("is_total"),
     )
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierstone.operators.ranking import top_n
+
 
 def top_k_similar(corpus: DataFrame, query: Sequence[float], k: int, id_col: str, vector_col: str) -> DataFrame:
     """The k rows closest to one query vector: id, similarity (1 - cosine distance).
@@ -49,6 +51,56 @@ def top_k_similar(corpus: DataFrame, query: Sequence[float], k: int, id_col: str
     return scored.orderBy(F.col("similarity").desc_nulls_last(), F.col(id_col).asc()).limit(k)
 
 
+# query vectors every task holds at once: 16,384 of 1,024 numbers are 128 MB
+MAX_QUERIES = 16_384
+
+
+def top_k_of_each(
+    corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_col: str = "query_id"
+) -> DataFrame:
+    """The k rows closest to each vector of a query set: query, id, similarity, rank (from 1).
+
+    queries holds query_col and vector_col, at most MAX_QUERIES rows, which every task
+    scores against its Arrow batches in one matrix product; k rows per query and batch
+    leave the task, never a pair more. A larger set is refused: search it in parts.
+    Rows without a vector are skipped; a zero vector has no angle and comes last as
+    null. Similarities within 1e-12 are ties and go by id.
+    """
+    asked = queries.select(query_col, vector_col).filter(F.col(vector_col).isNotNull()).limit(MAX_QUERIES + 1).toArrow()
+    if asked.num_rows > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} query vectors at once: search them in parts")
+    names = asked.column(0).combine_chunks()
+    wanted = np.asarray(asked.column(1).to_pylist(), dtype=np.float64).reshape(asked.num_rows, len(asked) and -1)
+    lengths = np.linalg.norm(wanted, axis=1)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(wanted):
+                continue
+            batch = batch.sort_by(batch.schema.names[0])
+            listed = batch.column(1)
+            if (np.diff(np.asarray(listed.offsets)) != wanted.shape[1]).any():
+                raise ValueError(f"expected vectors of {wanted.shape[1]} numbers")
+            rows = np.asarray(listed.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
+            scale = np.outer(np.linalg.norm(rows, axis=1), lengths)
+            score = np.round(np.divide(rows @ wanted.T, scale, out=np.full(scale.shape, np.nan), where=scale != 0), 12)
+            # rows come by id, so a stable sort leaves ties in that order
+            order = np.argsort(-score, axis=0, kind="stable")[:k]
+            picked, number = order.T.ravel(), np.repeat(np.arange(len(wanted)), len(order))
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(number)), batch.column(0).take(pa.array(picked)), pa.array(score[picked, number], from_pandas=True)],
+                names=[query_col, id_col, "similarity"],
+            )
+
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_col), (corpus, id_col))}
+    scored = (
+        corpus.select(id_col, vector_col)
+        .filter(F.col(vector_col).isNotNull())
+        .mapInArrow(best, f"{query_col} {kinds[query_col]}, {id_col} {kinds[id_col]}, similarity double")
+    )
+    return top_n(scored, [query_col], [F.col("similarity").desc_nulls_last(), F.col(id_col).asc()], k, "rank")
+
+
 def search(store: DataFrame, query: Sequence[float], k: int = 5) -> DataFrame:
     """The k closest stored chunks with their text."""
     hits = top_k_similar(store, query, k, "chunk_id", "embedding")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,24 @@ from tierstone.operators.results import bounded_result
 from tierstone.plans import gold as G
 from tierstone.plans.silver import SOURCES, silver_layer
 from tierstone.session import scratch
-from tierstone.sources.bronze import read_bronze
+from tierstone.sources.bronze import current, read_bronze
 
 # The data window of the domain.
 WINDOW_START, WINDOW_END = "2026-03-01", "2026-08-31"
 
 
-def read_silver(spark: SparkSession, bronze: str) -> dict[str, DataFrame]:
-    """The conformed layer over the landed tables below a folder, all of it lazy."""
-    return silver_layer({src: read_bronze(spark, f"{bronze}/{src}", cols) for src, cols in SOURCES.items()})
+# landed tables in which an update lands beside the row it replaces: key, version column
+VERSIONED = {"zendesk__tickets": ("ticket_id", "updated_at"), "zendesk__ticket_comments": ("comment_id", None)}
+
+
+def read_silver(spark: SparkSession, bronze: str, only: Collection[str] | None = None) -> dict[str, DataFrame]:
+    """The conformed layer over the landed tables below a folder, or over some of them,
+    all of it lazy. Tickets and comments that landed again count in their newest version."""
+    landed = {src: read_bronze(spark, f"{bronze}/{src}", cols) for src, cols in SOURCES.items() if only is None or src in only}
+    for src, (key, version) in VERSIONED.items():
+        if src in landed:
+            landed[src] = current(landed[src], key, version)
+    return silver_layer(landed)
 
 
 def data_window(spark: SparkSession, start: str = WINDOW_START, end: str = WINDOW_END) -> DataFrame:

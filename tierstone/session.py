@@ -120,6 +120,11 @@ def list_dirs(spark: SparkSession, pattern: str) -> list[str]:
     return [str(s.getPath().toString()) for s in files.globStatus(where) or []]
 
 
+def escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as it stands in a folder name."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     files, where = _folder(spark, path)
     files.delete(where, True)

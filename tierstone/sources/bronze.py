@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierstone.operators.ranking import ordinal
+from tierstone.session import drop_dir, escaped, settle
 from tierstone.sources.files import listing, read_csv_text, read_json_doc
 
 # The lineage columns every landed row carries.
@@ -30,16 +32,20 @@ def as_text(df: DataFrame) -> DataFrame:
 
 
 def load_bronze(
-    df: DataFrame, table_dir: str, source: str | Column, run_id: str, now: str | None = None, mixed: bool = False
+    df: DataFrame, table_dir: str, source: str | Column, run_id: str, now: str | None = None, mixed: bool = False,
+    replace_empty: bool = False,
 ) -> int:
     """Land df under its source label(s) and return the number of rows written.
 
     Labels are partitions and only the written ones are replaced, so a stable label
-    replaces itself, a new one appends, and an empty batch changes nothing. Rows go
+    replaces itself, a new one appends, and an empty batch changes nothing, unless
+    replace_empty says that it empties its label, which must then be a text. Rows go
     straight from the reading task to its files. Set mixed where the labels of a
     column lie mixed in the input: the rows are then rebalanced by label, and AQE
     splits the files of a label with most of the rows and merges the tiny ones.
     """
+    if replace_empty and not isinstance(source, str):
+        raise ValueError("an empty batch has no labels of a column to empty")
     reserved = sorted(set(df.columns) & set(LINEAGE))
     if reserved:
         raise ValueError(f"payload uses reserved lineage columns: {reserved}")
@@ -56,7 +62,10 @@ def load_bronze(
         .partitionBy(SOURCE)
         .parquet(table_dir)
     )
-    return seen.get["rows"]
+    written = seen.get["rows"]
+    if replace_empty and not written:
+        drop_dir(df.sparkSession, f"{table_dir}/{SOURCE}={escaped(df.sparkSession, source)}")
+    return written
 
 
 def read_bronze(spark: SparkSession, table_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -76,6 +85,16 @@ def read_bronze(spark: SparkSession, table_dir: str, columns: Sequence[str] | No
     return spark.read.schema(T.StructType(fields + lineage)).parquet(table_dir)
 
 
+def current(landed: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """The rows that hold the newest version of each key of a landed table: by the version
+    column where there is one, then by load. Rows that repeat a key within that
+    version and load all stay, as do rows without a key, for the checks to see.
+    """
+    newest = [F.col(c).desc_nulls_last() for c in ([version] if version else []) + [LOADED_AT, SOURCE]]
+    keyed = landed.filter(F.col(key).isNotNull()).withColumn("_version", F.rank().over(W.partitionBy(key).orderBy(*newest)))
+    return keyed.filter("_version = 1").drop("_version").unionByName(landed.filter(F.col(key).isNull()))
+
+
 def land_csv_folder(spark: SparkSession, pattern: str, bronze: str, prefix: str, run_id: str) -> dict[str, int]:
     """One table per CSV file, named prefix__<file stem>."""
     files = listing(spark, pattern).collect()  # one row per file of a curated folder
@@ -163,10 +182,11 @@ def land_tickets(
     """Ticket documents into a ticket and a comment table; returns the rows of both and
     the next cursor, which the caller keeps only now that both are stored.
 
-    A cursor takes the tickets updated after it and adds them under a label of its own.
-    A document is read by one task, so a large export should come as many files.
+    A cursor takes the tickets updated after it and adds them under a label of its own, so
+    an updated ticket lands again; `current` picks the versions that count. A document
+    is read by one task, so a large export should come as many files; it is parsed once.
     """
-    documents = read_json_doc(spark, pattern, schema)
+    documents = settle(read_json_doc(spark, pattern, schema).select("tickets", "next_cursor"), "ticket-documents")
     tickets = documents.select(F.inline("tickets"))
     label = "tickets.json"
     if cursor is not None:

@@ -1 +1 @@
-from tierstone.workload import checks, context, landing, star, traces  # noqa: F401
+from tierstone.workload import checks, context, lake, landing, star, traces  # noqa: F401

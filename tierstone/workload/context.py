@@ -12,7 +12,7 @@ from tierstone.operators import health as H
 from tierstone.operators.membership import changed, contained, match, members, missing
 from tierstone.operators.ranking import top_n
 from tierstone.operators.results import bounded_result, passages_text
-from tierstone.operators.vectors import top_k_similar
+from tierstone.operators.vectors import top_k_of_each, top_k_similar
 from tierstone.workload import standins as I
 from tierstone.workload.registry import Tables, query
 from tierstone.workload.standins import plain, text, with_sql
@@ -290,6 +290,19 @@ def vector_topk(t: Tables) -> DataFrame:
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "vector_search_set",
+    """SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
+       FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY rank <= 5""",
+)
+def vector_search_set(t: Tables) -> DataFrame:
+    """The five closest of all vectors to each of a stated query set."""
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = top_k_of_each(t.embeddings, asked, 5, "vec_id", "embedding")
+    return plain(hits, similarity=6)
+
+
 @query(
     "passages_text",
     """SELECT doc_id, md5('[' || doc_id || '] ticket ' || source || CASE WHEN lang <> 'en' THEN ' product ' || lang ELSE '' END ||

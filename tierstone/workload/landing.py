@@ -208,8 +208,9 @@ def incr_children(t: Tables) -> DataFrame:
 
 @query(
     "load_report",
-    """SELECT lang, count(DISTINCT source) AS files, count(*) AS rows FROM documents GROUP BY 1
-       UNION ALL SELECT NULL, count(DISTINCT (lang, source)), count(*) FROM documents""",
+    """WITH f AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
+       SELECT lang, count(*) AS files, sum(n)::BIGINT AS rows, false AS is_total FROM f GROUP BY 1
+       UNION ALL SELECT NULL, count(*), sum(n)::BIGINT, true FROM f""",
 )
 def load_report_query(t: Tables) -> DataFrame:
     """Documents as landed rows: the language is the table, the source its file."""

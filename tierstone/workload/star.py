@@ -510,7 +510,7 @@ def mart_product_performance(t: Tables) -> DataFrame:
         G.mart_product_performance(
             G.dim_product(I.products(t), I.product_categories(t)),
             lines_fact(t),
-            G.order_refunds(I.refunds(t)).withColumn("was_refunded", F.lit(True)),
+            G.order_refunds(I.refunds(t)).withColumn("was_refunded", F.col("_refunded").isNotNull()),
             tickets_fact(t),
         )
     )
