@@ -88,6 +88,21 @@ def test_hot_group_of_near_copies(documents):
     assert {r["class_id"] for r in got if r["doc_id"] < 300} == {0} and all(r["class_rows"] == 300 for r in got if r["doc_id"] < 300)
 
 
+def test_families_that_share_most_of_a_page(documents):
+    """Buckets hold many families, and no member of most of them is central in any."""
+    draw = np.random.default_rng(5)
+    page = [f"p{i}" for i in range(75)]
+    rows = []
+    for family in range(60):
+        own = [f"f{family}x{i}" for i in range(20)]
+        for _ in range(3):
+            words = page + own
+            words[int(draw.integers(75, 95))] = f"c{len(rows)}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(documents(*rows)).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 60
+
+
 def test_one_of_each_class_stays(documents):
     rows = corpus()
     docs = documents(*rows)

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tierstone.llm.components import connected
 from tierstone.session import settle
@@ -26,6 +27,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**6)**32 = 0.99994
 SMALL = 6  # buckets of up to so many texts compare all their pairs, larger ones by leaders
+FEW = 32  # texts that share a rare shingle compare all their pairs up to so many, more of them by leaders
 CHARS = 2_000_000  # characters hashed at once; a longer text goes alone
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -209,6 +211,28 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return joined.mapInPandas(check, "a binary, b binary")
 
 
+def _rare_keys(texts: DataFrame, similarity: float) -> DataFrame:
+    """(key, digest) of the shingles of each text that a text with `similarity` can't all do without.
+
+    With the shingles of every text in one order, rarest first, the first shingle two such texts have in common has at
+    most a part of 1 - similarity of either text before it. So the shingles up to there, and no others, are keys.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in _batches(iter([frame]), "text"):
+                owner, shingles, weights, _, _ = bags(part["text"].tolist())
+                yield pd.DataFrame({"digest": part["digest"].to_numpy()[owner], "key": shingles.view(np.int64), "weight": weights})
+
+    rows = settle(texts.mapInPandas(run, "digest binary, key long, weight int"), "shingles")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    in_order = Window.partitionBy("digest").orderBy("n", "key")
+    before = F.sum("weight").over(in_order) - F.col("weight")
+    total = F.sum("weight").over(Window.partitionBy("digest"))
+    placed = rows.join(counts, "key").withColumn("before", before).withColumn("total", total)
+    return placed.filter((F.col("n") > 1) & (F.col("before") <= F.col("total") * (1 - similarity) + 1e-9)).select("key", "digest")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, text_key, class_id, class_rows, links.
 
@@ -219,7 +243,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Candidates come from the bands. A small bucket compares all its pairs. A large one links its members
     to its most central text (the one that meets most texts over all bands); then, while that finds links,
-    the parts of each bucket that are still apart are compared through their most central members.
+    the parts of each bucket that are still apart are compared through their most central members. The texts of
+    buckets that end in several parts meet once more over their rare shingles, of which two such
+    texts share at least one: all pairs of a rare shingle across parts, or leaders where more than FEW texts hold it.
     """
     sketched = settle(sketch(docs, bands, rows), "sketches")
     classes = sketched.filter("words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -240,22 +266,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     tried = settle(_small_pairs(members).union(_leader_pairs(members.filter(F.col("n") > SMALL))).distinct(), "pairs")
     links = settle(verified(tried, texts, similarity), "links")
-    large = members.filter(F.col("n") > SMALL)
-    while True:
-        roots = connected(links)
-        part = F.coalesce("root", "digest").alias("part")
-        parts = large.join(roots, F.col("digest") == F.col("node"), "left").groupBy("key", part).agg(
-            F.max(F.struct("central", "digest")).alias("best")
-        )
-        rest = parts.select("key", "best.central", "best.digest")
-        fresh = settle(_leader_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        found = settle(verified(fresh, texts, similarity), "links")
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        tried = tried.union(fresh)
+    large = members.filter(F.col("n") > SMALL).select("key", "digest", "central")
+    links, tried, roots = _through_leaders(large, texts, links, tried, similarity)
+
+    # buckets that still hold several parts may hide links between texts that are not central
+    parted = _with_part(large, roots)
+    mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    left = settle(parted.join(mixed.select("key"), "key", "left_semi").select("digest", "part", "central").distinct(), "left-texts")
+    rare = settle(_rare_keys(texts.join(left.select("digest"), "digest", "left_semi"), similarity).join(left, "digest"), "rare-keys")
+    kinds = rare.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    rare = settle(rare.join(kinds.select("key", "n"), "key"), "rare-keys")
+    one, other = rare.filter(F.col("n") <= FEW), rare.select("key", F.col("digest").alias("b"), F.col("part").alias("part_b"))
+    across = one.join(other, "key").filter("digest < b AND part <> part_b").select(F.col("digest").alias("a"), "b").distinct()
+    fresh = settle(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links, tried = links.union(settle(verified(fresh, texts, similarity), "links")), tried.union(fresh)
+    many = rare.filter(F.col("n") > FEW).select("key", "digest", "central")
+    links, tried, roots = _through_leaders(many, texts, links, tried, similarity)
 
     degree = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("links"))
     joined = classes.select("digest", "doc_id").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
@@ -268,6 +294,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     )
 
 
+def _with_part(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the component of their digest."""
+    return rows.join(roots, F.col("digest") == F.col("node"), "left").withColumn("part", F.coalesce("root", "digest")).drop("node", "root")
+
+
+def _through_leaders(
+    rows: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, similarity: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, tried, components): the parts of every bucket of rows (key, digest, central) that are still apart meet
+    through their most central members, until that finds no link."""
+    while True:
+        roots = connected(links)
+        parts = _with_part(rows, roots).groupBy("key", "part").agg(F.max(F.struct("central", "digest")).alias("best"))
+        rest = parts.select("key", "best.central", "best.digest")
+        fresh = settle(_leader_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = settle(verified(fresh, texts, similarity), "links")
+        tried = tried.union(fresh)
+        if found.isEmpty():
+            return links, tried, roots
+        links = links.union(found)
+
+
 def keep_one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that lead their class: those whose doc_id is its class_id, once where a row repeats."""
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
