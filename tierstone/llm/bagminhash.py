@@ -279,9 +279,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     one, other = rare.filter(F.col("n") <= FEW), rare.select("key", F.col("digest").alias("b"), F.col("part").alias("part_b"))
     across = one.join(other, "key").filter("digest < b AND part <> part_b").select(F.col("digest").alias("a"), "b").distinct()
     fresh = settle(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links, tried = links.union(settle(verified(fresh, texts, similarity), "links")), tried.union(fresh)
+    found, tried = settle(verified(fresh, texts, similarity), "links"), tried.union(fresh)
+    if not found.isEmpty():
+        links, roots = links.union(found), None
     many = rare.filter(F.col("n") > FEW).select("key", "digest", "central")
-    links, tried, roots = _through_leaders(many, texts, links, tried, similarity)
+    links, tried, roots = _through_leaders(many, texts, links, tried, similarity, roots)
 
     degree = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("links"))
     joined = classes.select("digest", "doc_id").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
@@ -300,12 +302,12 @@ def _with_part(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _through_leaders(
-    rows: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, similarity: float
+    rows: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, similarity: float, roots: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, tried, components): the parts of every bucket of rows (key, digest, central) that are still apart meet
-    through their most central members, until that finds no link."""
+    through their most central members, until that finds no link. roots: the components of links where known."""
     while True:
-        roots = connected(links)
+        roots = connected(links) if roots is None else roots
         parts = _with_part(rows, roots).groupBy("key", "part").agg(F.max(F.struct("central", "digest")).alias("best"))
         rest = parts.select("key", "best.central", "best.digest")
         fresh = settle(_leader_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -313,7 +315,7 @@ def _through_leaders(
         tried = tried.union(fresh)
         if found.isEmpty():
             return links, tried, roots
-        links = links.union(found)
+        links, roots = links.union(found), None
 
 
 def keep_one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
