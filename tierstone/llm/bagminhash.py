@@ -248,7 +248,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts share at least one: all pairs of a rare shingle across parts, or leaders where more than FEW texts hold it.
     """
     sketched = settle(sketch(docs, bands, rows), "sketches")
-    classes = sketched.filter("words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    # one grouping of the rows, combined before its exchange, gives all that is asked of equal texts; from here on a text is one row
+    classes = sketched.filter("words > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("row")
+    )
     classes = settle(classes, "text-classes")
     keyed = classes.select("digest", F.explode("bands").alias("key"))
     sizes = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -257,8 +260,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     members = settle(members.join(central, "digest"), "bucket-members")
 
     # texts of the candidates; a row is right if its words have the digest that is asked for
-    wanted = members.select("digest").distinct()
-    holders = sketched.join(wanted, "digest").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("digest", "row.*")
+    holders = classes.select("digest", "row.*").join(members.select("digest").distinct(), "digest")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).withColumn("_key", F.xxhash64("text"))
     texts = source.join(holders, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     # rows that repeat both id and text would repeat the digest
@@ -286,9 +288,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links, tried, roots = _through_leaders(many, texts, links, tried, similarity, roots)
 
     degree = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("links"))
-    joined = classes.select("digest", "doc_id").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
-    copies = sketched.filter("words > 0").groupBy("digest").agg(F.count("*").alias("copies"))
-    named = joined.join(copies, "digest").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_rows"))
+    joined = classes.select("digest", "doc_id", "copies").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
+    named = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_rows"))
     of_text = settle(joined.select("digest", "root").join(named, "root").join(degree, "digest", "left").drop("root"), "classes")
     return sketched.join(of_text, "digest", "left").select(
         "doc_id", "text_key", F.when(F.col("words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
