@@ -27,7 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**6)**32 = 0.99994
 SMALL = 6  # buckets of up to so many texts compare all their pairs, larger ones by leaders
-FEW = 32  # texts that share a rare shingle compare all their pairs up to so many, more of them by leaders
+FEW = 32  # texts that share a rare shingle compare all their pairs at once up to so many; of more, leaders go first
+BLOCK = 256  # texts of one rare shingle that a task pairs with as many others
 CHARS = 2_000_000  # characters hashed at once; a longer text goes alone
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -212,10 +213,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def _rare_keys(texts: DataFrame, similarity: float) -> DataFrame:
-    """(key, digest) of the shingles of each text that a text with `similarity` can't all do without.
+    """(key, digest, before, total) of the shingles of each text that a text with `similarity` can't all do without.
 
     With the shingles of every text in one order, rarest first, the first shingle two such texts have in common has at
     most a part of 1 - similarity of either text before it. So the shingles up to there, and no others, are keys.
+    before: the weight of the text's shingles ahead of the key; total: of all its shingles.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,7 +232,27 @@ def _rare_keys(texts: DataFrame, similarity: float) -> DataFrame:
     before = F.sum("weight").over(in_order) - F.col("weight")
     total = F.sum("weight").over(Window.partitionBy("digest"))
     placed = rows.join(counts, "key").withColumn("before", before).withColumn("total", total)
-    return placed.filter((F.col("n") > 1) & (F.col("before") <= F.col("total") * (1 - similarity) + 1e-9)).select("key", "digest")
+    return placed.filter((F.col("n") > 1) & (F.col("before") <= F.col("total") * (1 - similarity) + 1e-9)).select("key", "digest", "before", "total")
+
+
+def _pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of rows (key, digest, part, before, total, bands) of one key and two parts that can have `similarity`.
+
+    At the first shingle two texts have in common, what each has from there on bounds their overlap; a pair with `similarity` passes
+    that bound there, and its texts meet in a band. The members of a key are dealt into blocks, and a task takes two blocks.
+    """
+    kinds = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.join(kinds.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    one = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "digest", "part", "before", "total", "bands")
+    other = dealt.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("digest").alias("b"),
+        F.col("part").alias("part_b"), F.col("before").alias("before_b"), F.col("total").alias("total_b"), F.col("bands").alias("bands_b"),
+    )
+    most = F.least(F.col("total") - F.col("before"), F.col("total_b") - F.col("before_b"))
+    near = (most * (1 + similarity) >= similarity * (F.col("total") + F.col("total_b")) - 1e-9) & F.arrays_overlap("bands", "bands_b")
+    paired = one.join(other, ["key", "i", "j"]).filter("part <> part_b AND (i < j OR digest < b)").filter(near)
+    return paired.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -245,7 +267,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     to its most central text (the one that meets most texts over all bands); then, while that finds links,
     the parts of each bucket that are still apart are compared through their most central members. The texts of
     buckets that end in several parts meet once more over their rare shingles, of which two such
-    texts share at least one: all pairs of a rare shingle across parts, or leaders where more than FEW texts hold it.
+    texts share at least one: all pairs of a rare shingle across parts. Where more than FEW texts hold it, leaders join
+    what they can first, and all pairs across the parts that are left follow.
     """
     sketched = settle(sketch(docs, bands, rows), "sketches")
     # one grouping of the rows, combined before its exchange, gives all that is asked of equal texts; from here on a text is one row
@@ -286,6 +309,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         links, roots = links.union(found), None
     many = rare.filter(F.col("n") > FEW).select("key", "digest", "central")
     links, tried, roots = _through_leaders(many, texts, links, tried, similarity, roots)
+    apart = _with_part(rare.filter(F.col("n") > FEW).select("key", "digest", "before", "total"), roots).join(classes.select("digest", "bands"), "digest")
+    fresh = settle(_pairs_across(apart, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = settle(verified(fresh, texts, similarity), "links")
+    if not found.isEmpty():
+        links = links.union(found)
+        roots = connected(links)
 
     degree = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("links"))
     joined = classes.select("digest", "doc_id", "copies").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
