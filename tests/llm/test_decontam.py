@@ -41,6 +41,17 @@ def test_one_value_of_the_item_can_not_become_two(spark, documents):
     assert rows_of(decontam.leaks(docs, item), "doc_id") == [(1,)]
 
 
+def test_a_conflict_does_not_hide_the_windows_beside_it(spark, documents):
+    start = "he has 5 red apples and walks along the river with his old dog until the sun goes down behind the hills"
+    item = spark.createDataFrame([(1, f"{start} then he buys 5 green pears for 300 people"), (2, f"goes 60 km in 60 minutes {start[18:]} for 7 days")], "item_id long, text string")
+    docs = documents(
+        (1, f"{start} then he buys 8 green pears for 300 people"),
+        (2, f"goes 90 km in 45 minutes {start[18:]} for 9 days"),
+    )
+    found = {(d, i): (w, c) for d, i, w, c in rows_of(decontam.leaks(docs, item), "doc_id", "item_id", "windows", "changed")}
+    assert found[(1, 1)][0] >= 10 and found[(1, 1)][1] == 1 and found[(2, 2)][0] >= 8 and found[(2, 2)][1] >= 1
+
+
 def test_plan_has_no_python_and_scans_only_what_it_needs(documents, benchmark):
     plan = decontam.leaks(documents((1, ITEMS[1][1])), benchmark)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

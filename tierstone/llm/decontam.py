@@ -3,7 +3,8 @@
 Tokens are words, numbers and sentence marks. Numbers, capitalised words inside a sentence and units after a
 number become typed placeholders; other words are taken in small letters. Windows of these templates are joined
 by hash. A window in common is a leak if its slots are consistent: along one alignment of item and document, equal values of the
-item must stand opposite equal values of the document.
+item must stand opposite equal values of the document. Where they don't, the windows without a value in conflict still count, and so do those that
+agree with the most frequent value of the document for each of the item; these alone make a leak if they are most of the alignment.
 """
 
 from __future__ import annotations
@@ -80,6 +81,30 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _consistent(parts: Column) -> Column:
+    """struct<kept: the windows (arrays of slots) of an alignment that count, free: the number of them without a value in conflict>."""
+    rival = lambda s, o: (s["kind"] == o["kind"]) & (s["item"] == o["item"])
+    same = lambda s: s["item"] == s["doc"]
+
+    def voted(slots: Column) -> Column:
+        return F.transform(slots, lambda s: F.struct(
+            s.alias("slot"), F.struct(F.size(F.filter(parts, lambda p: F.array_contains(p, s))), same(s), s["doc"]).alias("rank"),
+        ))
+
+    def judged(votes: Column) -> Column:
+        chosen = F.filter(votes, lambda v: ~F.exists(votes, lambda o: rival(v["slot"], o["slot"]) & (o["rank"] > v["rank"])))
+        single = F.filter(votes, lambda v: ~F.exists(votes, lambda o: rival(v["slot"], o["slot"]) & (o["slot"]["doc"] != v["slot"]["doc"])))
+        names = lambda found: F.transform(found, lambda v: v["slot"])
+        return _let(F.struct(names(chosen).alias("chosen"), names(single).alias("single")), windows_of)
+
+    def windows_of(by: Column) -> Column:
+        free = lambda p: F.forall(p, lambda s: same(s) | F.array_contains(by["single"], s))
+        kept = F.filter(parts, lambda p: free(p) | F.forall(p, lambda s: F.array_contains(by["chosen"], s)))
+        return F.struct(kept.alias("kept"), F.size(F.filter(parts, free)).alias("free"))
+
+    return _let(F.array_distinct(F.flatten(parts)), lambda slots: _let(voted(slots), judged))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, item_id, windows, item_share, changed): one row per document and item it gives away.
 
@@ -115,12 +140,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
         lambda s: s["kind"].startswith("#"),
     )
     aligned = joined.withColumn("slots", slots).groupBy("doc_id", "text_key", "item_id", "item", (F.col("pos") + 1 - F.col("at")).alias("shift")).agg(
-        F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")  # no more than the item has
+        F.collect_list("slots").alias("parts")  # no more than the item has windows
     )
-    sources = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))
-    consistent = aligned.filter(F.size(sources) == F.size("slots"))
-    changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
-    best = consistent.withColumn("changed", changed).groupBy("doc_id", "text_key", "item_id", "item").agg(
+    judged = aligned.withColumn("judged", _consistent(F.col("parts"))).filter((F.col("judged.free") > 0) | (2 * F.size("judged.kept") > F.size("parts")))
+    changed = F.size(F.filter(F.array_distinct(F.flatten("judged.kept")), lambda s: s["item"] != s["doc"]))
+    best = judged.withColumn("windows", F.size("judged.kept").cast("long")).withColumn("changed", changed).groupBy("doc_id", "text_key", "item_id", "item").agg(
         F.max(F.struct("windows", (-F.col("changed")).alias("same"))).alias("best")
     )
     totals = items.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("total"))
