@@ -41,6 +41,18 @@ def test_one_value_of_the_item_can_not_become_two(spark, documents):
     assert rows_of(decontam.leaks(docs, item), "doc_id") == [(1,)]
 
 
+def test_names_that_begin_a_sentence_or_are_all_in_capitals(spark, documents):
+    item = spark.createDataFrame(
+        [(1, "Tom has 3 apples. Tom buys 4 pears. Tom eats 2 apples."), (2, "Paula sells seven old books"), (3, "the engineers at IBM wrote a report on rain")],
+        "item_id long, text string",
+    )
+    docs = documents(
+        (1, "So it is. Ann has 5 apples. Ann buys 6 pears. Ann eats 1 apples. Yes."), (2, "Now: Maria sells seven old books"),
+        (3, "the engineers at NASA wrote a report on rain"), (4, "Ann has 5 apples and Ann buys a pear"),
+    )
+    assert rows_of(decontam.leaks(docs, item), "doc_id", "item_id", "windows", "changed") == [(1, 1, 5, 4), (2, 2, 1, 1), (3, 3, 2, 1)]
+
+
 def test_a_conflict_does_not_hide_the_windows_beside_it(spark, documents):
     start = "he has 5 red apples and walks along the river with his old dog until the sun goes down behind the hills"
     item = spark.createDataFrame([(1, f"{start} then he buys 5 green pears for 300 people"), (2, f"goes 60 km in 60 minutes {start[18:]} for 7 days")], "item_id long, text string")

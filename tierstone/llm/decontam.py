@@ -1,8 +1,9 @@
 """Benchmark items inside documents, also with other numbers, names and units. DataFrame functions only.
 
 Tokens are words, numbers and sentence marks. Numbers, capitalised words inside a sentence and units after a
-number become typed placeholders; other words are taken in small letters. Windows of these templates are joined
-by hash. A window in common is a leak if its slots are consistent: along one alignment of item and document, equal values of the
+number become typed placeholders; other words are taken in small letters. A capitalised word that begins a sentence and a word all in
+capitals may be a name or not: windows with such words have a second template, in which they are names. Windows of both templates are
+joined by hash. A window in common is a leak if its slots are consistent: along one alignment of item and document, equal values of the
 item must stand opposite equal values of the document. Where they don't, the windows without a value in conflict still count, and so do those that
 agree with the most frequent value of the document for each of the item; these alone make a leak if they are most of the alignment.
 """
@@ -64,20 +65,54 @@ def _cut(tokens: Column, size: int) -> Column:
     return _let(tokens, lambda t: _windows(t, size))
 
 
+def _open(token: Column) -> Column:
+    """Whether a word in small letters may be a name: it begins a sentence or is all in capitals."""
+    first = F.substring(token["r"], 1, 1)
+    return (first != F.lower(first)) & ~token["c"].startswith("#")
+
+
+def _as_names(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.struct(F.when(_open(t), F.lit("#name")).otherwise(t["c"]).alias("c"), t["r"].alias("r")))
+
+
+def _named_places(tokens: Column, size: int) -> Column:
+    """Where the windows begin whose second template is another."""
+    def around(n: Column) -> Column:
+        places = F.filter(F.transform(tokens, lambda t, i: F.when(_open(t), i + 1)), lambda i: i.isNotNull())
+        starts = F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(F.lit(1), i - (size - 1)), F.least(i, n - (size - 1)))))
+        return F.when(n >= size, F.array_distinct(starts)).otherwise(F.array().cast("array<int>"))
+
+    return _let(F.size(tokens), around)
+
+
+def _named_hashes(tokens: Column, size: int) -> Column:
+    """Hash of the second template of every window that has another one."""
+    def of(names: Column) -> Column:
+        words = F.transform(names, lambda t: t["c"])
+        return _let(words, lambda w: F.transform(_named_places(tokens, size), lambda i: F.xxhash64(F.lit(size), F.slice(w, i, F.lit(size)))))
+
+    return _let(_as_names(tokens), of)
+
+
 def _hashes(tokens: Column, size: int) -> Column:
     """Hash of every window; the size is part of it."""
     return _let(F.transform(tokens, lambda t: t["c"]), lambda words: F.transform(_windows(words, size), lambda w: F.xxhash64(F.lit(size), w)))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item, size, hash, at, tokens of the window) for every window with enough literal words; item: item_id and text hash."""
+    """(item_id, item, size, hash, at, tokens of the window, named) for every window and template with enough literal words.
+
+    item: item_id and text hash; named: 1 for second templates.
+    """
     named = benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))
     items = with_tokens(named).withColumn("size", F.least(F.lit(window), F.size("tokens"))).filter(F.col("size") >= FIXED)
     place = F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1))
-    cut = items.distinct().select("*", place.alias("at")).withColumn("part", F.slice("tokens", F.col("at"), F.col("size")))
+    first = items.distinct().select("*", place.alias("at")).withColumn("part", F.slice("tokens", F.col("at"), F.col("size"))).withColumn("named", F.lit(0))
+    second = first.filter(F.exists("part", _open)).withColumn("part", _as_names(F.col("part"))).withColumn("named", F.lit(1))
+    cut = first.union(second)
     literal = F.size(F.filter("part", lambda t: ~t["c"].startswith("#")))
     return cut.filter(literal >= FIXED).select(
-        "item_id", "item", "size", F.xxhash64(F.col("size"), F.col("part.c")).alias("hash"), "at", F.col("part").alias("item_part")
+        "item_id", "item", "size", F.xxhash64(F.col("size"), F.col("part.c")).alias("hash"), "at", F.col("part").alias("item_part"), "named"
     )
 
 
@@ -122,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     known = items.select("hash").distinct()
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    hashes = _let(F.col("tokens"), lambda t: F.concat(*(_hashes(t, s) for s in sizes)))
+    hashes = _let(F.col("tokens"), lambda t: F.concat(*(h(t, s) for s in sizes for h in (_hashes, _named_hashes))))
     seen = with_tokens(named).select("doc_id", "text_key", F.explode(hashes).alias("hash"))
     # only the documents with a window in common are looked at again
     some = settle(seen.join(known, "hash").select("doc_id", "text_key").distinct(), "matched-documents")
@@ -131,7 +166,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     windows = None
     for size in sizes:
         cut = F.posexplode(_cut(F.col("tokens"), size)).alias("pos", "doc_part")
-        part = found.select("doc_id", "text_key", cut).withColumn("hash", F.xxhash64(F.lit(size), F.col("doc_part.c")))
+        first = found.select("doc_id", "text_key", cut).withColumn("doc_named", F.lit(0))
+        second = first.filter(F.exists("doc_part", _open)).withColumn("doc_part", _as_names(F.col("doc_part"))).withColumn("doc_named", F.lit(1))
+        part = first.union(second).withColumn("hash", F.xxhash64(F.lit(size), F.col("doc_part.c")))
         windows = part if windows is None else windows.union(part)
     known_parts = items if items.count() > BROADCAST_ROWS // window else F.broadcast(items)
     joined = windows.join(known_parts, "hash").filter(F.col("doc_part.c") == F.col("item_part.c"))
@@ -139,15 +176,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
         F.zip_with("item_part", "doc_part", lambda i, d: F.struct(i["c"].alias("kind"), F.lower(i["r"]).alias("item"), F.lower(d["r"]).alias("doc"))),
         lambda s: s["kind"].startswith("#"),
     )
-    aligned = joined.withColumn("slots", slots).groupBy("doc_id", "text_key", "item_id", "item", (F.col("pos") + 1 - F.col("at")).alias("shift")).agg(
-        F.collect_list("slots").alias("parts")  # no more than the item has windows
+    alignment = ("doc_id", "text_key", "item_id", "item", "shift")
+    placed = joined.select(*alignment[:4], (F.col("pos") + 1 - F.col("at")).alias("shift"), "at", (F.col("named") + F.col("doc_named")).alias("named"), slots.alias("slots"))
+    # a window in common by several templates counts once, with the fewest names
+    once = placed.groupBy(*alignment, "at").agg(F.min(F.struct("named", "slots")).alias("least"))
+    aligned = once.groupBy(*alignment).agg(
+        F.collect_list("least.slots").alias("all"), F.collect_list(F.when(F.col("least.named") == 0, F.col("least.slots"))).alias("plain")
+    )  # no more than the item has windows
+    # names of second templates may be none: where they bring a conflict, the windows of first templates are judged alone
+    tries = F.explode(F.filter(F.array("all", "plain"), lambda p: F.size(p) > 0)).alias("parts")
+    judged = aligned.select(*alignment, tries).withColumn("judged", _consistent(F.col("parts"))).filter(
+        (F.col("judged.free") > 0) | (2 * F.size("judged.kept") > F.size("parts"))
     )
-    judged = aligned.withColumn("judged", _consistent(F.col("parts"))).filter((F.col("judged.free") > 0) | (2 * F.size("judged.kept") > F.size("parts")))
     changed = F.size(F.filter(F.array_distinct(F.flatten("judged.kept")), lambda s: s["item"] != s["doc"]))
     best = judged.withColumn("windows", F.size("judged.kept").cast("long")).withColumn("changed", changed).groupBy("doc_id", "text_key", "item_id", "item").agg(
         F.max(F.struct("windows", (-F.col("changed")).alias("same"))).alias("best")
     )
-    totals = items.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("total"))
+    totals = items.groupBy(F.col("item").alias("_item")).agg(F.countDistinct("at").alias("total"))
     return best.join(totals, F.col("item") == F.col("_item")).select(
         "doc_id", "text_key", "item_id", F.col("best.windows").alias("windows"), (F.col("best.windows") / F.col("total")).alias("item_share"),
         (-F.col("best.same")).cast("int").alias("changed"),
