@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm import bagminhash, chunks, cuckoo, decontam, html, huffman, langid, mixing, secrets, warc
+from tierstone.llm import bagminhash, chunks, cuckoo, decontam, html, huffman, langid, lines, mixing, ranking, secrets, warc, whitening
 from tierstone.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,64 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return cuckoo.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query(
+    "op11_shared_lines",
+    r"""
+    WITH cut AS (
+        SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), placed AS (
+        SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS pos FROM cut
+    ), keyed AS (
+        SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM placed
+    ), shared AS (
+        SELECT key, max(doc_id) AS keep_id FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+    ), marked AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.keep_id AS dropped FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    kept = lines.without_shared_lines(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op12_ranked_search",
+    r"""
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+    asked AS (
+        SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ) GROUP BY item_id, term
+    ), held AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+    weighed AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held CROSS JOIN totals GROUP BY term, docs
+    ), scored AS (
+        SELECT a.item_id, h.doc_id,
+            sum(a.times * g.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * (100 - 25 + ((25 * s.n * t.docs) // t.terms)))))::BIGINT AS score
+        FROM held h JOIN asked a ON h.term = a.term JOIN weighed g ON h.term = g.term JOIN sizes s ON h.doc_id = s.doc_id CROSS JOIN totals t
+        GROUP BY a.item_id, h.doc_id
+    ), placed AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
