@@ -19,6 +19,3 @@ def frame(spark):
 
     return make
 
-
-def as_set(df):
-    return {tuple(r) for r in df.collect()}

@@ -1,5 +1,5 @@
 import pytest
-from conftest import as_set
+from rows import as_set
 from pyspark.sql import functions as F
 
 from tierstone.plans import build

@@ -3,7 +3,7 @@ import hashlib
 import uuid
 
 import numpy as np
-from conftest import as_set
+from rows import as_set
 from pyspark.sql import functions as F
 
 from tierstone.operators import chunks as C

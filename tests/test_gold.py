@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from conftest import as_set
+from rows import as_set
 from pyspark.sql import functions as F
 
 from tierstone.operators.profile import profile_columns, profile_layer

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from conftest import as_set
+from rows import as_set
 
 from tierstone.operators import health as H
 

@@ -1,4 +1,4 @@
-from conftest import as_set
+from rows import as_set
 
 from tierstone.operators import incremental as I
 from tierstone.sources.bronze import read_bronze

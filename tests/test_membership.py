@@ -1,6 +1,6 @@
 import random
 
-from conftest import as_set
+from rows import as_set
 
 from tierstone.operators import membership as M
 

@@ -1,4 +1,4 @@
-from conftest import as_set
+from rows import as_set
 
 from tierstone.operators import profile as P
 from tierstone.operators import quality as Q

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import as_set
+from rows import as_set
 from pyspark.sql import functions as F
 
 from tierstone.operators.ranking import first_per_key, ordinal, top_n

@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from conftest import as_set
+from rows import as_set
 from pyspark.errors import PySparkException
 
 from tierstone.plans import silver as S

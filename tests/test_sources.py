@@ -2,7 +2,7 @@ import hashlib
 import json
 
 import pytest
-from conftest import as_set
+from rows import as_set
 from pyspark.sql import functions as F
 
 from tierstone.sources import bronze as B

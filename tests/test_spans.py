@@ -1,14 +1,15 @@
 import json
 import random
 
-from conftest import as_set
+from rows import as_set
 from pyspark.sql import functions as F
 
 from tierstone.functions import spans as S
 from tierstone.operators import agent_runs as A
 from tierstone.operators.ancestry import nearest_ancestor, nearest_or_self
 from tierstone.sources.otlp import flatten_spans, read_spans
-from tierstone.streaming.spans import stored_runs, stored_spans, stream_spans
+from tierstone.streaming import spans as store_of
+from tierstone.streaming.spans import batches, compact, pieces, stored_runs, stored_spans, stream_spans
 
 
 def walk(parents, marked, node, include_self):
@@ -172,7 +173,7 @@ def test_stream_resolves_late_parents_and_is_idempotent(spark, frame, tmp_path):
 
     def export(*spans):
         frame("value string", *[line(s) for s in spans]).coalesce(1).write.mode("append").text(landing)
-        stream_spans(spark, landing, store, mark, parts=3).awaitTermination()
+        stream_spans(spark, landing, store, mark, depth=2).awaitTermination()
 
     export(*all_spans[2:])
     assert {r["span_id"] for r in stored_runs(spark, store).collect()} == {"inner"}
@@ -186,5 +187,107 @@ def test_stream_resolves_late_parents_and_is_idempotent(spark, frame, tmp_path):
         map(str, expected.select(*sorted(got.columns)).collect())
     )
     # nothing new: the checkpoint remembers the files
-    stream_spans(spark, landing, store, mark, parts=3).awaitTermination()
+    stream_spans(spark, landing, store, mark, depth=2).awaitTermination()
     assert stored_spans(spark, store).count() == 11
+
+
+def agent_trace(trace, calls=2):
+    """An agent run with its task and some calls."""
+    return [
+        span(f"{trace}-task", name="task", attributes=TASK, trace=trace),
+        span(f"{trace}-run", f"{trace}-task", attributes=AGENT, trace=trace),
+        *[span(f"{trace}-c{i}", f"{trace}-run", start=str(1_000_000_000 + i), attributes=tool(f"tool{i}"), trace=trace) for i in range(calls)],
+    ]
+
+
+class Lake:
+    def __init__(self, spark, frame, tmp_path, **options):
+        self.spark, self.frame, self.options = spark, frame, options
+        self.landing, self.store, self.mark = (str(tmp_path / n) for n in ("in", "store", "mark"))
+        self.sent = []
+
+    def export(self, *spans):
+        self.sent += spans
+        self.frame("value string", *[line(s) for s in spans]).coalesce(1).write.mode("append").text(self.landing)
+        stream_spans(self.spark, self.landing, self.store, self.mark, **self.options).awaitTermination()
+
+    def check(self):
+        expected = A.agent_runs(flatten_spans(self.frame("value string", *[line(s) for s in self.sent])))
+        got = stored_runs(self.spark, self.store).drop("ingested_at")
+        shown = lambda df: sorted(map(str, df.select(*sorted(got.columns)).collect()))
+        assert shown(got) == shown(expected)
+        assert stored_spans(self.spark, self.store).count() == len(self.sent)
+
+
+def test_a_batch_reads_only_the_pieces_of_its_traces(spark, frame, tmp_path, monkeypatch):
+    lake = Lake(spark, frame, tmp_path, depth=3)
+    lake.export(*[s for i in range(40) for s in agent_trace(f"t{i}")])
+    read = []
+    real = store_of.read_pieces
+    monkeypatch.setattr(store_of, "read_pieces", lambda spark, found: read.extend(p.path for p in found) or real(spark, found))
+    lake.export(span("late", "t7-run", start="1000000009", attributes=tool("late"), trace="t7"), *agent_trace("new"))
+    bucket = frame("trace_id string", "t7").select(F.xxhash64("trace_id").alias("hash")).select(store_of._bucket(3)).first()[0]
+    of_spans = [p for p in read if "/spans/" in p]
+    assert len(of_spans) == 1 and f"/depth=3/bucket={bucket}/first=0/last=0" in of_spans[0]
+    assert len([p for p in read if "/runs/" in p]) == 1 and len([p for p in read if "/traces/" in p]) <= 2  # the index in the two touched buckets
+    monkeypatch.undo()
+    lake.check()
+    late = [r for r in stored_runs(spark, lake.store).collect() if r["trace_id"] == "t7"]
+    assert len(late) == 1 and late[0]["tool_call_count"] == 3
+
+
+def test_ten_batches_cost_the_same_and_depth_grows(spark, frame, tmp_path, monkeypatch):
+    lake = Lake(spark, frame, tmp_path, depth=1, bucket_traces=5)
+    # what the runs are is tested elsewhere; here it is what a batch reads
+    none = A.agent_runs(flatten_spans(frame("value string", line(span("1"))))).schema
+    monkeypatch.setattr(store_of, "agent_runs", lambda spans: spark.createDataFrame([], none))
+    for b in range(10):
+        late = [span(f"late{b}", f"b{b - 1}-0-run", start="1000000009", attributes=tool("late"), trace=f"b{b - 1}-0")] if b else []
+        lake.export(*late, *[s for i in range(4) for s in agent_trace(f"b{b}-{i}", 1)])
+    seen = [r.asDict() for r in batches(spark, lake.store).orderBy("batch").collect()]
+    assert [r["pieces_read"] for r in seen] == [0] + [1] * 9  # one trace of the batch before, and no more as the store grows
+    assert [r["total_traces"] for r in seen] == [4 * (b + 1) for b in range(10)]
+    assert seen[0]["depth"] == 1 and seen[-1]["depth"] == 3 and len({p.depth for p in pieces(spark, f"{lake.store}/spans")}) == 3
+    assert stored_spans(spark, lake.store).count() == len(lake.sent)
+
+
+def test_compaction_merges_small_neighbours_and_can_be_stopped(spark, frame, tmp_path, monkeypatch):
+    lake = Lake(spark, frame, tmp_path, depth=0)
+    for b in range(3):
+        lake.export(*agent_trace(f"t{b}", 1), span(f"x{b}", "t0-run", start=str(1_000_000_010 + b), attributes=tool(f"x{b}"), trace="t0"))
+    assert len(pieces(spark, f"{lake.store}/spans")) == 3
+    # stopped after the merged spans are written: their sources are still there, and dead
+    with monkeypatch.context() as m:
+        m.setattr(store_of, "_drop_dead", lambda *_: 1 / 0)
+        try:
+            compact(spark, lake.store, most=2)
+        except ZeroDivisionError:
+            pass
+    assert len(pieces(spark, f"{lake.store}/spans")) == 1 and len(pieces(spark, f"{lake.store}/traces")) == 3
+    lake.export(span("between", "t2-run", start="1000000030", attributes=tool("between"), trace="t2"))
+    lake.check()
+    gone = compact(spark, lake.store, most=2)
+    assert gone >= 6 and all(len(pieces(spark, f"{lake.store}/{t}")) <= 2 for t in ("spans", "runs", "traces"))
+    lake.export(span("after", "t1-run", start="1000000031", attributes=tool("after"), trace="t1"))
+    lake.check()
+    assert compact(spark, lake.store, most=1, sealed_bytes=1) == 0  # every piece is sealed
+
+
+def test_a_batch_that_is_taken_again_changes_nothing(spark, frame, tmp_path):
+    lake = Lake(spark, frame, tmp_path, depth=1)
+    lake.export(*agent_trace("a"))
+    again = [span("c9", "a-run", start="1000000009", attributes=tool("z"), trace="a"), *agent_trace("b")]
+    lake.export(*again)
+    batch = flatten_spans(frame("value string", *[line(s) for s in again]))
+    store_of._absorb(batch, 1, lake.store, 1, 100)
+    lake.check()
+    assert [r["total_traces"] for r in batches(spark, lake.store).orderBy("batch").collect()] == [1, 2]
+
+
+def test_a_batch_of_many_buckets_reads_the_index_whole(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_of, "LISTED", 1)
+    lake = Lake(spark, frame, tmp_path, depth=3)
+    for b in range(2):
+        lake.export(*[span(f"{b}-{i}", f"t{i}-run" if b else None, attributes=tool("x") if b else AGENT, trace=f"t{i}") if b else
+                      span(f"t{i}-run", attributes=AGENT, trace=f"t{i}") for i in range(12)])
+    lake.check()

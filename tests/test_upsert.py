@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_set
+from rows import as_set
 from pyspark.sql import functions as F
 
 from tierstone.operators.upsert import cascade, upsert

@@ -7,13 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierstone.operators.ranking import first_per_key
-
-
-def last_per_key(batch: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """The row that would be left after applying the batch in order."""
-    return first_per_key(batch, keys, [F.col(order_col).desc_nulls_last()])
-
 
 def upsert(
     target: DataFrame,
@@ -30,8 +23,7 @@ def upsert(
     and keeps the rest; a new key is inserted whole; touch_col is set on both. Two
     source rows of one key apply in order_col order, and then the columns outside
     update_cols come from the first of them when the key is new; without order_col a
-    repeated key fails the job. The target is only looked up in the source, so a small
-    batch leaves it where it is.
+    repeated key fails the job. A batch that can be broadcast leaves the target where it is.
     """
     columns = [c for c in target.columns if c not in keys and c != touch_col]
     updated = set(columns if update_cols is None else update_cols)
@@ -39,12 +31,11 @@ def upsert(
         raise ValueError(f"update_cols that the target does not have: {sorted(unknown)}")
     stamp = F.current_timestamp() if now is None else now
     if order_col is not None:
-        newest = last_per_key(source, keys, order_col)
-        kept = [c for c in columns if c not in updated]
-        if kept:
-            oldest = first_per_key(source, keys, [F.col(order_col).asc_nulls_first()])
-            newest = newest.drop(*kept).join(oldest.select(*keys, *kept), list(keys))
-        source = newest
+        # one aggregate: its size can be told from the batch's, so a small batch is seen to be small
+        place = F.struct(F.col(order_col).isNotNull(), F.col(order_col))
+        rest = F.struct(*[c for c in source.columns if c not in keys])
+        once = source.groupBy(*keys).agg(F.max_by(rest, place).alias("_last"), F.min_by(rest, place).alias("_first"))
+        source = once.select(*keys, *[F.col(f"{'_last' if c in updated else '_first'}.{c}").alias(c) for c in columns])
     else:
         whole = F.struct(*[c for c in source.columns if c not in keys])
         once = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(whole).alias("_row"))
@@ -70,7 +61,9 @@ def upsert(
         return new.cast(target.schema[c].dataType).alias(c)
 
     matched = target.join(source, same, "left").select(*[kept(c) for c in target.columns])
-    added = source.join(target.select(*keys), same, "left_anti").select(*[inserted(c) for c in target.columns])
+    # The keys of the batch that the target has: a small batch is broadcast here too, so that neither branch moves the target.
+    there = target.select(*keys).join(source.select(*[f"_k{i}" for i in range(len(keys))]), same, "left_semi").distinct()
+    added = source.join(there, same, "left_anti").select(*[inserted(c) for c in target.columns])
     return matched.union(added)
 
 

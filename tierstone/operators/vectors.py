@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierstone.operators.ranking import top_n
+from tierstone.session import fresh_path, settle
 
 
 def top_k_similar(corpus: DataFrame, query: Sequence[float], k: int, id_col: str, vector_col: str) -> DataFrame:
@@ -60,15 +61,27 @@ def top_k_of_each(
 ) -> DataFrame:
     """The k rows closest to each vector of a query set: query, id, similarity, rank (from 1).
 
-    queries holds query_col and vector_col, at most MAX_QUERIES rows, which every task
-    scores against its Arrow batches in one matrix product; k rows per query and batch
-    leave the task, never a pair more. A larger set is refused: search it in parts.
+    Every task scores up to MAX_QUERIES query vectors against its Arrow batches in one matrix product; k rows
+    per query and batch leave the task, never a pair more. A larger set is dealt to parts, which
+    are searched one after the other; `lsh.nearest_by_planes` does without a scan for each.
     Rows without a vector are skipped; a zero vector has no angle and comes last as
     null. Similarities within 1e-12 are ties and go by id.
     """
-    asked = queries.select(query_col, vector_col).filter(F.col(vector_col).isNotNull()).limit(MAX_QUERIES + 1).toArrow()
-    if asked.num_rows > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors at once: search them in parts")
+    asked = queries.select(query_col, vector_col).filter(F.col(vector_col).isNotNull())
+    first = asked.limit(MAX_QUERIES + 1).toArrow()
+    if first.num_rows <= MAX_QUERIES:
+        return _top_k_of_some(corpus, first, queries.schema[query_col].dataType.simpleString(), k, id_col, vector_col, query_col)
+    asked = settle(asked, "queries")
+    parts = -(-asked.count() * 2 // MAX_QUERIES)  # half full, as a hash does not deal evenly
+    path = fresh_path(corpus.sparkSession, "nearest")
+    for part in range(parts):
+        some = asked.filter(F.pmod(F.xxhash64(query_col, vector_col), F.lit(parts)) == part).toArrow()
+        found = _top_k_of_some(corpus, some, queries.schema[query_col].dataType.simpleString(), k, id_col, vector_col, query_col)
+        found.write.mode("append").parquet(path)
+    return corpus.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _top_k_of_some(corpus: DataFrame, asked: pa.Table, query_kind: str, k: int, id_col: str, vector_col: str, query_col: str) -> DataFrame:
     names = asked.column(0).combine_chunks()
     wanted = np.asarray(asked.column(1).to_pylist(), dtype=np.float64).reshape(asked.num_rows, len(asked) and -1)
     lengths = np.linalg.norm(wanted, axis=1)
@@ -92,11 +105,10 @@ def top_k_of_each(
                 names=[query_col, id_col, "similarity"],
             )
 
-    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_col), (corpus, id_col))}
     scored = (
         corpus.select(id_col, vector_col)
         .filter(F.col(vector_col).isNotNull())
-        .mapInArrow(best, f"{query_col} {kinds[query_col]}, {id_col} {kinds[id_col]}, similarity double")
+        .mapInArrow(best, f"{query_col} {query_kind}, {id_col} {corpus.schema[id_col].dataType.simpleString()}, similarity double")
     )
     return top_n(scored, [query_col], [F.col("similarity").desc_nulls_last(), F.col(id_col).asc()], k, "rank")
 

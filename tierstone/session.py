@@ -128,3 +128,24 @@ def escaped(spark: SparkSession, value: str) -> str:
 def drop_dir(spark: SparkSession, path: str) -> None:
     files, where = _folder(spark, path)
     files.delete(where, True)
+
+
+def dir_bytes(spark: SparkSession, path: str) -> int:
+    files, where = _folder(spark, path)
+    return files.getContentSummary(where).getLength()
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file; False if another writer has made it already."""
+    files, where = _folder(spark, path)
+    try:
+        out = files.create(where, False)
+    except Exception as error:
+        if files.exists(where):
+            return False
+        raise error
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True

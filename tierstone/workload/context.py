@@ -9,10 +9,12 @@ from tierstone.functions.columns import checksum16, seconds_between, uuid5_url
 from tierstone.operators import chunks as C
 from tierstone.operators import evals as E
 from tierstone.operators import health as H
+from tierstone.operators.lsh import nearest_by_planes
 from tierstone.operators.membership import changed, contained, match, members, missing
 from tierstone.operators.ranking import top_n
 from tierstone.operators.results import bounded_result, passages_text
 from tierstone.operators.vectors import top_k_of_each, top_k_similar
+from tierstone.session import settle
 from tierstone.workload import standins as I
 from tierstone.workload.registry import Tables, query
 from tierstone.workload.standins import plain, text, with_sql
@@ -303,6 +305,27 @@ def vector_search_set(t: Tables) -> DataFrame:
     return plain(hits, similarity=6)
 
 
+@query(
+    "vector_lsh",
+    """SELECT count(*) * least(5, any_value(n)) AS neighbours, true AS recall_reached, count(*) AS first_is_itself, true AS similarities_right
+       FROM (SELECT *, (SELECT count(*) FROM embeddings) AS n FROM embeddings) WHERE vec_id % 100 = 0""",
+)
+def vector_lsh(t: Tables) -> DataFrame:
+    """Search by hyperplanes held against the exact search: neighbours returned, whether nine in ten of the exact five are among them, queries
+    that find themselves first (or a copy), and whether every similarity is the exact one."""
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = settle(nearest_by_planes(t.embeddings, asked, 5, "vec_id", "embedding"), "nearest")
+    exact = top_k_of_each(t.embeddings, asked, 5, "vec_id", "embedding").select("query_id", "vec_id", F.col("similarity").alias("exact"))
+    both = found.join(exact, ["query_id", "vec_id"], "full")
+    hit = F.count_if(F.col("exact").isNotNull() & F.col("similarity").isNotNull())
+    return both.agg(
+        F.count("similarity").alias("neighbours"),
+        (hit >= 0.9 * F.count("exact")).alias("recall_reached"),
+        F.count_if((F.col("rank") == 1) & (F.col("similarity") > 1 - 1e-6)).alias("first_is_itself"),
+        (F.count_if(F.abs(F.col("exact") - F.col("similarity")) > 1e-9) == 0).alias("similarities_right"),
+    )
+
+
 @query(
     "passages_text",
     """SELECT doc_id, md5('[' || doc_id || '] ticket ' || source || CASE WHEN lang <> 'en' THEN ' product ' || lang ELSE '' END ||

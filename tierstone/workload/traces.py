@@ -192,9 +192,9 @@ def stream_spans_query(t: Tables) -> DataFrame:
     lines = span_lines(t)
     tasks = F.col("value").contains("resource_spans")
     lines.filter(~tasks).write.mode("append").text(landing)
-    stream_spans(t.spark, landing, store, mark, parts=8).awaitTermination()
+    stream_spans(t.spark, landing, store, mark, depth=3).awaitTermination()
     lines.filter(tasks).write.mode("append").text(landing)
-    stream_spans(t.spark, landing, store, mark, parts=8).awaitTermination()
+    stream_spans(t.spark, landing, store, mark, depth=3).awaitTermination()
     return _shown(stored_runs(t.spark, store).drop("ingested_at"))
 
 
