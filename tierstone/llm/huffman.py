@@ -31,6 +31,7 @@ from tierstone.session import fresh_path, settle
 BLOCK = 65536  # ids in a block, at most
 CHECKPOINT = 256  # ids between two checkpoints
 MAX_BITS = 16  # length limit of a code, and so the size of the decoding table
+DECODED = 16  # blocks decoded in step
 CACHED_WORDS = 400_000  # words a Python worker remembers; beyond that it starts anew
 
 STAGED = "shard int, block int, within long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, ids binary"
@@ -40,6 +41,27 @@ PIECES = "shard int, doc_no int, doc_id bigint, piece int, start long, n int, cr
 
 # ---------------------------------------------------------------- tokens
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the model's vocabulary: printable bytes for themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100, which lower() maps one by one."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds(dict):
     """Ids of a word without blanks, as little-endian unsigned 32-bit integers.
 
@@ -52,17 +74,15 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
-            mapped = text if text.isascii() else self.as_bytes.pre_tokenize_str(text)[0][0]
+            mapped = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
             found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             if len(self.parts) >= CACHED_WORDS:
                 self.parts.clear()
@@ -70,10 +90,11 @@ class WordIds(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        simple = self.SIMPLE.fullmatch(word)
         if not word:
             ids = b""
-        elif simple is None:
+        elif word.isascii() and word.isalpha():
+            ids = self.part(word if word.islower() else word.lower())
+        elif (simple := self.SIMPLE.fullmatch(word)) is None:
             ids = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             letters, marks = simple.groups()
@@ -87,6 +108,8 @@ class WordIds(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if "<|" not in text and _is_latin(text):
+            text = text.lower()  # as the library would; of a special token it would make another text
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([self[w] for w in words])
 
@@ -236,23 +259,42 @@ class Code:
 
     def decode(self, payload: bytes, points: np.ndarray, n: int) -> np.ndarray:
         """The n ids of a block, all checkpoints in step."""
-        if not n:
-            return np.zeros(0, np.uint32)
-        raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint64)
+        return self.decode_blocks([payload], [points], [n])[0]
+
+    def decode_blocks(self, payloads: list[bytes], points: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+        """The ids of some blocks, the checkpoints of all of them in step."""
+        lanes = [-(-n // CHECKPOINT) for n in sizes]
+        total = sum(lanes)
+        if not total:
+            return [np.zeros(0, np.uint32) for _ in sizes]
+        raw = np.frombuffer(b"".join(p + b"\0" * 8 for p in payloads), np.uint8).astype(np.uint32)
         # the 32 bits from each byte on; a code starts in the first of them
-        ahead = (raw[:-3] << np.uint64(24)) | (raw[1:-2] << np.uint64(16)) | (raw[2:-1] << np.uint64(8)) | raw[3:]
-        at = np.asarray(points, np.int64).copy()
-        lanes = len(at)
-        out = np.zeros((CHECKPOINT, lanes), np.uint32)
-        mask, last = np.int64((1 << self.width) - 1), n - (lanes - 1) * CHECKPOINT
-        ahead = ahead.astype(np.int64)
-        for step in range(CHECKPOINT if lanes > 1 else last):
-            live = lanes if step < last else lanes - 1
-            here = at[:live]
-            key = (ahead[here >> 3] >> (32 - self.width - (here & 7))) & mask
-            out[step, :live] = self.next_id[key]
-            at[:live] = here + self.next_bits[key]
-        return out.T.ravel()[:n] if last == CHECKPOINT else np.concatenate([out.T[:-1].ravel(), out.T[-1, :last]])
+        ahead = ((raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]).astype(np.int64)
+        begins = 8 * np.cumsum([0, *(len(p) + 8 for p in payloads)])[:-1]
+        at = np.concatenate([np.asarray(p[:k], np.int64) + b for p, k, b in zip(points, lanes, begins, strict=True)])
+        counts = np.concatenate([np.minimum(CHECKPOINT, n - CHECKPOINT * np.arange(k)) for n, k in zip(sizes, lanes, strict=True)])
+        order = np.argsort(-counts, kind="stable")  # lanes that end early are the last ones
+        at, ends = at[order], np.searchsorted(-counts[order], -np.arange(CHECKPOINT))
+        out = np.zeros((CHECKPOINT, total), np.uint32)
+        mask, low = np.int64((1 << self.width) - 1), 32 - self.width
+        for step in range(int(counts.max())):
+            here = at[: ends[step]]
+            key = (ahead[here >> 3] >> (low - (here & 7))) & mask
+            out[step, : len(here)] = self.next_id[key]
+            here += self.next_bits[key]
+        back = np.empty(total, np.int64)
+        back[order] = np.arange(total)
+        bounds = np.cumsum([0, *lanes])
+        return [out[:, back[a:z]].T.ravel()[:n] for a, z, n in zip(bounds[:-1], bounds[1:], sizes, strict=True)]
+
+
+def _decoded(code: Code, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Rows of blocks with their ids, DECODED blocks in step."""
+    for frame in frames:
+        for start in range(0, len(frame), DECODED):
+            part = frame.iloc[start : start + DECODED]
+            found = code.decode_blocks(part["payload"].tolist(), part["points"].tolist(), part["n"].tolist())
+            yield from zip(part.itertuples(index=False), found, strict=True)
 
 
 def _count_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,30 +356,27 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     code = load_code(spark, path)
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids = code.decode(row.payload, row.points, row.n).astype(np.int32)
-                ends = np.cumsum(row.counts)
-                yield pd.DataFrame({
-                    "doc_id": pd.array(row.doc_ids, "Int64"), "start": row.first + ends - row.counts,
-                    "piece": row.block, "ids": np.split(ids, ends[:-1]),
-                })
+        for row, ids in _decoded(code, frames):
+            ends = np.cumsum(row.counts)
+            yield pd.DataFrame({
+                "doc_id": pd.array(row.doc_ids, "Int64"), "start": row.first + ends - row.counts,
+                "piece": row.block, "ids": np.split(ids.astype(np.int32), ends[:-1]),
+            })
 
     return read_blocks(spark, path).mapInPandas(unpack, "doc_id long, start long, piece int, ids array<int>")
 
 
 def _crc_pieces(code: Code):
     def crcs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids = code.decode(row.payload, row.points, row.n).astype("<u4").tobytes()
-                ends = np.cumsum(row.counts)
-                starts = ends - row.counts
-                yield pd.DataFrame({
-                    "shard": row.shard, "doc_no": row.doc_nos, "doc_id": pd.array(row.doc_ids, "Int64"), "piece": row.block,
-                    "start": row.first + starts, "n": row.counts,
-                    "crc": [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)], "last": row.ends,
-                })
+        for row, found in _decoded(code, frames):
+            ids = found.astype("<u4").tobytes()
+            ends = np.cumsum(row.counts)
+            starts = ends - row.counts
+            yield pd.DataFrame({
+                "shard": row.shard, "doc_no": row.doc_nos, "doc_id": pd.array(row.doc_ids, "Int64"), "piece": row.block,
+                "start": row.first + starts, "n": row.counts,
+                "crc": [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)], "last": row.ends,
+            })
 
     return crcs
 
