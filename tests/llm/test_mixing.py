@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from tierstone.llm import mixing
@@ -59,6 +61,17 @@ def test_order_and_drawn_documents(documents):
     assert first == sorted(first)
 
 
+def test_rows_that_repeat_id_source_and_size_are_drawn_as_planned(documents):
+    rows = [(1, f"{'same words ' * 10}{w}", "en", "a") for w in ("one", "two", "three", "four", "two")] + [(None, "no id here", "en", "a")] * 6
+    rows += [(i, f"text {i} of the source " * (i % 7 + 1), "en", "b" if i % 2 else None) for i in range(10, 60)]
+    docs = documents(*rows)
+    plan = mixing.plan_mix(docs, schedule, 1.5, whole=True)
+    planned = Counter((r["doc_id"], r["source"], r["size"]) for r in plan.collect() for _ in r["draws"])
+    got = mixing.mixed_documents(docs, plan).collect()
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in got) == planned
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_documents(docs, mixing.plan_mix(docs, schedule, 1.5, whole=True)).collect()))
+
+
 def test_odd_rows_and_no_rows(odd):
     got = mixing.plan_mix(odd, schedule, 1.5)
     assert got.count() == 11 and rows_of(got.filter("doc_id = 1"), "size", "taken") == [(0, 0)]

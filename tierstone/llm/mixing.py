@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierstone.operators.ranking import ordinal_by_range
 from tierstone.session import settle
 
 Knots = list[tuple[float, float]]
@@ -125,18 +126,25 @@ def in_curriculum_order(plan: DataFrame) -> DataFrame:
     return plan.withColumn("first", first).repartitionByRange("first", "key").sortWithinPartitions("first", "key").drop("first", "key")
 
 
+def _same_rows(rows: DataFrame, order: list) -> DataFrame:
+    """rows with `_copy`: 1, or the number of the row among those of its `_row`, of which any number may be alike."""
+    repeated = settle(rows.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"), "repeated-rows")
+    if repeated.isEmpty():
+        return rows.withColumn("_copy", F.lit(1).cast("long"))
+    single = rows.join(repeated, "_row", "left_anti").withColumn("_copy", F.lit(1).cast("long"))
+    return single.unionByName(ordinal_by_range(rows.join(repeated, "_row", "left_semi"), ["_row"], order, "_copy"))
+
+
 def mixed_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of docs as the mix draws them, once per draw, sorted by position.
 
-    docs and plan are matched by doc_id, source and size, and rows that repeat all three share one plan row, so each repeat is
-    drawn as that row is.
+    docs and plan are matched row by row: by doc_id, source and size, and rows that repeat all three by their number among their like,
+    in the order of their texts on one side and of their draws on the other.
     """
-    draws = plan.groupBy("doc_id", "source", "size").agg(F.first("draws").alias("draws"), F.first("key").alias("key"))
-    drawn = draws.filter(F.size("draws") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("key").alias("_key"),
-        F.explode("draws.position").alias("_position"),
-    )
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    joined = docs.join(drawn, same).repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key")
-    return joined.select(*(docs[c] for c in docs.columns))
+    row = lambda size: F.to_json(F.struct(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), size.alias("n")))
+    drawn = _same_rows(plan.select(row(F.col("size")).alias("_row"), "draws", F.col("key").alias("_key")), [F.col("draws").asc()])
+    drawn = drawn.filter(F.size("draws") > 0).select("_row", "_copy", "_key", F.explode("draws.position").alias("_position"))
+    mine = _same_rows(docs.withColumn("_row", row(size)), [F.xxhash64("text"), F.col("text")])
+    joined = mine.join(drawn, ["_row", "_copy"]).repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
