@@ -10,7 +10,8 @@ from tierstone.llm import warc
 from llm_rows import rows_of
 
 BIG = "<p>" + "ä text\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 20
-ROWS = [(3, "http://c", BIG), (1, "http://a", BIG), (2, None, BIG), (4, "http://d\r\nX: y", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (None, "n", BIG), (8, "l", "<p>long " * 200_000)]
+ROWS = [(3, "http://c", BIG), (1, "http://a", BIG), (2, None, BIG), (4, "http://d\r\nX: y", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (None, "n", BIG), (8, "l", "<p>long " * 200_000),
+    (9, "http://x/?q=Content-Length: 5\tand Content-Length: 7", "<p>a payload behind a url that looks like a header")]
 
 
 @pytest.fixture
@@ -29,6 +30,7 @@ def test_records_come_back(pages):
         assert r["record_type"] == ("revisit" if page in (2, 3) else "response") and r["refers_to"] == (1 if page in (2, 3) else None)
         assert r["html"] == ("" if r["record_type"] == "revisit" else html or "")
     assert got[2]["url"] is None and got[4]["url"] == "http://d X: y"
+    assert got[9]["url"] == ROWS[-1][1]
 
 
 def test_each_record_is_a_member_the_index_points_at(pages):
@@ -51,3 +53,15 @@ def test_no_rows_and_repeated_rows(pages):
     assert warc.read_records(warc.archive(pages.limit(0))[0]).collect() == []
     twice = pages.filter("page_id = 1").union(pages.filter("page_id = 1"))
     assert rows_of(warc.read_records(warc.archive(twice)[0]), "page_id", "record_type") == [(1, "response")] * 2
+
+
+def test_payloads_are_left_out_and_wrong_ones_refused(pages, tmp_path):
+    index, folder = warc.archive(pages)
+    assert {r["html"] for r in warc.read_records(index, payloads=False).collect()} == {None}
+    record = index.filter("page_id = 5").first()
+    raw = Path(record["file"].removeprefix("file:")).read_bytes()[record["offset"] : record["offset"] + record["length"]]
+    forged = gzip.compress(gzip.decompress(raw).replace(b"\r\n\r\nsmall", b"\r\n\r\nSMALL"))
+    (tmp_path / "forged.warc.gz").write_bytes(forged)
+    bad = pages.sparkSession.createDataFrame([(str(tmp_path / "forged.warc.gz"), 0, len(forged), 5, "response")], warc.INDEX)
+    with pytest.raises(Exception, match="payload its head names"):
+        warc.read_records(bad).collect()

@@ -10,6 +10,7 @@ and shared mounts, s3, gcs and, with libhdfs at hand, hdfs.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ FILE_RECORDS = 2_000  # records in a monolithic stream
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 18  # bytes taken from a stream at once
+BATCH_BYTES = 16 << 20  # payload bytes that a reading task hands on at once
+LENGTH = b"\r\nContent-Length: "  # a line of the head; a URL can't hold one, as it holds no line ends
 
 INDEX = "file string, offset long, length long, page_id long, record_type string"
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, html string"
@@ -37,6 +40,14 @@ def _urn(page_id):
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def _uri(url):
+    """The url with blanks and control characters percent-encoded, as the header line wants it; X-Url has it as it was, but for line ends."""
+    out = url
+    for code in range(0x21):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return out
+
+
 def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """pages with payload_bytes, payload_digest, record_type and refers_to.
 
@@ -64,7 +75,7 @@ def write_archives(records: DataFrame, path: str, file_records: int = FILE_RECOR
     is_revisit = F.col("record_type") == "revisit"
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _urn(F.col("page_id"))), line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.col("url")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
+        line("WARC-Target-URI", _uri(F.col("url"))), line("X-Url", F.col("url")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("WARC-Refers-To", F.when(is_revisit, _urn(F.col("refers_to")))), line("WARC-Profile", F.when(is_revisit, F.lit(PROFILE))),
         line("X-Page-Id", F.col("page_id")), line("X-Refers-To-Page-Id", F.col("refers_to")), line("X-Payload-Bytes", F.col("payload_bytes")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(is_revisit, F.lit(0).cast("long")).otherwise(F.col("payload_bytes"))), F.lit("\r\n"),
@@ -95,7 +106,7 @@ def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
             end = held.find(b"\r\n\r\n", at)
             if end < 0:
                 break
-            start = held.find(b"Content-Length: ", at, end) + 16
+            start = held.find(LENGTH, at, end) + len(LENGTH)
             stop = held.find(b"\r\n", start, end + 2)
             whole = end + 4 + int(held[start:stop]) + 4
             if whole > len(held):
@@ -143,33 +154,49 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                         page = fields.get("X-Page-Id")
                         rows.append((f"{target}/{out.rsplit('/', 1)[1]}", offset, len(member), None if page is None else int(page), fields["WARC-Type"]))
                         offset += len(member)
-                found = pd.DataFrame(rows, columns=["file", "offset", "length", "page_id", "record_type"])
-                yield found.astype({"page_id": "Int64"})
+                names = ("file", "offset", "length", "page_id", "record_type")
+                columns = {c: [r[i] for r in rows] for i, c in enumerate(names)}
+                yield pd.DataFrame({c: pd.Series(v, dtype=object) if c in ("file", "record_type") else pd.array(v, "Int64") for c, v in columns.items()})
 
     # a file per task, dealt round-robin
     index = files.repartition(count).mapInPandas(run, INDEX)
     return settle(index, "warc-index")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """The records an index names; html is the archived payload (empty for revisits)."""
+def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records an index names; html is the archived payload (empty for revisits), or null without payloads.
+
+    A response whose payload does not have the digest and the length of its head fails the job.
+    """
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "html"]
+        columns = {c: [r[i] for r in rows] for i, c in enumerate(names)}
+        whole = ("page_id", "payload_bytes", "refers_to")  # a null beside them must not make floats of them
+        return pd.DataFrame({c: pd.array(v, "Int64") if c in whole else pd.Series(v, dtype=object) for c, v in columns.items()})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, part in frame.groupby("file"):
                 system, inside = _open(path)
-                rows = []
+                rows, held = [], 0
                 with system.open_input_file(inside) as stream:
                     for offset, length in zip(part["offset"].tolist(), part["length"].tolist(), strict=True):
                         stream.seek(offset)
                         fields, body = parse_record(zlib.decompress(stream.read(length), 31))
                         number = lambda name, f=fields: int(f[name]) if name in f else None
+                        digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+                        if fields["WARC-Type"] == "response" and (hashlib.sha256(body).hexdigest(), len(body)) != (digest, number("X-Payload-Bytes")):
+                            raise ValueError(f"a record of {path} at {offset} does not hold the payload its head names")
                         rows.append((
-                            number("X-Page-Id"), fields.get("WARC-Target-URI"), fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:"),
-                            number("X-Payload-Bytes"), number("X-Refers-To-Page-Id"), body.decode(),
+                            number("X-Page-Id"), fields.get("X-Url"), fields["WARC-Type"], digest, number("X-Payload-Bytes"), number("X-Refers-To-Page-Id"),
+                            body.decode() if payloads else None,
                         ))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "html"])
-                yield out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+                        held += len(body) if payloads else 0
+                        if held >= BATCH_BYTES:
+                            yield framed(rows)
+                            rows, held = [], 0
+                yield framed(rows)
 
     return index.mapInPandas(run, RECORDS)
 
