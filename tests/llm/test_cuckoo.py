@@ -61,6 +61,28 @@ def test_blanks_nulls_and_hot_groups(documents):
     assert got[3]["text_sha256"] == hashlib.sha256(b"a b").hexdigest()
 
 
+def test_rows_of_other_tasks_are_true_hits(documents, monkeypatch):
+    """Equal texts come to the filter once for each task that read some, and large ids keep all their digits."""
+    big = 2**60 + 1
+    docs = documents(*[(big + i, f"text {i % 5}") for i in range(200)], (None, "text 0")).repartition(6)
+    got = {r["doc_id"]: r for r in cuckoo.exact_duplicates(docs).collect()}
+    assert all(got[big + i]["keep_id"] == big + i % 5 for i in range(200)) and got[None]["keep_id"] == big and got[big]["group_size"] == 41
+    shard = cuckoo.Shard()
+    for part in range(3):
+        shard.add(digest("same"), 10 - part, 2)
+    assert shard.verified == 2 and shard.find(digest("same")) == [8, 6]
+
+
+def test_untouched_shards_stay(documents):
+    found = cuckoo.digests(documents(*[(i, f"text {i}") for i in range(400)]))
+    index = cuckoo.build_index(found, keys_per_shard=40)
+    more = index.apply(found.limit(1).selectExpr("text_sha256 AS digest", "doc_id AS keep_id", "CAST(1 AS bigint) AS n"))
+    assert more.entries.count() == 400 and more.shards.count() == index.shards.count() == 10
+    assert {r["n"] for r in more.entries.collect()} == {1, 2}
+    old, new = ({f.rsplit("/", 2)[1] for f in i.entries.inputFiles()} for i in (index, more))
+    assert old < new
+
+
 def test_odd_rows_and_no_rows(odd):
     assert cuckoo.exact_duplicates(odd).count() == 11 and cuckoo.exact_duplicates(odd.limit(0)).collect() == []
     assert rows_of(cuckoo.exact_duplicates(odd).filter("doc_id = 5"), "kept", "group_size") == [(True, 2), (True, 2)]

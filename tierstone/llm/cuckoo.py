@@ -24,6 +24,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SLOTS = 4  # fingerprints in a bucket
 KICKS = 500  # moves before a filter counts as full
 SHARD_KEYS = 20_000  # distinct digests a shard is planned for; more only make its filter larger
+TASK_KEYS = 100_000  # digests a task sums before it hands them on
 SHARDS = "shard int, buckets int, seed int, slots binary"
 ENTRIES = "shard int, bucket int, digest string, keep_id long, n long"
 
@@ -141,6 +142,28 @@ class Shard:
         return True
 
 
+def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Changes of one task, summed by digest; more than TASK_KEYS digests are handed on in parts."""
+    held: dict[str, list] = {}
+
+    def out() -> pd.DataFrame:
+        rows = [(d, k, n) for d, (k, n) in held.items() if n]
+        return pd.DataFrame({
+            "digest": pd.Series([r[0] for r in rows], dtype=object), "keep_id": pd.array([r[1] for r in rows], "Int64"), "n": np.array([r[2] for r in rows], np.int64),
+        })
+
+    for frame in frames:
+        for digest, keep, n in zip(frame["digest"].tolist(), frame["keep_id"].tolist(), frame["n"].tolist(), strict=True):
+            entry = held.setdefault(digest, [None, 0])
+            if keep is not None and (entry[0] is None or int(keep) < entry[0]):
+                entry[0] = int(keep)
+            entry[1] += n
+        if len(held) >= TASK_KEYS:
+            yield out()
+            held.clear()
+    yield out()
+
+
 class Index:
     """A stored index: `shards` and `entries` as described above."""
 
@@ -153,16 +176,20 @@ class Index:
     def apply(self, changes: DataFrame) -> Index:
         """The index after changes (digest, keep_id, n): n rows more, or fewer if n is negative.
 
-        A digest that occurs in a third of all rows arrives as one row per map task: changes are summed before they are dealt.
+        Changes are summed inside the tasks that read them, up to TASK_KEYS digests at once, so a digest that occurs in a third of all rows
+        arrives as a few rows of each task. In its shard the filter sees every one of them: the first is new, the others are hits, which are
+        verified and merged. Shards without a change stay as they are stored.
         """
-        whole = changes.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).filter("n <> 0")
-        dealt = whole.withColumn("shard", self._of("digest")).withColumn("kind", F.lit(2))
+        # ids go to pandas as text, since whole numbers beside a null would lose digits
+        summed = changes.select("digest", F.col("keep_id").cast("string").alias("keep_id"), "n").mapInPandas(_summed, "digest string, keep_id long, n long")
+        dealt = settle(summed.withColumn("shard", self._of("digest")).withColumn("kind", F.lit(2)), "cuckoo-changes")
+        touched = dealt.select("shard").distinct()
         none = lambda kind: F.lit(None).cast(kind)
         columns = ("shard", "kind", "digest", "keep_id", "n", "buckets", "slots")
         rows = dealt.select(*columns[:5], none("int").alias("buckets"), none("binary").alias("slots"))
         if self.entries is not None:
-            held = self.entries.select("shard", F.lit(1).alias("kind"), "digest", "keep_id", "n", none("int").alias("buckets"), none("binary").alias("slots"))
-            filters = self.shards.select(
+            held = self.entries.join(touched, "shard", "left_semi").select("shard", F.lit(1).alias("kind"), "digest", "keep_id", "n", none("int").alias("buckets"), none("binary").alias("slots"))
+            filters = self.shards.join(touched, "shard", "left_semi").select(
                 "shard", F.lit(0).alias("kind"), none("string").alias("digest"), none("long").alias("keep_id"), none("long").alias("n"), "buckets", "slots"
             )
             rows = filters.select(*columns).unionByName(held).unionByName(rows)
@@ -170,29 +197,32 @@ class Index:
         def run(group: pd.DataFrame) -> pd.DataFrame:
             number = int(group["shard"].iloc[0])
             kinds = {k: part for k, part in group.groupby("kind")}
-            ids = lambda part: [None if pd.isna(x) else int(x) for x in part["keep_id"]]
+            ids = lambda part: [None if x is None else int(x) for x in part["keep_id"]]
             stored = kinds.get(0)
             old = kinds.get(1)
             base = CuckooFilter(int(stored["buckets"].iloc[0]), stored["slots"].iloc[0]) if stored is not None else None
             shard = Shard(base, zip(old["digest"], ids(old), old["n"].astype(int), strict=True) if old is not None else ())
             new = kinds.get(2)
             if new is not None:
-                for digest, keep, n in sorted(zip(new["digest"], ids(new), new["n"].astype(int), strict=True), key=lambda x: (x[2] > 0, x[0])):
+                # rows that come before rows that go, so that what is taken away is there
+                for digest, keep, n in sorted(zip(new["digest"], ids(new), new["n"].astype(int), strict=True), key=lambda x: (x[2] < 0, x[0])):
                     if n > 0:
                         shard.add(digest, keep, n)
                     else:
                         shard.remove(digest, -n)
             found = [(number, b, d, e[0], e[1], None, None) for b, bucket in shard.content.items() for d, e in bucket.items()]
             found.append((number, -1, None, None, None, shard.filter.buckets, shard.filter.slots.tobytes()))
-            out = pd.DataFrame(found, columns=["shard", "bucket", "digest", "keep_id", "n", "buckets", "slots"])
-            return out.astype({"keep_id": "Int64", "n": "Int64", "buckets": "Int32"})
+            columns = dict(zip(("shard", "bucket", "digest", "keep_id", "n", "buckets", "slots"), zip(*found, strict=True), strict=True))
+            whole = {"keep_id": "Int64", "n": "Int64", "buckets": "Int32"}
+            return pd.DataFrame({c: pd.array(list(v), whole[c]) if c in whole else pd.Series(v) for c, v in columns.items()})
 
-        built = rows.groupBy("shard").applyInPandas(run, "shard int, bucket int, digest string, keep_id long, n long, buckets int, slots binary")
+        built = rows.withColumn("keep_id", F.col("keep_id").cast("string")).groupBy("shard").applyInPandas(run, "shard int, bucket int, digest string, keep_id long, n long, buckets int, slots binary")
         built = settle(built, "cuckoo-index")
-        return Index(
-            self.shard_count, built.filter("digest IS NULL").select("shard", "buckets", "slots"),
-            built.filter("digest IS NOT NULL").select("shard", "bucket", "digest", "keep_id", "n"),
-        )
+        shards, entries = built.filter("digest IS NULL").select("shard", "buckets", "slots"), built.filter("digest IS NOT NULL").select("shard", "bucket", "digest", "keep_id", "n")
+        if self.entries is not None:
+            shards = shards.unionByName(self.shards.join(touched, "shard", "left_anti"))
+            entries = entries.unionByName(self.entries.join(touched, "shard", "left_anti"))
+        return Index(self.shard_count, shards, entries)
 
 
 def normalised_digest(text: str = "text"):
