@@ -59,3 +59,59 @@ def test_odd_rows_and_no_rows(odd, documents):
     assert chunks.repeated_passages(odd.limit(0)).collect() == []
     same = words(9, 80)
     assert rows_of(chunks.repeated_passages(documents((None, same), (1, same))), "doc_id", "kept") == [(1, False), (None, True)]
+
+
+def test_rows_of_one_id_and_rows_without_one(documents):
+    one, two = words(11, 60), words(12, 60)
+    rows = [(1, f"{words(13, 40)} {one} {words(14, 30)}"), (1, f"{words(15, 30)} {two} {words(16, 40)}"), (2, f"{words(17, 35)} {one}"), (None, f"{words(18, 35)} {two}"), (None, f"{two} {words(19, 35)}")]
+    found = [r.asDict() for r in chunks.repeated_passages(documents(*rows)).collect()]
+    texts = [t for _, t in rows]
+    for r in found:
+        assert any(len(t[r["start"] : r["stop"]].split()) == r["words"] and t[r["start"] : r["stop"]] in f"{one}|{two}" for t in texts), r
+    assert sorted((r["doc_id"] or 0, r["first_doc_id"] or 0, r["kept"]) for r in found) == [(0, 0, False), (0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False)]
+    alone = documents((5, one), (5, f"{one} {two}"))
+    assert chunks.repeated_passages(alone).collect() == []  # only one document holds it
+
+
+def test_a_passage_that_repeats_itself(documents):
+    for phrase in ("buy now ", "0 ", "please call us now on this number today "):
+        rows = [(1, f"{words(20, 50)} {phrase * 120}{words(21, 40)}"), (2, f"{words(22, 30)} {phrase * 120}{words(23, 60)}"), (3, words(24, 90))]
+        found = chunks.repeated_passages(documents(*rows)).collect()
+        assert {r["doc_id"] for r in found} == {1, 2}
+        assert all(r["words"] >= 0.7 * 120 * len(phrase.split()) and dict(rows)[r["doc_id"]][r["start"] : r["stop"]] in phrase * 121 for r in found)
+
+
+def test_scripts_without_blanks(documents):
+    draw = np.random.default_rng(4)
+    han = lambda n: "".join(chr(0x4E00 + int(c)) for c in draw.integers(0, 3000, n))
+    shared = han(200)
+    rows = [(1, han(80) + shared + han(60)), (2, han(70) + shared), (3, han(200))]
+    found = chunks.repeated_passages(documents(*rows)).collect()
+    assert {r["doc_id"] for r in found} == {1, 2} and all(r["words"] >= 150 and dict(rows)[r["doc_id"]][r["start"] : r["stop"]] in shared for r in found)
+
+
+def test_equals_brute_force_over_chunks(documents):
+    draw = np.random.default_rng(6)
+    passages = [words(30 + i, 30) for i in range(6)]
+    rows = [(int(draw.integers(0, 60)), " ".join([words(100 + i, 25), passages[i % 6], words(300 + i, 20), passages[(i * 5 + 1) % 6]])) for i in range(80)]
+    cut = []
+    for number, (doc, text) in enumerate(rows):
+        data = np.frombuffer(text.encode(), np.uint8)
+        stops, ends = chunks.cuts(data)
+        starts, _ = chunks.words_of(data)
+        first = [0, *np.searchsorted(ends, stops, side="right")[:-1].tolist()]
+        cut += [(number, doc, i, int(starts[f]), int(z), text[int(starts[f]) : int(z)]) for i, (f, z) in enumerate(zip(first, stops.tolist()))]
+    holders = {}
+    for _, doc, _, _, _, piece in cut:
+        holders.setdefault(piece, set()).add(doc)
+    wanted, run = [], []
+    for c in [*cut, (None,) * 6]:
+        if run and (c[0] != run[-1][0] or len(holders[c[5]]) < 2):
+            size = sum(len(x[5].split()) for x in run)
+            if size >= chunks.PASSAGE_WORDS:
+                wanted.append((run[0][1], run[0][3], run[-1][4], size, min(holders[run[0][5]]), all(min(holders[x[5]]) == x[1] for x in run)))
+            run = []
+        if c[0] is not None and len(holders[c[5]]) > 1:
+            run.append(c)
+    got = rows_of(chunks.repeated_passages(documents(*rows)), "doc_id", "start", "stop", "words", "first_doc_id", "kept")
+    assert got == sorted(wanted)
