@@ -8,6 +8,7 @@ nearest decided blocks; where the two sides differ the nearer one counts, and th
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -44,6 +45,7 @@ CHROME_HINTS = frozenset(
     "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup "
     "promo promotion related recommended search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+ARTICLE_HINTS = CHROME_HINTS | {"card", "cards", "teaser", "teasers", "reply", "replies", "preview"}
 MAIN_HINTS = frozenset("article content entry main post story body text".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
@@ -81,6 +83,8 @@ def _kind(name: str, attributes: str, inside_main: bool) -> str:
             return "chrome"
         if role in CHROME_ROLES:
             return "chrome"
+        if name == "article" and words & ARTICLE_HINTS:  # a card, a teaser or a comment, which are articles to HTML too
+            return "chrome"
         if role == "main":
             return "main"
         if found != "main" and name not in ("html", "body") and words & CHROME_HINTS and not (words & MAIN_HINTS and not words & {"comment", "comments", "ad", "ads"}):
@@ -88,25 +92,48 @@ def _kind(name: str, attributes: str, inside_main: bool) -> str:
     return found
 
 
+class _Open:
+    """The open elements of a page, with what is asked of them all the time kept beside: how many are chrome, which article is the innermost, and how
+    many there are of each name, so that a closing tag looks for its element only where there is one."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, int]] = []  # element, kind, article number
+        self.names: Counter[str] = Counter()
+        self.chrome, self.mains, self.articles = 0, 0, [0]
+
+    def push(self, name: str, kind: str) -> None:
+        if kind == "main":
+            self.mains += 1
+            self.articles.append(self.mains)
+        self.chrome += kind == "chrome"
+        self.names[name] += 1
+        self.stack.append((name, kind, self.mains if kind == "main" else 0))
+
+    def pop(self) -> str:
+        name, kind, _ = self.stack.pop()
+        self.names[name] -= 1
+        self.chrome -= kind == "chrome"
+        if kind == "main":
+            self.articles.pop()
+        return name
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+
 def blocks_of(html: str) -> list[Block]:
     """Blocks of visible text in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int]] = []  # element, kind, article number
+    held = _Open()
     parts: list[str] = []
-    linked, in_link, heading, mains, in_head = 0, 0, False, 0, False
+    linked, in_link, heading, in_head = 0, 0, False, False
     at = 0
 
-    def chrome() -> bool:
-        return any(kind == "chrome" for _, kind, _ in stack)
-
-    def main() -> int:
-        return next((no for _, kind, no in reversed(stack) if kind == "main"), 0)
-
     def flush():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, main(), chrome(), heading))
+            out.append(Block(text, linked, held.articles[-1], held.chrome > 0, heading))
         parts.clear()
         linked = 0
 
@@ -150,28 +177,39 @@ def blocks_of(html: str) -> list[Block]:
         if not tracked:
             continue
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if any(kind for _, kind, _ in stack[depth:]):
-                        flush()
-                    del stack[depth:]
-                    break
+            if held.names[name]:
+                kinds = 0
+                for depth in range(len(held.stack) - 1, -1, -1):
+                    kinds += bool(held.stack[depth][1])
+                    if held.stack[depth][0] == name:
+                        break
+                if kinds:
+                    flush()
+                while held.pop() != name:
+                    pass
         else:
-            if name in BLOCKS and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                stack.pop()
-            if name in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            kind = _kind(name, attributes, main() > 0)
+            if name in BLOCKS and held.top() == "p":  # a block ends an open paragraph
+                held.pop()
+            if name in ("li", "dt", "dd", "td", "th", "tr", "option") and held.top() == name:
+                held.pop()
+            kind = _kind(name, attributes, held.articles[-1] > 0)
+            if kind == "main" and held.chrome:  # an article inside a sidebar is part of the sidebar
+                kind = ""
             if kind and name == "span":
                 flush()
-            mains += kind == "main"
             if not attributes.rstrip().endswith("/"):
-                stack.append((name, kind, mains if kind == "main" else 0))
+                held.push(name, kind)
     flush()
     return out
 
 
-def _first_pass(block: Block) -> int | None:
+def _density(block: Block) -> float:
+    words = re.findall(r"[^\W\d_]+", block.text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _first_pass(block: Block, known: bool) -> int | None:
+    """The label a block has by itself. known: whether the page is in a language with stop words here; if not, its length has to tell."""
     bare = len("".join(block.text.split()))
     if block.chrome or block.linked > LINK_DENSITY * bare:
         return BAD
@@ -179,48 +217,73 @@ def _first_pass(block: Block) -> int | None:
         return GOOD if len(block.text) >= SHORT_CHARS and not block.heading else OPEN
     if block.heading or len(block.text) < SHORT_CHARS:
         return BAD if "©" in block.text else OPEN
-    words = re.findall(r"[^\W\d_]+", block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    density = _density(block) if known else STOP_HIGH
     if density >= STOP_HIGH:
         return GOOD if len(block.text) > LONG_CHARS else OPEN
     return OPEN if density >= STOP_LOW else BAD
 
 
+def _own_language(blocks: list[Block]) -> bool:
+    """Whether any of the longer blocks that could be text has the stop words of text; a page that has no such blocks counts as well."""
+    long = [b for b in blocks if not b.chrome and not b.main and len(b.text) >= SHORT_CHARS and b.linked <= LINK_DENSITY * len(b.text)]
+    return not long or max(map(_density, long)) >= STOP_LOW
+
+
+def _named(blocks: list[Block]) -> bool:
+    """Whether the page's articles are its text: decided text inside them, and no more of it outside."""
+    inside = sum(len(b.text) for b in blocks if b.main and b.label == GOOD)
+    outside = sum(len(b.text) for b in blocks if not b.main and b.label == GOOD)
+    return inside > 0 and inside >= outside or not outside and any(b.main and not b.chrome for b in blocks)
+
+
+def _nearest(blocks: list[Block], order: range) -> list[tuple[int, int]]:
+    """For each block the label of the nearest decided block before it in the given order, and how far away it is.
+
+    A block of an article looks no further than the article, whose edges are text, and past what is no text in it.
+    """
+    out = [(BAD, 0)] * len(blocks)
+    last, text_of = None, {}  # (place, label) of the last decided block; place of the last text and of the beginning of each article
+    article, begun = 0, 0
+    for step, i in enumerate(order):
+        block = blocks[i]
+        own = 0 if block.chrome else block.main
+        if own != article:
+            article, begun = own, step
+            text_of.pop(own, None)
+        if block.main:
+            out[i] = (GOOD, step - text_of.get(block.main, begun - 1)) if own else (GOOD, 1)
+        else:
+            out[i] = (last[1], step - last[0]) if last else (BAD, step + 1)
+        if block.label is not OPEN:
+            last = (step, block.label)
+            if own and block.label == GOOD:
+                text_of[own] = step
+    return out
+
+
 def classify(blocks: list[Block]) -> None:
     """Label every block. Where a page names its article, only blocks inside it can be text."""
-    named = any(b.main for b in blocks)
+    known = _own_language(blocks)
     for block in blocks:
-        block.label = _first_pass(block)
-        if named and not block.main:
-            block.label = BAD
-    decided = [b.label for b in blocks]
-    for i, block in enumerate(blocks):
+        block.label = _first_pass(block, known)
+    if _named(blocks):
+        for block in blocks:
+            if not block.main:
+                block.label = BAD
+    else:
+        for block in blocks:
+            block.main = 0
+            block.label = _first_pass(block, known)
+    before, after = _nearest(blocks, range(len(blocks))), _nearest(blocks, range(len(blocks) - 1, -1, -1))
+    for block, (left, far_left), (right, far_right) in zip(blocks, before, after, strict=True):
         if block.label is not OPEN:
             continue
-        # neighbours count within the block's own article, whose edges are text
-        edge = GOOD if block.main else BAD
-        before = after = edge
-        far_before, far_after = i + 1, len(blocks) - i
-        for k in range(i - 1, -1, -1):
-            if block.main and (blocks[k].main != block.main or blocks[k].chrome):
-                far_before = i - k
-                break
-            if decided[k] is not OPEN and not (block.main and decided[k] is BAD):
-                before, far_before = decided[k], i - k
-                break
-        for k in range(i + 1, len(blocks)):
-            if block.main and (blocks[k].main != block.main or blocks[k].chrome):
-                far_after = k - i
-                break
-            if decided[k] is not OPEN and not (block.main and decided[k] is BAD):
-                after, far_after = decided[k], k - i
-                break
-        if before == after:
-            block.label = before
+        if left == right:
+            block.label = left
         elif block.heading:  # a heading goes with what follows
-            block.label = after
+            block.label = right
         else:
-            block.label = before if far_before <= far_after else after
+            block.label = left if far_left <= far_right else right
 
 
 def main_text(html: str | None) -> str:
@@ -232,13 +295,16 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) -> page_id, url, text, n_chars; null or empty html and pages without text give ''.
 
-    Every row gives one row, repeated rows too; further columns are not read.
+    Every row gives one row, repeated rows too; further columns are not read. Pages are taken whole, and the time for one
+    grows with its length.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [main_text(h) for h in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            ids = pd.array([None if x is None else int(x) for x in frame["page_id"]], "Int64")
+            yield pd.DataFrame({"page_id": ids, "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    kept = pages.selectExpr("CAST(page_id AS bigint) page_id", "CAST(url AS string) url", "CAST(html AS string) html")
+    # ids go to pandas as text, since whole numbers beside a null would lose digits
+    kept = pages.selectExpr("CAST(CAST(page_id AS bigint) AS string) page_id", "CAST(url AS string) url", "CAST(html AS string) html")
     return kept.mapInPandas(run, "page_id long, url string, text string, n_chars long")
