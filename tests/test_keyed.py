@@ -104,6 +104,16 @@ def test_a_store_needs_its_columns(spark, tmp_path):
             KeyedStore.create(spark, str(tmp_path / name), name, "something string")
 
 
+def test_a_rule_of_its_own_with_buckets_by_a_part_of_the_key(spark, frame, tmp_path):
+    rule = stores.Store(("a", "b"), ("v",))
+    store = KeyedStore.create(spark, str(tmp_path / "own"), rule, "a string, b string, v int, first int", 8, ["a"])
+    store.apply(frame("a string, b string, v int, first int", *[(f"a{i}", f"b{j}", i, j) for i in range(20) for j in range(3)]))
+    near = store.near(frame("a string", "a5"))
+    assert {r["b"] for r in near.filter("a = 'a5'").collect()} == {"b0", "b1", "b2"} and len(near.inputFiles()) < len(store.read().inputFiles())
+    with pytest.raises(ValueError, match="keys"):
+        KeyedStore.create(spark, str(tmp_path / "bad"), rule, "a string, b string, v int", 8, ["v"])
+
+
 def test_a_small_batch_moves_no_target_beyond_the_broadcast_limit(spark, tmp_path):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:

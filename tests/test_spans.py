@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tierstone.functions import spans as S
 from tierstone.operators import agent_runs as A
+from tierstone.operators import ancestry
 from tierstone.operators.ancestry import nearest_ancestor, nearest_or_self
 from tierstone.sources.otlp import flatten_spans, read_spans
 from tierstone.streaming import spans as store_of
@@ -39,6 +40,24 @@ def test_ancestors_equal_a_plain_walk(frame):
         got = search(df, "node", "parent", F.col("hit"), ["trace"]).select("trace", "node", column)
         expected = {(t, n, walk(p, m, n, include_self)) for t, (p, m) in cases.items() for n in p}
         assert as_set(got) == expected
+    # the other ways: all forests by doubling, the large ones alone, and one forest without a scope
+    expected = {(t, n, walk(p, m, n, True)) for t, (p, m) in cases.items() for n in p}
+    for small in (0, 100):
+        got = nearest_or_self(df, "node", "parent", F.col("hit"), ["trace"], small=small).select("trace", "node", "found")
+        assert as_set(got) == expected
+    chain = df.filter("trace = 'chain'").drop("trace")
+    for small in (0, 1000):
+        got = nearest_or_self(chain, "node", "parent", F.col("hit"), small=small)
+        assert {tuple(r) for r in got.collect()} == {(n, f) for t, n, f in expected if t == "chain"}
+
+
+def test_doubling_writes_half_the_rounds(frame, monkeypatch):
+    chain = frame("node string, parent string, hit boolean", *[(str(i), str(i - 1) if i else None, i == 0) for i in range(64)])
+    written = []
+    real = ancestry._write
+    monkeypatch.setattr(ancestry, "_write", lambda *a: written.append(1) or real(*a))
+    assert nearest_or_self(chain, "node", "parent", F.col("hit"), small=0).filter("found = '0'").count() == 64
+    assert len(written) - 1 <= 3  # the first write holds the forest itself; six doublings
 
 
 def attr(key, **value):
@@ -92,6 +111,38 @@ def test_attribute_values(frame):
     assert json.loads(got["kv"]) == {"p": [1], "q": "v"} and got["none"] == "[]"
 
 
+def wrapped(value, suffix="Value"):
+    """A plain value in the wire format."""
+    if isinstance(value, bool):
+        return {f"bool{suffix}": value}
+    if isinstance(value, int):
+        return {f"int{suffix}": str(value)}
+    if isinstance(value, float):
+        return {f"double{suffix}": value}
+    if isinstance(value, str):
+        return {f"string{suffix}": value}
+    if isinstance(value, list):
+        return {f"array{suffix}": {"values": [wrapped(v, suffix) for v in value]} if value else {}}
+    if isinstance(value, dict):
+        return {f"kvlist{suffix}": {"values": [{"key": k, "value": wrapped(v, suffix)} for k, v in value.items()]} if value else {}}
+    return {}
+
+
+def test_values_of_any_depth(frame):
+    def nested(n):
+        return ["leaf", n] if n == 0 else [n, nested(n - 1), {"k": 'a}]}"\\ {[', "d": nested(n - 2) if n > 1 else {}}]
+
+    values = [
+        nested(9), nested(4), [[[[[[]]]]]], [[[[[{}]]]]], {"a": {"b": {"c": {"d": {"e": {"f": [1, {"g": None}]}}}}}}, ["flat"], [[[["four"]]]],
+        [[[[[1.5, True, None, 'q"\\\n{"intValue":5}', {"stringValue": "x", "int_value": [7]}]]]]],
+    ]
+    lines = [
+        line(span(f"{suffix}{i}", attributes=[{"key": "v", "value": wrapped(v, suffix)}])) for suffix in ("Value", "_value") for i, v in enumerate(values)
+    ]
+    got = {r["span_id"]: json.loads(r["attributes"]["v"]) for r in flatten_spans(frame("value string", *lines)).collect()}
+    assert all(got[f"{suffix}{i}"] == v for suffix in ("Value", "_value") for i, v in enumerate(values))
+
+
 def test_first_attr_keeps_zero_and_blank(frame):
     df = frame("m map<string,string>", ({"a": None, "b": "0"},), ({"a": "", "b": "1"},), ({},))
     assert [r[0] for r in df.select(S.first_attr(F.col("m"), ["a", "b", "c"])).collect()] == ["0", "", None]

@@ -41,7 +41,7 @@ TASK_FIELDS = {
 }
 TASK_MARK = TASK_FIELDS["task_id"]
 
-# Lists inside lists inside attributes are followed this deep; what lies deeper stays as it was sent.
+# Lists inside lists inside attributes are parsed this deep with their types; what lies deeper is rewritten as text, in as many steps as it is deep.
 NESTING = 3
 
 
@@ -65,6 +65,54 @@ def _quoted(text: Column) -> Column:
     return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
+# Signs for what is not text inside a value, from the private use area, which no key of the format reaches.
+_ARRAY, _KVLIST, _TEXT, _NUMBER, _BOOL, _BYTES, _VALUES, _KEY, _VALUE, _STRING, _OPEN, _CLOSE, _SLASH, _QUOTE = map(chr, range(0xE000, 0xE00E))
+_SIGNS = {
+    "array": _ARRAY, "kvlist": _KVLIST, "string": _TEXT, "int": _NUMBER, "double": _NUMBER, "bool": _BOOL, "bytes": _BYTES,
+}
+
+
+def _deep(raw: Column, is_list: Column) -> Column:
+    """A list or key list of any depth as plain JSON text.
+
+    Strings are taken out and the rest is rewritten from the inside: a step replaces every list that holds no other any more, so there
+    are as many steps as levels. A text without a list inside takes one.
+    """
+    wrapped = F.concat(F.when(is_list, '{"arrayValue":').otherwise('{"kvlistValue":'), F.to_json(F.try_parse_json(raw)), F.lit("}"))
+    s = F.replace(F.replace(wrapped, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    for kind, sign in _SIGNS.items():
+        s = F.regexp_replace(s, f'"{kind}(?:Value|_value)":', sign)
+    for name, sign in (("values", _VALUES), ("key", _KEY), ("value", _VALUE)):
+        s = F.replace(s, F.lit(f'"{name}":'), F.lit(sign))
+    s = F.regexp_replace(s, f'{_NUMBER}"(-?[0-9][0-9.eE+-]*)"', f"{_NUMBER}$1")
+    s = F.regexp_replace(s, f'{_BYTES}"[^"]*"', f"{_BYTES}null")
+    strings = F.regexp_extract_all(s, F.lit('"[^"]*"'), F.lit(0))
+    s = F.regexp_replace(s, '"[^"]*"', _STRING)
+    # single values, then empty lists, then values that are not there
+    s = F.regexp_replace(s, f"\\{{[{_TEXT}{_NUMBER}{_BOOL}{_BYTES}]([^{{}}]*)\\}}", "$1")
+    s = F.regexp_replace(s, f"\\{{{_ARRAY}\\{{(?:{_VALUES}\\[\\])?\\}}\\}}", "[]")
+    s = F.regexp_replace(s, f"\\{{{_KVLIST}\\{{(?:{_VALUES}\\[\\])?\\}}\\}}", _OPEN + _CLOSE)
+    s = F.replace(s, F.lit("{}"), F.lit("null"))
+    s = F.regexp_replace(s, f"\\{{{_KEY}{_STRING}\\}}", f"{_STRING}:null")
+    lists = F.length(s) - F.length(F.translate(s, _ARRAY + _KVLIST, ""))
+
+    def inward(x: Column) -> Column:
+        x = F.regexp_replace(x, f"\\{{{_KEY}{_STRING},{_VALUE}([^{{}}]*)\\}}", f"{_STRING}:$1")
+        x = F.regexp_replace(x, f"\\{{{_ARRAY}\\{{{_VALUES}\\[([^{{}}]*)\\]\\}}\\}}", "[$1]")
+        return F.regexp_replace(x, f"\\{{{_KVLIST}\\{{{_VALUES}\\[([^{{}}]*)\\]\\}}\\}}", f"{_OPEN}$1{_CLOSE}")
+
+    def step(state: Column, _: Column) -> Column:
+        return F.when(state["done"], state).otherwise(
+            F.get(F.transform(F.array(inward(state["text"])), lambda x: F.struct(x.alias("text"), (x == state["text"]).alias("done"))), F.lit(0))
+        )
+
+    start = F.struct(s.alias("text"), F.lit(False).alias("done"))
+    plain = F.aggregate(F.sequence(F.lit(1), F.greatest(lists, F.lit(1))), start, step)["text"]
+    pieces = F.split(F.translate(plain, _OPEN + _CLOSE, "{}"), _STRING)
+    whole = F.array_join(F.flatten(F.zip_with(pieces, strings, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+    return F.when(raw.isNotNull(), F.replace(F.replace(whole, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\")))
+
+
 def _listed(raw: Column, is_list: Column, depth: int) -> Column:
     """A list or key list as plain JSON text, followed `depth` levels down."""
 
@@ -73,8 +121,8 @@ def _listed(raw: Column, is_list: Column, depth: int) -> Column:
 
     def plain(element: Column) -> Column:
         options = [part(element, k) for k in ("int", "double", "bool")]
-        inner = F.coalesce(part(element, "array"), part(element, "kvlist"))
-        options.append(_listed(inner, part(element, "array").isNotNull(), depth - 1) if depth else inner)
+        inner, is_list = F.coalesce(part(element, "array"), part(element, "kvlist")), part(element, "array").isNotNull()
+        options.append((_listed(inner, is_list, depth - 1) if depth else _deep(inner, is_list)))
         text = part(element, "string")
         return F.when(text.isNotNull(), _quoted(text)).otherwise(F.coalesce(*options, F.lit("null")))
 

@@ -159,3 +159,8 @@ def agent_runs(spans: DataFrame) -> DataFrame:
         .withColumn("tools_available", F.coalesce("tools_available", empty))
         .withColumnRenamed("run_span_id", "span_id")
     )
+
+
+def runs_by_task(runs: DataFrame) -> DataFrame:
+    """task_id, runs: how many agent runs each task had; null for runs below no task."""
+    return runs.groupBy("task_id").agg(F.count(F.lit(1)).alias("runs"))

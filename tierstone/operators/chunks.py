@@ -34,9 +34,11 @@ def _identified(rows: DataFrame, kind: str, mark: str) -> DataFrame:
     )
 
 
-def chunk(tickets: DataFrame, comments: DataFrame, min_chars: int = MIN_COMMENT_CHARS) -> DataFrame:
+def chunk(tickets: DataFrame, comments: DataFrame, min_chars: int = MIN_COMMENT_CHARS, hot_rows: int | None = None) -> DataFrame:
     """One chunk per ticket and one per long comment that is not the ticket text itself.
 
+    hot_rows: comments of one ticket and day of which a task numbers more than that only by ranges (see ordinal).
+
     A comment's ordinal counts all comments of the ticket, so gaps are real. Short
     bodies are dropped before anything is shuffled; the ordinal needs only their place.
     """
@@ -59,6 +61,7 @@ def chunk(tickets: DataFrame, comments: DataFrame, min_chars: int = MIN_COMMENT_
         [F.col("created_at").asc_nulls_first(), F.col("comment_id").asc()],
         F.coalesce(F.unix_date(F.to_date("created_at")), F.lit(-(2**31))),
         "_n",
+        hot_rows,
     ).filter(F.col("_said").isNotNull())
     said = placed.join(
         tickets.select("ticket_id", "customer_id", "product_sku", F.col("subject").alias("heading"), "body"),

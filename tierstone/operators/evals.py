@@ -18,11 +18,22 @@ def _json_list(c: str) -> Column:
     return F.coalesce(F.from_json(F.col(c), "array<string>"), F.array().cast("array<string>"))
 
 
-def eval_records(responses: DataFrame, scores: DataFrame, spans: DataFrame, task: str = ANSWER_TASK) -> DataFrame:
+def _whole_lists(calls: DataFrame) -> DataFrame:
+    """trace_id, span_id, tool_calls: the segments of tool_call_lists, one after the other."""
+    parts = F.array_sort(F.collect_list(F.struct("segment", "tool_calls")))
+    listed = calls.groupBy("trace_id", F.col("run_span_id").alias("span_id")).agg(parts.alias("_parts"))
+    return listed.select("trace_id", "span_id", F.flatten(F.transform("_parts", lambda p: p["tool_calls"])).alias("tool_calls"))
+
+
+def eval_records(
+    responses: DataFrame, scores: DataFrame, spans: DataFrame, task: str = ANSWER_TASK, calls: DataFrame | None = None
+) -> DataFrame:
     """One row per answer and matching span: score dimensions and flags split apart,
     the model filled from the span, newest first when sorted by `sort_at`.
 
-    A run with several answer spans gives several rows; see eval_summary(dedupe).
+    A run with several answer spans gives several rows; see eval_summary(dedupe). With calls, as
+    tool_call_lists gives them, a record has its span's calls in order as tool_calls; runs
+    with more calls than a row should hold are better read from there.
     """
     entries = F.coalesce(
         F.from_json(F.col("scores"), "map<string,string>"), F.create_map().cast("map<string,string>")
@@ -43,6 +54,11 @@ def eval_records(responses: DataFrame, scores: DataFrame, spans: DataFrame, task
     joined = with_span.join(judged, RUN, "left").unionByName(
         without.join(judged, RUN, "left"), allowMissingColumns=True
     )
+    own_calls = []
+    if calls is not None:
+        lists = _whole_lists(calls)
+        joined = joined.join(lists, ["trace_id", "span_id"], "left")
+        own_calls = [F.coalesce("tool_calls", F.array().cast(lists.schema["tool_calls"].dataType)).alias("tool_calls")]
     return joined.select(
         F.concat_ws(":", *RUN).alias("eval_id"),
         *RUN,
@@ -67,6 +83,7 @@ def eval_records(responses: DataFrame, scores: DataFrame, spans: DataFrame, task
         F.map_filter(entries, lambda k, v: ~graded(k, v)).alias("flags"),
         "scored_at",
         F.coalesce("scored_at", "created_at").alias("sort_at"),
+        *own_calls,
     )
 
 

@@ -51,3 +51,9 @@ def contained(entities: DataFrame, key: str, texts: DataFrame, text_col: str) ->
         .distinct()
     )
     return entities.join(pieces, key, "left_semi")
+
+
+def named_by_file(entities: DataFrame, key: str, paths: DataFrame, path_col: str) -> DataFrame:
+    """Entities whose key is the name of at least one of the files, without folders and without the extension."""
+    stem = F.regexp_extract(F.col(path_col), r"([^/]+?)(\.[^./]*)?$", 1)
+    return entities.join(paths.select(stem.alias(key)).distinct(), key, "left_semi")

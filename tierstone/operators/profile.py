@@ -20,7 +20,7 @@ def with_docs(df: DataFrame, docs: dict[str, str]) -> DataFrame:
     )
 
 
-def _described(df: DataFrame, table: str) -> list:
+def described(df: DataFrame, table: str) -> list:
     rows = []
     for position, f in enumerate(df.schema, start=1):
         rows.append(
@@ -53,14 +53,14 @@ def profile_columns(df: DataFrame, table: str, top_k: int = 10) -> DataFrame:
         ]
     found = df.agg(*measures)
     rows = []
-    for i, described in enumerate(_described(df, table)):
+    for i, about in enumerate(described(df, table)):
         filled, total = F.col(f"_filled{i}"), F.col("_rows")
         common = F.transform(
             F.filter(F.col(f"_top{i}"), lambda t: t["item"].isNotNull()), lambda t: t["item"]
         )
         rows.append(
             F.struct(
-                *described,
+                *about,
                 total.alias("row_count"),
                 F.when(total > 0, (total - filled) / total).alias("null_fraction"),
                 F.col(f"_distinct{i}").alias("n_distinct"),
@@ -113,7 +113,7 @@ def profile_columns_exact(df: DataFrame, table: str, top_k: int = 10) -> DataFra
         )
     )
     names = df.sparkSession.range(1).select(
-        F.inline(F.array(*[F.struct(*d) for d in _described(df, table)]))
+        F.inline(F.array(*[F.struct(*d) for d in described(df, table)]))
     )
     return (
         names.join(measures, "ordinal_position", "left")
@@ -132,8 +132,10 @@ def profile_layer(tables: dict[str, DataFrame], top_k: int = 10) -> DataFrame:
     return reduce(DataFrame.unionAll, [profile_columns(df, name, top_k) for name, df in tables.items()])
 
 
-def table_sizes(tables: dict[str, DataFrame]) -> list[dict]:
-    """Row and column count per table; the counts come from parquet footers."""
-    return [
-        {"table_name": n, "column_count": len(df.columns), "row_count": df.count()} for n, df in tables.items()
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_count, row_count; all tables are counted by one job."""
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), F.lit(len(df.columns)).alias("column_count"), "row_count")
+        for n, df in tables.items()
     ]
+    return reduce(DataFrame.unionAll, counted)

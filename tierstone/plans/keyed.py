@@ -11,13 +11,14 @@ write that stops before its version is made leaves folders no map names; `forget
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierstone.operators.upsert import upsert
-from tierstone.plans.stores import STORES
+from tierstone.plans.stores import STORES, Store
 from tierstone.session import claim, drop_dir, list_dirs, scratch, settle
 
 BUCKETS = 256  # some 100 MB of rows each is a good size; a table keeps the number it was made with
@@ -32,23 +33,31 @@ def _name(path: str) -> str:
 
 
 class KeyedStore:
-    """One table of STORES in a folder."""
+    """One keyed table in a folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         layout = spark.read.parquet(f"{path}/layout").first()
-        self.rule, self.buckets = STORES[layout["store"]], layout["buckets"]
+        self.rule = Store(tuple(layout["keys"]), None if layout["updates"] is None else tuple(layout["updates"]), layout["touch"])
+        self.buckets, self.bucket_by = layout["buckets"], tuple(layout["bucket_by"])
         self.schema = T._parse_datatype_json_string(layout["schema"])
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, store: str, schema: T.StructType | str, buckets: int = BUCKETS) -> KeyedStore:
-        """A table without rows, which is version 0."""
+    def create(
+        cls, spark: SparkSession, path: str, store: str | Store, schema: T.StructType | str, buckets: int = BUCKETS, bucket_by: Sequence[str] = ()
+    ) -> KeyedStore:
+        """A table without rows, which is version 0. store: a name of STORES or a rule; bucket_by: some of its keys, by default all."""
+        rule = STORES[store] if isinstance(store, str) else store
         if isinstance(schema, str):
             schema = T._parse_datatype_string(schema)
-        missing = {*STORES[store].keys, *(STORES[store].updates or ())} - set(schema.names)
+        missing = {*rule.keys, *(rule.updates or ()), *([rule.touch] if rule.touch else [])} - set(schema.names)
         if missing:
-            raise ValueError(f"{store} needs the columns {sorted(missing)}")
-        spark.createDataFrame([(store, buckets, schema.json())], "store string, buckets int, schema string").write.parquet(f"{path}/layout")
+            raise ValueError(f"the table needs the columns {sorted(missing)}")
+        if unknown := set(bucket_by) - set(rule.keys):
+            raise ValueError(f"buckets go by keys, which {sorted(unknown)} are not")
+        row = (list(rule.keys), None if rule.updates is None else list(rule.updates), rule.touch, buckets, list(bucket_by or rule.keys), schema.json())
+        columns = "keys array<string>, updates array<string>, touch string, buckets int, bucket_by array<string>, schema string"
+        spark.createDataFrame([row], columns).write.parquet(f"{path}/layout")
         return cls(spark, path)
 
     def _named(self) -> dict[int, str]:
@@ -82,8 +91,15 @@ class KeyedStore:
             raise ValueError(f"there is no version {version}")
         return self._rows(self._map(known.get(version)))
 
+    def near(self, rows: DataFrame) -> DataFrame:
+        """The newest version of the buckets that `rows` (with the columns of bucket_by) fall into; other buckets are not read."""
+        known = self.versions()
+        parts = self._map(known[max(known)] if known else None)
+        touched = [r[0] for r in rows.select(self._bucket()).distinct().collect()]  # at most as many as there are buckets
+        return self._rows({b: parts[b] for b in touched if b in parts})
+
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.rule.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
     def apply(self, batch: DataFrame, order_col: str | None = None, now: Column | None = None) -> int:
         """Insert or update by the table's rule; the number of the version this makes."""

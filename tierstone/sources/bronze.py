@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierstone.operators.ranking import ordinal
+from tierstone.operators.ranking import HOT_ROWS, ordinal
 from tierstone.session import drop_dir, escaped, settle
-from tierstone.sources.files import listing, read_csv_text, read_json_doc
+from tierstone.sources.files import listing, read_csv_text, read_json_doc, read_json_text
 
 # The lineage columns every landed row carries.
 LOADED_AT, SOURCE, RUN = "_loaded_at", "_source_file", "_ingest_run_id"
 LINEAGE = (LOADED_AT, SOURCE, RUN)
+SIDE_BY_SIDE = 8
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -96,25 +98,21 @@ def current(landed: DataFrame, key: str, version: str | None = None) -> DataFram
 
 
 def land_csv_folder(spark: SparkSession, pattern: str, bronze: str, prefix: str, run_id: str) -> dict[str, int]:
-    """One table per CSV file, named prefix__<file stem>."""
+    """One table per CSV file, named prefix__<file stem>. Small files are landed side by side, SIDE_BY_SIDE jobs at a time."""
     files = listing(spark, pattern).collect()  # one row per file of a curated folder
-    return {
-        f"{prefix}__{f['name']}": load_bronze(
-            read_csv_text(spark, f["path"]), f"{bronze}/{prefix}__{f['name']}", f["file"], run_id
-        )
-        for f in files
-    }
+
+    def land(f) -> tuple[str, int]:
+        table = f"{prefix}__{f['name']}"
+        return table, load_bronze(read_csv_text(spark, f["path"]), f"{bronze}/{table}", f["file"], run_id)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return dict(pool.map(land, files))
 
 
 def land_json_pages(spark: SparkSession, pattern: str, table_dir: str, run_id: str, keys: Sequence[str]) -> int:
     """All pages of one object in a single job; each page is its own source label."""
     listing(spark, pattern)
-    pages = (
-        spark.read.schema(T.StructType([T.StructField(k, T.StringType()) for k in sorted(keys)]))
-        .option("mode", "FAILFAST")
-        .json(pattern)
-    )
-    return load_bronze(pages, table_dir, F.col("_metadata.file_name"), run_id)
+    return load_bronze(read_json_text(spark, pattern, keys), table_dir, F.col("_metadata.file_name"), run_id)
 
 
 def flatten_children(df: DataFrame, array_col: str, key_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +148,7 @@ def nest_children(
     slice_by: Column,
     name: str = "children",
     segment_rows: int = 10_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Parents with their ordered children attached; an empty array where none.
 
@@ -158,7 +157,7 @@ def nest_children(
     one unbounded one; up to that size there is exactly one row per parent.
     """
     fields = [c for c in child.columns if c != key]
-    numbered = ordinal(child, [key], [F.col(c).asc_nulls_first() for c in order], slice_by, "_n")
+    numbered = ordinal(child, [key], [F.col(c).asc_nulls_first() for c in order], slice_by, "_n", hot_rows)
     lists = (
         numbered.withColumn("segment", F.floor((F.col("_n") - 1) / F.lit(segment_rows)).cast("int"))
         .groupBy(key, "segment")
@@ -206,9 +205,10 @@ def land_events(
 ) -> dict:
     """Files of event envelopes into one table under one label; returns the rows and
     the distinct event types in order."""
-    events = unwrap_envelope(read_json_doc(spark, pattern, schema))
-    types = events.select("event_type").distinct().orderBy("event_type")  # a small vocabulary
-    return {
-        "rows": load_bronze(events, table_dir, source, run_id, now),
-        "event_types": [r[0] for r in types.collect()],
-    }
+    rows = load_bronze(unwrap_envelope(read_json_doc(spark, pattern, schema)), table_dir, source, run_id, now)
+    if not rows:
+        return {"rows": 0, "event_types": []}
+    # one column of what was landed; the documents are not parsed again
+    landed = read_bronze(spark, table_dir, ["event_type"]).filter(F.col(SOURCE) == source)
+    types = landed.select("event_type").distinct().orderBy("event_type")  # a small vocabulary
+    return {"rows": rows, "event_types": [r[0] for r in types.collect()]}

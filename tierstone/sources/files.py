@@ -66,19 +66,27 @@ def read_json_text(
     """JSON lines as string columns: the union of keys, sorted. Blank lines are
     skipped, a broken line fails the job, nested values become key-sorted JSON.
 
-    Without keys one extra pass over the files finds the union; give them when known.
+    Without keys one extra pass over the files finds the union; give them when known. What is nested then shows in each line, and numbers
+    lose zeros at their end.
     """
-    reader = spark.read.option("mode", "FAILFAST")
     if keys is None:
+        reader = spark.read.option("mode", "FAILFAST")
         found = reader.option("primitivesAsString", True).json(paths).schema
         nested = {f.name for f in found if isinstance(f.dataType, (T.StructType, T.ArrayType))}
         names = sorted(f.name for f in found)
-    else:
-        nested, names = set(), sorted(keys)
-    raw = reader.schema(_string_schema(names)).json(paths)
-    return raw.select(
-        *[sorted_json(F.col(f"`{n}`")).alias(n) if n in nested else F.col(f"`{n}`") for n in names]
-    )
+        raw = reader.schema(_string_schema(names)).json(paths)
+        return raw.select(*[sorted_json(F.col(f"`{n}`")).alias(n) if n in nested else F.col(f"`{n}`") for n in names])
+    names = sorted(keys)
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", _string_schema(names), {"mode": "FAILFAST"}).alias("_row"))
+
+    def column(name: str) -> Column:
+        """Text that looks nested is parsed again as what was sent: a string stays as it is, an object or list is sorted."""
+        sent, raw = F.try_variant_get(F.parse_json("value"), f'$["{name}"]', "variant"), F.col("_row")[name]
+        is_nested = F.schema_of_variant(sent).rlike("^(OBJECT|ARRAY)")
+        return F.when(raw.rlike(r"^\s*[\[{]"), F.when(is_nested, F.to_json(sent)).otherwise(raw)).otherwise(raw).alias(name)
+
+    return parsed.select(*[column(n) for n in names])
 
 
 def read_json_doc(
@@ -92,3 +100,4 @@ def read_json_doc(
     else:
         reader = reader.option("primitivesAsString", True)
     return reader.json(path)
+

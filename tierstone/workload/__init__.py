@@ -1 +1 @@
-from tierstone.workload import checks, context, lake, landing, star, stores, traces  # noqa: F401
+from tierstone.workload import checks, context, evidence, lake, landing, star, stores, traces  # noqa: F401

@@ -9,12 +9,14 @@ from tierstone.functions.columns import checksum16, seconds_between, uuid5_url
 from tierstone.operators import chunks as C
 from tierstone.operators import evals as E
 from tierstone.operators import health as H
+from tierstone.operators.agent_runs import tool_call_lists
 from tierstone.operators.lsh import nearest_by_planes
 from tierstone.operators.membership import changed, contained, match, members, missing
 from tierstone.operators.ranking import top_n
 from tierstone.operators.results import bounded_result, passages_text
 from tierstone.operators.vectors import top_k_of_each, top_k_similar
-from tierstone.session import settle
+from tierstone.session import fresh_path, settle
+from tierstone.streaming.chunks import chunk_store, stream_chunks
 from tierstone.workload import standins as I
 from tierstone.workload.registry import Tables, query
 from tierstone.workload.standins import plain, text, with_sql
@@ -305,6 +307,46 @@ def vector_search_set(t: Tables) -> DataFrame:
     return plain(hits, similarity=6)
 
 
+# Threads as tickets, in the versions of three exports: in the second, threads without a product have another body and all have lost their
+# comments with an even number; the third is the first again.
+_EDITED = "CASE WHEN product_sku IS NULL THEN body || ' (edited)' ELSE body END"
+
+
+@query(
+    "stream_chunks",
+    with_sql(
+        "threads replies",
+        f""", placed AS ({_PLACED}), kept AS (
+          SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY created_at, comment_id) AS rn FROM s_replies WHERE CAST(split_part(comment_id, '-', 2) AS INTEGER) % 2 = 1),
+        edited AS (
+          SELECT ticket_id, NULL AS comment_id, {_EDITED} AS body FROM s_threads
+          UNION ALL SELECT r.ticket_id, r.comment_id, author_role || ': ' || r.body FROM kept r JOIN s_threads t ON t.ticket_id = r.ticket_id
+          WHERE length(r.body) >= 200 AND r.body IS DISTINCT FROM ({_EDITED.replace('body', 't.body')}))
+        SELECT coalesce(p.ticket_id, e.ticket_id) AS ticket_id, coalesce(p.comment_id, e.comment_id) AS comment_id, e.ticket_id IS NULL AS removed,
+          sha256(coalesce(e.body, p.body))[1:16] AS checksum, CASE WHEN p.body IS DISTINCT FROM e.body AND e.body IS NOT NULL THEN 2 ELSE 1 END AS embedded_in
+        FROM placed p FULL JOIN edited e ON e.ticket_id = p.ticket_id AND e.comment_id IS NOT DISTINCT FROM p.comment_id""",
+    ),
+)
+def stream_chunks_query(t: Tables) -> DataFrame:
+    """Three exports through the stream: all threads, an edit and a removal, and the first export once more."""
+    landing, store, mark = (fresh_path(t.spark, n) for n in ("export", "chunks", "progress"))
+    replies = I.replies(t)
+    odd = F.split_part("comment_id", F.lit("-"), F.lit(2)).cast("int") % 2 == 1
+
+    def export(threads: DataFrame, said: DataFrame, day: str) -> None:
+        listed = said.groupBy("ticket_id").agg(F.collect_list(F.struct("comment_id", "author_role", "body", "created_at")).alias("comments"))
+        rows = threads.withColumn("updated_at", F.lit(day)).join(listed, "ticket_id", "left")
+        rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(landing)
+        stream_chunks(t.spark, landing, store, mark, f"model-{day[-1]}", C.hash_embedder(16), buckets=4).awaitTermination()
+
+    edited = F.when(F.col("product_sku").isNull(), F.concat("body", F.lit(" (edited)"))).otherwise(F.col("body"))
+    export(I.threads(t), replies, "2026-04-01")
+    export(I.threads(t).withColumn("body", edited), replies.filter(odd), "2026-04-02")
+    export(I.threads(t), replies, "2026-04-01")
+    rows = chunk_store(t.spark, store).read()
+    return rows.select("ticket_id", "comment_id", "removed", "checksum", F.right("embedding_model", F.lit(1)).cast("bigint").alias("embedded_in"))
+
+
 @query(
     "vector_lsh",
     """SELECT count(*) * least(5, any_value(n)) AS neighbours, true AS recall_reached, count(*) AS first_is_itself, true AS similarities_right
@@ -455,6 +497,54 @@ def eval_records(t: Tables) -> DataFrame:
     )
 
 
+def _answer_calls(t: Tables) -> DataFrame:
+    """Clicks are tool calls of the event above them in the tree of events."""
+    calls = t.events.filter("event_type = 'click' AND event_id >= 3").select(
+        F.lit("t0").alias("trace_id"),
+        text(F.floor((F.col("event_id") - 1) / 3)).alias("run_span_id"),
+        text("event_id").alias("span_id"),
+        F.lit("tool_call").alias("kind"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("start_unix_nano"),
+        F.concat(F.lit("tool-"), F.get_json_object("props", "$.k")).alias("tool"),
+        F.col("value").alias("duration_ms"),
+    )
+    return tool_call_lists(calls, segment_rows=2)
+
+
+def _entry_sql(score: str, low: str) -> str:
+    return f"""'{{"score":"' || {score} || '","confidence":"' || CASE WHEN {low} THEN 'low' ELSE 'high' END || '","reasoning":"r"}}'"""
+
+
+@query(
+    "eval_records_whole",
+    f"""WITH calls AS (
+          SELECT CAST(CAST(floor((event_id - 1) / 3) AS BIGINT) AS VARCHAR) AS span_id,
+            string_agg('tool-' || json_extract_string(props, '$.k'), ',' ORDER BY epoch_us(ts), CAST(event_id AS VARCHAR)) AS tool_calls
+          FROM events WHERE event_type = 'click' AND event_id >= 3 GROUP BY 1)
+        SELECT eval_id, 'answers' AS dag_id, split_part(eval_id, ':', 2) AS run_id, lang AS question, answer,
+          CASE WHEN lang = 'en' THEN 'select 1;select 2' ELSE '' END AS sql_used, 't1' AS tables_used, '' AS chunks_used,
+          NULL::VARCHAR AS freshness_note, NULL::VARCHAR AS caveats, 'high' AS confidence, model, CASE WHEN has_no_trace THEN NULL ELSE 't0' END AS trace_id, r.span_id,
+          has_no_trace, input_tokens, NULL::BIGINT AS output_tokens, reasoning_tokens, NULL::DOUBLE AS cost, duration_ms, tool_call_count,
+          CASE WHEN has_no_trace THEN '' ELSE 'a' END AS tools_available,
+          CASE WHEN is_scored THEN 'quality=' || {_entry_sql("CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END", 'quality = toxic')} || ';toxicity=' ||
+            {_entry_sql("CASE WHEN toxic = 1 THEN 'poor' ELSE 'acceptable' END", 'quality = toxic')} ELSE '' END AS dimensions,
+          CASE WHEN is_scored THEN 'data_was_fresh=' || CASE WHEN quality = 1 THEN 'true' ELSE 'false' END ELSE '' END AS flags,
+          CASE WHEN is_scored THEN TIMESTAMP '2026-08-02' END AS scored_at,
+          CASE WHEN is_scored THEN TIMESTAMP '2026-08-02' ELSE TIMESTAMP '2026-08-01' END AS sort_at, coalesce(tool_calls, '') AS tool_calls
+        FROM ({_RECORDS.replace('lang,', 'lang, md5(text) AS answer, user_id AS input_tokens,', 1)}) r LEFT JOIN calls ON calls.span_id = r.span_id""",
+)
+def eval_records_whole(t: Tables) -> DataFrame:
+    """Every column of a record with the types it has, and the ordered calls of its span."""
+    records = E.eval_records(_responses(t), _scores(t), _answer_spans(t), calls=_answer_calls(t))
+    listed = lambda c: F.array_join(c, ";").alias(c)
+    entries = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias(c)
+    plain_columns = [c for c in records.columns if c not in ("sql_used", "tables_used", "chunks_used", "tools_available", "dimensions", "flags", "tool_calls")]
+    return records.select(
+        *plain_columns, listed("sql_used"), listed("tables_used"), listed("chunks_used"), listed("tools_available"), entries("dimensions"), entries("flags"),
+        F.array_join(F.transform("tool_calls", lambda c: c["tool"]), ",").alias("tool_calls"),
+    )
+
+
 @query(
     "eval_dimensions",
     f"""WITH r AS ({_RECORDS}), d AS (

@@ -16,14 +16,9 @@ from tierstone.workload.registry import SQL, Tables, query
 from tierstone.workload.standins import plain, text
 
 
-def _accounts(t: Tables) -> DataFrame:
-    held = I.customers(t).filter("account_id IS NOT NULL")
-    return held.select("account_id", "customer_id", "industry", "annual_revenue_credits")
-
-
 LANDED = {
     "appdb__customers": lambda t: I.customers(t).drop("account_id", "industry", "annual_revenue_credits"),
-    "salesforce__accounts": _accounts,
+    "salesforce__accounts": I.accounts,
     "reference__planets": I.planets,
     "reference__moons": I.moons,
     "reference__asteroids": I.asteroids,

@@ -17,6 +17,7 @@ from tierstone.sources.bronze import (
     unwrap_envelope,
 )
 from tierstone.sources.files import read_csv_text, read_json_text
+from tierstone.sources.json_array import read_json_array
 from tierstone.workload.registry import Tables, query
 from tierstone.workload.standins import money, plain, text
 
@@ -318,3 +319,18 @@ def cascade_delete(t: Tables) -> DataFrame:
     """Lines that remain once the partial orders are deleted."""
     kept = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     return plain(cascade(t.lineitem, kept, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
+@query("json_doc_split", "SELECT doc_id, lang, source, md5(text) AS text_md5, length(text) AS chars FROM documents")
+def json_doc_split(t: Tables) -> DataFrame:
+    """All documents as one JSON file without line breaks, read back in splits."""
+    path = fresh_path(t.spark, "document")
+    ends = t.documents.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    row = F.to_json(F.struct("doc_id", "lang", "source", "text"))
+    opening = F.when(F.col("doc_id") == ends["low"], F.lit('{"next_cursor":"[{","documents":[')).otherwise(F.lit(""))
+    closing = F.when(F.col("doc_id") == ends["high"], F.lit('],"more":[{"doc_id":-1}]}')).otherwise(F.lit(""))
+    # one long document has to be written by one task
+    one = t.documents.select("doc_id", F.concat(opening, row, closing).alias("value")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    one.select("value").write.option("lineSep", ",").text(path)
+    rows = read_json_array(t.spark, path, "doc_id long, lang string, source string, text string", "documents")
+    return plain(rows.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"), F.length("text").alias("chars")))

@@ -235,6 +235,68 @@ def routes(t: Tables) -> DataFrame:
     )
 
 
+WITH["accounts"] = """
+  SELECT 'acct-' || c_custkey AS account_id, CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment AS industry,
+         CAST(c_acctbal AS DECIMAL(18,2)) AS annual_revenue_credits FROM customer WHERE c_acctbal >= 0"""
+
+
+def accounts(t: Tables) -> DataFrame:
+    held = customers(t).filter("account_id IS NOT NULL")
+    return held.select("account_id", "customer_id", "industry", "annual_revenue_credits")
+
+
+# Customers are the contacts of the solvent ones of their number or of none.
+WITH["contacts"] = """
+  SELECT 'contact-' || c_custkey AS contact_id, 'acct-' || c_custkey AS account_id, c_name AS contact_name,
+         lower(trim('  ' || c_name || '@Example.com ')) AS email, CAST(DATE '1995-01-01' + c_nationkey AS DATE) AS created_date FROM customer"""
+
+
+def contacts(t: Tables) -> DataFrame:
+    return t.customer.select(
+        F.concat(F.lit("contact-"), text("c_custkey")).alias("contact_id"),
+        F.concat(F.lit("acct-"), text("c_custkey")).alias("account_id"),
+        F.col("c_name").alias("contact_name"),
+        F.concat(F.lit("  "), "c_name", F.lit("@Example.com ")).alias("email"),
+        F.date_add(F.lit("1995-01-01").cast("date"), F.col("c_nationkey")).alias("created_date"),
+    )
+
+
+WITH["opportunities"] = """
+  SELECT 'opp-' || o_orderkey AS opportunity_id, 'acct-' || o_custkey AS account_id, o_orderpriority AS opportunity_name,
+         CASE o_orderstatus WHEN 'F' THEN 'closed_won' WHEN 'O' THEN 'proposal' ELSE 'on_hold' END AS stage,
+         CAST(o_totalprice AS DECIMAL(18,2)) AS amount_credits, CAST(o_custkey % 101 AS INTEGER) AS probability,
+         CAST(o_orderdate AS DATE) AS close_date, o_orderstatus = 'F' AS is_won FROM orders"""
+
+
+def opportunities(t: Tables) -> DataFrame:
+    return t.orders.select(
+        F.concat(F.lit("opp-"), text("o_orderkey")).alias("opportunity_id"),
+        F.concat(F.lit("acct-"), text("o_custkey")).alias("account_id"),
+        F.col("o_orderpriority").alias("opportunity_name"),
+        choose("o_orderstatus", {"F": "closed_won", "O": "proposal"}, "on_hold").alias("stage"),
+        money("o_totalprice").alias("amount_credits"),
+        (F.col("o_custkey") % 101).cast("int").alias("probability"),
+        F.col("o_orderdate").cast("date").alias("close_date"),
+    )
+
+
+WITH["suppliers"] = """
+  SELECT CAST(s_suppkey AS INTEGER) AS supplier_id, s_name AS supplier_name, 'code-' || s_nationkey AS supplier_code,
+         lower(s_name) || '@example.com' AS contact_email, CAST(30 + s_nationkey AS INTEGER) AS payment_terms_days, s_acctbal >= 0 AS is_active
+  FROM supplier"""
+
+
+def suppliers(t: Tables) -> DataFrame:
+    return t.supplier.select(
+        F.col("s_suppkey").cast("int").alias("supplier_id"),
+        F.col("s_name").alias("supplier_name"),
+        F.concat(F.lit("code-"), text("s_nationkey")).alias("supplier_code"),
+        F.concat("s_name", F.lit("@Example.com")).alias("contact_email"),
+        (F.col("s_nationkey") + 30).cast("int").alias("payment_terms_days"),
+        (F.col("s_acctbal") >= 0).alias("is_active"),
+    )
+
+
 # --- orders, lines, money, deliveries --------------------------------------------------
 
 # One delivery per order: it leaves with the first line and takes 23 hours per unit of

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,15 +83,14 @@ def _rule_sql() -> str:
       ),
       shown AS (
         SELECT store, version, key, CASE WHEN touches THEN touched ELSE '-' END AS touched,
-          array_to_string(list_concat(list_transform(updates, c -> c || ':' || new), list_transform(others, c -> c || ':' || CASE WHEN free THEN new ELSE kept END)), ',') AS said
+          array_to_string(list_concat(list_transform(updates, lambda c: c || ':' || new), list_transform(others, lambda c: c || ':' || CASE WHEN free THEN new ELSE kept END)), ',') AS said
         FROM rules CROSS JOIN versions
       )
       SELECT store, version::BIGINT AS version, said, touched, true AS keys_right, count(*) AS keys, sum(key)::BIGINT AS key_sum FROM shown GROUP BY ALL""",
 )
 def store_apply(t: Tables) -> DataFrame:
     """Ten stores on disk, each with a batch of orders and then one of lines; both versions are read at the end."""
-    out = None
-    for name in STORES:
+    def changed(name: str) -> DataFrame:
         first, second = _rows(t, name)
         schema = first.drop("seq").schema
         if STORES[name].touch:
@@ -96,7 +98,7 @@ def store_apply(t: Tables) -> DataFrame:
         store = KeyedStore.create(t.spark, fresh_path(t.spark, f"store-{name}"), name, schema, BUCKETS)
         for batch, day in ((first, "2026-01-01"), (second, "2026-02-01")):
             store.apply(batch, "seq", F.lit(f"{day} 00:00:00").cast("timestamp"))
-        for version in (1, 2):
-            seen = _seen(name, version, store.read(version))
-            out = seen if out is None else out.unionByName(seen)
-    return out
+        return _seen(name, 1, store.read(1)).unionByName(_seen(name, 2, store.read(2)))
+
+    with ThreadPoolExecutor(5) as pool:  # small writes, side by side
+        return reduce(DataFrame.unionByName, pool.map(changed, STORES))

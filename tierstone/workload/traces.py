@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierstone.functions import spans as S
@@ -38,6 +38,11 @@ def span_flatten(t: Tables) -> DataFrame:
     return _spans(t).drop("attributes")
 
 
+def _eight_deep(number: Column) -> Column:
+    """A number in eight lists, in the wire format."""
+    return F.concat(F.lit('{"arrayValue":{"values":[' * 8 + '{"intValue":"'), number, F.lit('"}' + "]}}" * 8))
+
+
 @query(
     "span_attributes",
     with_sql(
@@ -46,7 +51,7 @@ def span_flatten(t: Tables) -> DataFrame:
              WHEN 'purchase' THEN 4 ELSE 0 END AS BIGINT) AS n, CASE WHEN event_type = 'signup' THEN 'm-' || (user_id % 7) END AS model,
              CASE WHEN event_type = 'signup' THEN CAST(k AS BIGINT) END AS input_tokens,
              CASE WHEN event_type = 'signup' THEN user_id END AS output_tokens,
-             CASE WHEN event_type = 'signup' THEN '["a","' || k || '"]' END AS tags FROM s_spans""",
+             CASE WHEN event_type = 'signup' THEN '["a","' || k || '"]' END AS tags, repeat('[', 8) || user_id || repeat(']', 8) AS deep FROM s_spans""",
     ),
 )
 def span_attributes(t: Tables) -> DataFrame:
@@ -58,6 +63,7 @@ def span_attributes(t: Tables) -> DataFrame:
         S.first_attr(a, S.INPUT_TOKENS).cast("bigint").alias("input_tokens"),
         S.first_attr(a, S.OUTPUT_TOKENS).cast("bigint").alias("output_tokens"),
         F.try_element_at(a, F.lit("tags")).alias("tags"),
+        S.attribute_text(F.from_json(_eight_deep(F.regexp_replace("service_name", "svc-", "")), S.VALUE_TYPE)).alias("deep"),
     )
 
 
