@@ -114,6 +114,25 @@ def test_texts_put_together_from_boilerplate(documents):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_texts_put_together_from_boilerplate_with_default_bands(documents):
+    """As above with the bands of the query: classes are those of brute force."""
+    part = [[" ".join(f"p{i}v{v}w{k}" for k in range(20)) for v in range(2)] for i in range(10)]
+    picks = [tuple(i >> k & 1 for k in range(10)) for i in range(0, 1024, 5)]
+    rows = [(i, " ".join(part[k][v] for k, v in enumerate(pick))) for i, pick in enumerate(picks)]
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(documents(*rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_scripts_without_blanks(documents):
+    draw = np.random.default_rng(2)
+    text = "".join(chr(0x4E00 + int(c)) for c in draw.integers(0, 3000, 400))
+    other = "".join(chr(0x4E00 + int(c)) for c in draw.integers(0, 3000, 400))
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(documents((1, text), (2, text[:-1] + "永"), (3, other), (4, "mixed " + text + " end"))).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+    _, counts = near.word_hashes(["日本 abc語x", "éa日", "日", " 日。"])
+    assert counts.tolist() == [5, 2, 1, 2]
+
+
 def test_one_of_each_class_stays(documents):
     rows = corpus()
     docs = documents(*rows)

@@ -29,7 +29,8 @@ BANDS, ROWS = 32, 6  # a pair at 0.8 meets in some band with probability 1 - (1
 SMALL = 6  # buckets of up to so many texts compare all their pairs, larger ones by leaders
 FEW = 32  # texts that share a rare shingle compare all their pairs at once up to so many; of more, leaders go first
 BLOCK = 256  # texts of one rare shingle that a task pairs with as many others
-CHARS = 2_000_000  # characters hashed at once; a longer text goes alone
+CHARS = 500_000  # characters hashed at once; a longer text goes alone
+ROWS_OUT = 250_000  # rows a task hands on at once
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BYTE = np.zeros(256, bool)
@@ -60,13 +61,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text.
 
-    A word is a run of ASCII letters and digits and of characters beyond ASCII, in small letters.
+    A word is a run of ASCII letters and digits and of characters beyond ASCII, in small letters; a character of U+3000 to U+9FFF, whose
+    scripts have no blanks, is a word by itself.
     """
     parts = [t.lower().encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     inside = np.concatenate([[False], _WORD_BYTE[data], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    alone = np.concatenate([[False], (data >= 0xE3) & (data <= 0xE9), [False]])  # first byte of three
+    begins = inside & ~np.concatenate([[False], inside[:-1]]) | alone
+    begins[3:] |= inside[3:] & alone[:-3]
+    starts = np.flatnonzero(begins) - 1
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | begins[1:]))
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     # a polynomial of the word's bytes, shifted back to the word's start
@@ -156,11 +161,12 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             owner, shingles, weights, digests, counts = bags(texts)
             keys = band_keys(signatures(owner, shingles, weights, len(texts), bands * rows), bands, rows)
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "words": counts, "digest": digests,
+                "doc_id": pd.array([None if x is None else int(x) for x in part["doc_id"]], "Int64"), "text_key": part["text_key"], "words": counts, "digest": digests,
                 "bands": [k if n else [] for k, n in zip(keys, counts, strict=True)],
             })
 
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # ids go to pandas as text, since whole numbers beside a null would lose digits
+    rows_in = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows_in.withColumn("text_key", F.xxhash64("text")).mapInPandas(
         run, "doc_id long, text_key long, words long, digest binary, bands array<long>"
     )
@@ -215,24 +221,28 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def _rare_keys(texts: DataFrame, similarity: float) -> DataFrame:
     """(key, digest, before, total) of the shingles of each text that a text with `similarity` can't all do without.
 
-    With the shingles of every text in one order, rarest first, the first shingle two such texts have in common has at
-    most a part of 1 - similarity of either text before it. So the shingles up to there, and no others, are keys.
+    texts: (digest, number, text). With the shingles of every text in one order, rarest first, the first shingle two such texts have in
+    common has at most a part of 1 - similarity of either text before it. So the shingles up to there, and no others, are keys.
     before: the weight of the text's shingles ahead of the key; total: of all its shingles.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in _batches(iter([frame]), "text"):
-                owner, shingles, weights, _, _ = bags(part["text"].tolist())
-                yield pd.DataFrame({"digest": part["digest"].to_numpy()[owner], "key": shingles.view(np.int64), "weight": weights})
-
-    rows = settle(texts.mapInPandas(run, "digest binary, key long, weight int"), "shingles")
+        for part in _batches(frames, "text"):
+            owner, shingles, weights, _, _ = bags(part["text"].tolist())
+            numbers = part["number"].to_numpy()[owner]
+            for at in range(0, len(owner), ROWS_OUT):
+                here = slice(at, at + ROWS_OUT)
+                yield pd.DataFrame({"number": numbers[here], "key": shingles[here].view(np.int64), "weight": weights[here].astype(np.int32)})
+
+    # numbers in place of digests: a text has as many rows as shingles
+    rows = settle(texts.select("number", "text").mapInPandas(run, "number long, key long, weight int"), "shingles")
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    in_order = Window.partitionBy("digest").orderBy("n", "key")
+    in_order = Window.partitionBy("number").orderBy("n", "key")
     before = F.sum("weight").over(in_order) - F.col("weight")
-    total = F.sum("weight").over(Window.partitionBy("digest"))
+    total = F.sum("weight").over(Window.partitionBy("number"))
     placed = rows.join(counts, "key").withColumn("before", before).withColumn("total", total)
-    return placed.filter((F.col("n") > 1) & (F.col("before") <= F.col("total") * (1 - similarity) + 1e-9)).select("key", "digest", "before", "total")
+    keys = placed.filter((F.col("n") > 1) & (F.col("before") <= F.col("total") * (1 - similarity) + 1e-9)).select("key", "number", "before", "total")
+    return keys.join(texts.select("number", "digest"), "number").drop("number")
 
 
 def _pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
@@ -256,10 +266,10 @@ def _pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, class_id, class_rows, links.
+    """One row per row of docs: doc_id, text_key, class_id, class_rows.
 
     class_id is the smallest doc_id of the class, a connected component of texts that overlap by `similarity`; class_rows its
-    rows; links the verified links of the row's own text to other texts. Texts of equal words are one text. Null, empty
+    rows. Texts of equal words are one text. Null, empty
     and wordless texts are classes of their own with their doc_id as class_id; so is a null doc_id's lone text. Rows that
     repeat a doc_id stay rows. Other columns are not read.
 
@@ -287,7 +297,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).withColumn("_key", F.xxhash64("text"))
     texts = source.join(holders, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     # rows that repeat both id and text would repeat the digest
-    texts = settle(texts.groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
+    texts = settle(texts.groupBy("digest").agg(F.first("text").alias("text")).withColumn("number", F.monotonically_increasing_id()), "candidate-texts")
 
     tried = settle(_small_pairs(members).union(_leader_pairs(members.filter(F.col("n") > SMALL))).distinct(), "pairs")
     links = settle(verified(tried, texts, similarity), "links")
@@ -316,13 +326,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         links = links.union(found)
         roots = connected(links)
 
-    degree = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("links"))
     joined = classes.select("digest", "doc_id", "copies").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
     named = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_rows"))
-    of_text = settle(joined.select("digest", "root").join(named, "root").join(degree, "digest", "left").drop("root"), "classes")
+    of_text = settle(joined.select("digest", "root").join(named, "root").drop("root"), "classes")
     return sketched.join(of_text, "digest", "left").select(
         "doc_id", "text_key", F.when(F.col("words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"), F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"),
     )
 
 

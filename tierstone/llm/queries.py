@@ -98,7 +98,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_near_duplicates")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = bagminhash.near_duplicates(table(spark, folder, "documents"))
-    return found.select("doc_id", "class_id", "class_rows", "links")
+    return found.select("doc_id", "class_id", "class_rows")
 
 
 @query("op5_main_text")
@@ -144,7 +144,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     index, _ = warc.archive(table(spark, folder, "pages"))
-    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query(
