@@ -26,13 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.session import fresh_path, settle
+from tierstone.session import arrow_rows, fresh_path, settle
 
 BLOCK = 65536  # ids in a block, at most
 CHECKPOINT = 256  # ids between two checkpoints
 MAX_BITS = 16  # length limit of a code, and so the size of the decoding table
-DECODED = 16  # blocks decoded in step
-CACHED_WORDS = 400_000  # words a Python worker remembers; beyond that it starts anew
+DECODED = 16  # blocks that go to Python at once, and are decoded in step
+DOCUMENTS_AT_ONCE = 512  # documents that go to Python at once
+CACHED_WORDS = 300_000  # words a Python worker remembers; beyond that it starts anew
 
 STAGED = "shard int, block int, within long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, ids binary"
 BLOCKS = "shard int, block int, first long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, points array<int>, payload binary"
@@ -319,8 +320,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block:
     spark = docs.sparkSession
     if max_bits > 16:
         raise ValueError("codes are placed in 16-bit words, so max_bits goes up to 16")
-    staged = settle(stage(docs, tokenizer, end_id, block), "staged-ids")
-    counts = staged.select("ids").mapInPandas(_count_ids, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).orderBy("id").toPandas()
+    with arrow_rows(spark, DOCUMENTS_AT_ONCE):
+        staged = settle(stage(docs, tokenizer, end_id, block), "staged-ids")
+    with arrow_rows(spark, DECODED):
+        counts = staged.select("ids").mapInPandas(_count_ids, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).orderBy("id").toPandas()
     counts["bits"] = limited_lengths(counts["count"].to_numpy(), max_bits).astype("int32")
     schema = "id int, bits int, count long"
     spark.createDataFrame(counts[["id", "bits", "count"]], schema).coalesce(1).write.parquet(f"{path}/codes")
@@ -339,7 +342,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block:
             frame["points"], frame["payload"] = [p for p, _ in coded], [b for _, b in coded]
             yield frame[["shard", "block", "first", "n", "doc_ids", "doc_nos", "counts", "ends", "points", "payload"]]
 
-    staged.mapInPandas(pack, BLOCKS).write.option("compression", "snappy").parquet(f"{path}/blocks")
+    with arrow_rows(spark, DECODED):
+        staged.mapInPandas(pack, BLOCKS).write.option("compression", "snappy").parquet(f"{path}/blocks")
 
 
 def load_code(spark: SparkSession, path: str) -> Code:
