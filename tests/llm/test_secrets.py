@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tierstone.llm import secrets
 
 from llm_rows import rows_of
@@ -69,3 +71,30 @@ def test_odd_rows_and_no_rows(odd, documents):
     assert secrets.scan(odd.limit(0), secrets.fit(odd.limit(0))).collect() == []
     docs = documents((1, f'token = "{HEX}"'), (2, None))
     assert [(d, [tuple(s) for s in spans]) for d, spans in rows_of(secrets.scan(docs, secrets.fit(docs)), "doc_id", "spans")] == [(1, [(0, "assign", 49), (9, "hex", 49)]), (2, [])]
+
+
+def test_the_field_looks_at_every_token():
+    field = secrets.Field()
+    field.weights[secrets.features(["hunter"], "40")[0, 4], secrets.B] = 50.0  # words of this shape that begin like this one
+    field.weights[:, secrets.O] += 1.0
+    plain = "plain words only here " * 30
+    assert secrets.chains(f"{plain}hunter {plain}") == []
+    assert secrets.find_all([plain, f"{plain}hunter {plain}", "", "hunter"], field) == [[], [(len(plain), "crf", len(plain) + 6)], [], [(0, "crf", 6)]]
+
+
+def test_whole_texts_are_tagged_as_one_chain_each():
+    field, draw = learnt(), random.Random(7)
+    words = ["token", "=", "key", "is", "q8ZtRw2LmN5pXv7KcB3sHd9F", "4785380592", "plain", "^", "$", "é", "—", "page77number", "aB1"]
+    texts = [[draw.choice(words) for _ in range(n)] for n in (0, 1, 2, 3, 63, 64, 65, 0, 700, 129, 5)]
+    files = [f"{i % 5}True" for i in range(len(texts))]
+    x, first = secrets.features_of(texts, files)
+    apart = [secrets.features(t, f) for t, f in zip(texts, files, strict=True)]
+    assert (x == np.concatenate(apart)).all() and first.sum() == sum(map(bool, texts))
+    field.weights += np.random.default_rng(3).normal(size=field.weights.shape) / 2  # some of every label
+    tags = field.tags(x, first)
+    assert set(tags) == {0, 1, 2} and list(tags) == [t for part in field.decode(apart) for t in part]
+
+
+def test_the_share_of_letters_is_that_of_the_whole_text():
+    text = "a1" * 3000  # every second character is a letter, whatever stretch one looks at
+    assert secrets.file_feature(text) == "2False" and secrets.file_feature("") == "0False"
