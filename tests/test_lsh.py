@@ -89,3 +89,21 @@ def test_exact_search_of_a_set_in_parts(made, monkeypatch):
     whole = found(vectors.top_k_of_each(made(rows), made(asked, "query_id"), 3, "vec_id", "embedding"))
     monkeypatch.setattr(vectors, "MAX_QUERIES", 16)
     assert found(vectors.top_k_of_each(made(rows), made(asked, "query_id"), 3, "vec_id", "embedding")) == whole == exact(rows, asked, 3)
+
+
+def test_a_task_holds_a_bounded_number_of_similarities():
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    rows, wanted = draw.integers(-3, 4, size=(4096, 8)).astype(float), draw.integers(-3, 4, size=(4000, 8)).astype(float)
+    tracemalloc.start()
+    got = {int(q): None for _, number, _ in vectors.nearest_in_batch(rows, wanted, 5) for q in number}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 4000 and peak < 100 << 20  # one matrix of all similarities alone is 131 MB
+    some = [(list(p), list(s)) for p, n, s in [[np.concatenate(x) for x in zip(*vectors.nearest_in_batch(rows, wanted[:300], 5), strict=True)]]]
+    cosine = (rows @ wanted[:300].T) / np.outer(np.linalg.norm(rows, axis=1), np.linalg.norm(wanted[:300], axis=1)).clip(1e-300)
+    for q in range(300):
+        if wanted[q].any():
+            left = np.where(rows.any(axis=1), np.round(cosine[:, q], 12), -9)
+            assert some[0][0][5 * q : 5 * q + 5] == list(np.argsort(-left, kind="stable")[:5])

@@ -54,6 +54,8 @@ def top_k_similar(corpus: DataFrame, query: Sequence[float], k: int, id_col: str
 
 # query vectors every task holds at once: 16,384 of 1,024 numbers are 128 MB
 MAX_QUERIES = 16_384
+# similarities a task holds at once, for rows x queries: some copies of 8 MB
+CELLS = 1 << 20
 
 
 def top_k_of_each(
@@ -61,7 +63,7 @@ def top_k_of_each(
 ) -> DataFrame:
     """The k rows closest to each vector of a query set: query, id, similarity, rank (from 1).
 
-    Every task scores up to MAX_QUERIES query vectors against its Arrow batches in one matrix product; k rows
+    Every task scores up to MAX_QUERIES query vectors against its Arrow batches, in matrix products of CELLS numbers; k rows
     per query and batch leave the task, never a pair more. A larger set is dealt to parts, which
     are searched one after the other; `lsh.nearest_by_planes` does without a scan for each.
     Rows without a vector are skipped; a zero vector has no angle and comes last as
@@ -81,10 +83,21 @@ def top_k_of_each(
     return corpus.sparkSession.read.schema(found.schema).parquet(path)
 
 
+def nearest_in_batch(rows: np.ndarray, wanted: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, query, similarity) of the k rows closest to each query, some queries at a time; rows of equal similarity in their order."""
+    sizes, step = np.linalg.norm(rows, axis=1), max(1, CELLS // max(1, len(rows)))
+    for start in range(0, len(wanted), step):
+        some = wanted[start : start + step]
+        scale = np.outer(sizes, np.linalg.norm(some, axis=1))
+        score = np.round(np.divide(rows @ some.T, scale, out=np.full(scale.shape, np.nan), where=scale != 0), 12)
+        order = np.argsort(-score, axis=0, kind="stable")[:k]
+        picked, number = order.T.ravel(), np.repeat(np.arange(len(some)), len(order))
+        yield picked, start + number, score[picked, number]
+
+
 def _top_k_of_some(corpus: DataFrame, asked: pa.Table, query_kind: str, k: int, id_col: str, vector_col: str, query_col: str) -> DataFrame:
     names = asked.column(0).combine_chunks()
     wanted = np.asarray(asked.column(1).to_pylist(), dtype=np.float64).reshape(asked.num_rows, len(asked) and -1)
-    lengths = np.linalg.norm(wanted, axis=1)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,15 +108,12 @@ def _top_k_of_some(corpus: DataFrame, asked: pa.Table, query_kind: str, k: int,
             if (np.diff(np.asarray(listed.offsets)) != wanted.shape[1]).any():
                 raise ValueError(f"expected vectors of {wanted.shape[1]} numbers")
             rows = np.asarray(listed.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
-            scale = np.outer(np.linalg.norm(rows, axis=1), lengths)
-            score = np.round(np.divide(rows @ wanted.T, scale, out=np.full(scale.shape, np.nan), where=scale != 0), 12)
-            # rows come by id, so a stable sort leaves ties in that order
-            order = np.argsort(-score, axis=0, kind="stable")[:k]
-            picked, number = order.T.ravel(), np.repeat(np.arange(len(wanted)), len(order))
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(number)), batch.column(0).take(pa.array(picked)), pa.array(score[picked, number], from_pandas=True)],
-                names=[query_col, id_col, "similarity"],
-            )
+            # rows come by id, so ties stay in that order
+            for picked, number, score in nearest_in_batch(rows, wanted, k):
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(number)), batch.column(0).take(pa.array(picked)), pa.array(score, from_pandas=True)],
+                    names=[query_col, id_col, "similarity"],
+                )
 
     scored = (
         corpus.select(id_col, vector_col)
