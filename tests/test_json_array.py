@@ -78,3 +78,17 @@ def test_nested_values_are_sorted_with_and_without_keys(spark, tmp_path):
     found = read_json_text(spark, str(tmp_path / "one.jsonl"))
     assert found.select("k", "l").first() == read_json_text(spark, str(tmp_path / "one.jsonl"), ["k", "l"]).first()
     assert found.select(F.col("s")).first()[0] == '{"z":1,"a":2}'
+
+
+def test_a_large_table_is_written_as_several_documents(small_splits, tmp_path, monkeypatch):
+    from tierstone.workload import landing
+    from tierstone.workload.registry import QUERIES
+
+    rows = [(i * 7 % 401, "".join(random.Random(i).choice('a}{"[],:\\') for _ in range(60))) for i in range(401)]
+    small_splits.createDataFrame([(i, t, "en", "s", 60) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    monkeypatch.setattr(landing, "DOCUMENT_BYTES", 10_000)
+    monkeypatch.setattr(landing, "fresh_path", lambda spark, label: written.append(str(tmp_path / label)) or written[-1])
+    got = QUERIES["json_doc_split"](small_splits, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["chars"]) for r in got) == [(i, 60) for i in range(401)]
+    assert sum(f.stat().st_size > 2_000 for f in (tmp_path / "document").rglob("*.txt")) >= 5

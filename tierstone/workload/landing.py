@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -321,16 +323,23 @@ def cascade_delete(t: Tables) -> DataFrame:
     return plain(cascade(t.lineitem, kept, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
+DOCUMENT_BYTES = 256 << 20  # text of one JSON file, several splits long
+
+
 @query("json_doc_split", "SELECT doc_id, lang, source, md5(text) AS text_md5, length(text) AS chars FROM documents")
 def json_doc_split(t: Tables) -> DataFrame:
-    """All documents as one JSON file without line breaks, read back in splits."""
+    """All documents as JSON files without line breaks, of DOCUMENT_BYTES each, so one at small scale; read back in splits."""
     path = fresh_path(t.spark, "document")
-    ends = t.documents.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    size = t.documents.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("bytes")).first()["bytes"] or 0
+    parts = -(-size // DOCUMENT_BYTES) or 1
+    bounds = t.documents.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    part = reduce(lambda n, bound: n + F.when(F.col("doc_id") > int(bound), 1).otherwise(0), bounds, F.lit(0))
+    ends = t.documents.groupBy(part.alias("part")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()  # a row for each file
     row = F.to_json(F.struct("doc_id", "lang", "source", "text"))
-    opening = F.when(F.col("doc_id") == ends["low"], F.lit('{"next_cursor":"[{","documents":[')).otherwise(F.lit(""))
-    closing = F.when(F.col("doc_id") == ends["high"], F.lit('],"more":[{"doc_id":-1}]}')).otherwise(F.lit(""))
-    # one long document has to be written by one task
-    one = t.documents.select("doc_id", F.concat(opening, row, closing).alias("value")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
-    one.select("value").write.option("lineSep", ",").text(path)
+    opening = F.when(F.col("doc_id").isin([e["low"] for e in ends]), F.lit('{"next_cursor":"[{","documents":[')).otherwise(F.lit(""))
+    closing = F.when(F.col("doc_id").isin([e["high"] for e in ends]), F.lit('],"more":[{"doc_id":-1}]}')).otherwise(F.lit(""))
+    # one long document has to be written by one task; the hash deals documents to more tasks than there are documents, so few get two
+    some = t.documents.select("doc_id", part.alias("part"), F.concat(opening, row, closing).alias("value")).repartition(4 * parts if parts > 1 else 1, "part")
+    some.sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").option("lineSep", ",").text(path)
     rows = read_json_array(t.spark, path, "doc_id long, lang string, source string, text string", "documents")
     return plain(rows.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"), F.length("text").alias("chars")))
