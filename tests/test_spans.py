@@ -342,3 +342,14 @@ def test_a_batch_of_many_buckets_reads_the_index_whole(spark, frame, tmp_path, m
         lake.export(*[span(f"{b}-{i}", f"t{i}-run" if b else None, attributes=tool("x") if b else AGENT, trace=f"t{i}") if b else
                       span(f"t{i}-run", attributes=AGENT, trace=f"t{i}") for i in range(12)])
     lake.check()
+
+
+def test_a_value_given_as_text_is_parsed_once_and_rewritten_once(spark):
+    """The plan names the parser of the value itself once, not once for each kind of value and each spelling."""
+    from tierstone.functions import spans as S
+
+    value = F.from_json(F.col("t"), S.VALUE_TYPE)
+    rows = spark.createDataFrame([('{"arrayValue":{"values":[' * 8 + '{"intValue":"7"}' + "]}}" * 8,)], "t string").select(S.attribute_text(value).alias("v"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 1 + 2 * (S.NESTING + 1), plan.count("from_json")
+    assert rows.first()["v"] == "[" * 8 + "7" + "]" * 8

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,29 +72,38 @@ _SIGNS = {
 }
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once, however often it is used; inside lambdas Spark shares nothing."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _deep(raw: Column, is_list: Column) -> Column:
     """A list or key list of any depth as plain JSON text.
 
     Strings are taken out and the rest is rewritten from the inside: a step replaces every list that holds no other any more, so there
-    are as many steps as levels. A text without a list inside takes one.
+    are as many steps as levels. A text without a list inside takes one, and so does one whose lists are arrays only.
     """
     wrapped = F.concat(F.when(is_list, '{"arrayValue":').otherwise('{"kvlistValue":'), F.to_json(F.try_parse_json(raw)), F.lit("}"))
     s = F.replace(F.replace(wrapped, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
     for kind, sign in _SIGNS.items():
-        s = F.regexp_replace(s, f'"{kind}(?:Value|_value)":', sign)
+        for spelling in ("Value", "_value"):
+            s = F.replace(s, F.lit(f'"{kind}{spelling}":'), F.lit(sign))
     for name, sign in (("values", _VALUES), ("key", _KEY), ("value", _VALUE)):
         s = F.replace(s, F.lit(f'"{name}":'), F.lit(sign))
     s = F.regexp_replace(s, f'{_NUMBER}"(-?[0-9][0-9.eE+-]*)"', f"{_NUMBER}$1")
     s = F.regexp_replace(s, f'{_BYTES}"[^"]*"', f"{_BYTES}null")
-    strings = F.regexp_extract_all(s, F.lit('"[^"]*"'), F.lit(0))
-    s = F.regexp_replace(s, '"[^"]*"', _STRING)
+    return F.when(raw.isNotNull(), _once(s, _rewritten))
+
+
+def _rewritten(marked: Column) -> Column:
+    """A wrapped list with signs for the names of the format as plain JSON text."""
+    s = F.regexp_replace(marked, '"[^"]*"', _STRING)
     # single values, then empty lists, then values that are not there
     s = F.regexp_replace(s, f"\\{{[{_TEXT}{_NUMBER}{_BOOL}{_BYTES}]([^{{}}]*)\\}}", "$1")
     s = F.regexp_replace(s, f"\\{{{_ARRAY}\\{{(?:{_VALUES}\\[\\])?\\}}\\}}", "[]")
     s = F.regexp_replace(s, f"\\{{{_KVLIST}\\{{(?:{_VALUES}\\[\\])?\\}}\\}}", _OPEN + _CLOSE)
     s = F.replace(s, F.lit("{}"), F.lit("null"))
     s = F.regexp_replace(s, f"\\{{{_KEY}{_STRING}\\}}", f"{_STRING}:null")
-    lists = F.length(s) - F.length(F.translate(s, _ARRAY + _KVLIST, ""))
 
     def inward(x: Column) -> Column:
         x = F.regexp_replace(x, f"\\{{{_KEY}{_STRING},{_VALUE}([^{{}}]*)\\}}", f"{_STRING}:$1")
@@ -103,14 +112,23 @@ def _deep(raw: Column, is_list: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         return F.when(state["done"], state).otherwise(
-            F.get(F.transform(F.array(inward(state["text"])), lambda x: F.struct(x.alias("text"), (x == state["text"]).alias("done"))), F.lit(0))
+            _once(inward(state["text"]), lambda x: F.struct(x.alias("text"), (x == state["text"]).alias("done")))
         )
 
-    start = F.struct(s.alias("text"), F.lit(False).alias("done"))
-    plain = F.aggregate(F.sequence(F.lit(1), F.greatest(lists, F.lit(1))), start, step)["text"]
-    pieces = F.split(F.translate(plain, _OPEN + _CLOSE, "{}"), _STRING)
+    def walked(text: Column) -> Column:
+        lists = F.length(text) - F.length(F.translate(text, _ARRAY + _KVLIST, ""))
+        start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(lists, F.lit(1))), start, step)["text"]
+
+    def unnested(text: Column) -> Column:
+        # where all braces are those of arrays, which end belongs to which does not matter
+        flat = F.replace(F.replace(text, F.lit(f"{{{_ARRAY}{{{_VALUES}["), F.lit("[")), F.lit("]}}"), F.lit("]"))
+        return _once(flat, lambda x: F.when(F.translate(x, "{}", "") == x, x).otherwise(walked(text)))
+
+    strings = F.regexp_extract_all(marked, F.lit('"[^"]*"'), F.lit(0))
+    pieces = F.split(F.translate(_once(s, unnested), _OPEN + _CLOSE, "{}"), _STRING)
     whole = F.array_join(F.flatten(F.zip_with(pieces, strings, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
-    return F.when(raw.isNotNull(), F.replace(F.replace(whole, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\")))
+    return F.replace(F.replace(whole, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
 
 
 def _listed(raw: Column, is_list: Column, depth: int) -> Column:
@@ -136,13 +154,17 @@ def _listed(raw: Column, is_list: Column, depth: int) -> Column:
     return F.when(raw.isNotNull(), F.concat(opening, joined, closing))
 
 
-def attribute_text(value: Column) -> Column:
-    """A typed OTLP value as text; lists and key lists become JSON text, bytes null."""
+def _text_of(value: Column) -> Column:
     scalar = [_part(value, k) for k in ("string", "int", "double", "bool")]
     raw = F.coalesce(_part(value, "array"), _part(value, "kvlist"))
     return F.coalesce(*scalar, _listed(raw, _part(value, "array").isNotNull(), NESTING))
 
 
+def attribute_text(value: Column) -> Column:
+    """A typed OTLP value as text; lists and key lists become JSON text, bytes null."""
+    return _once(value, _text_of)  # the value may be a text still to be parsed
+
+
 def one_attr(listed: Column, key: str) -> Column:
     """The last plain text value of one key, without building the map."""
     hits = F.filter(listed, lambda a: a["key"] == key)
@@ -153,7 +175,7 @@ def attrs(listed: Column) -> Column:
     """LIST_TYPE to map<string,string>, later duplicates win."""
     keyed = F.filter(listed, lambda a: a["key"].isNotNull())
     entries = F.transform(
-        keyed, lambda a: F.struct(a["key"].alias("key"), attribute_text(a["value"]).alias("value"))
+        keyed, lambda a: F.struct(a["key"].alias("key"), _text_of(a["value"]).alias("value"))
     )
     return F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string,string>"))
 
