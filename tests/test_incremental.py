@@ -44,3 +44,18 @@ def test_a_retry_after_a_lost_parent_load_replaces_the_children(spark, frame, tm
     load_bronze(items, f"{bronze}/items", "items:None", "r1")  # the parent load after it failed
     I.load_since(spark, bronze, ("orders", orders, "ordered_at"), {"items": items}, "order_id", "r2")
     assert read_bronze(spark, f"{bronze}/items").count() == 1
+
+
+def test_rows_looked_up_move_once(spark, frame):
+    """A lookup moves the rows as its key and not beside it, and one join looks into all tables."""
+    from tierstone.operators.incremental import _missing
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = frame("a string, b string", ("1", None), ("2", "x"), ("3", "y"), ("3", "y"), (None, "z"))
+        left = _missing(rows, frame("b string, a string", (None, "1")), None, frame("a string, b string", ("2", "x"), (None, "z")))
+        assert left.columns == ["a", "b"] and sorted(map(tuple, left.collect())) == [("3", "y"), ("3", "y")]
+        assert left._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

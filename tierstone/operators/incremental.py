@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -49,13 +50,14 @@ def _landed(spark: SparkSession, table_dir: str, columns: Sequence[str], but: st
     return (rows if but is None else rows.filter(F.col(SOURCE) != but)).select(*columns)
 
 
-def _missing(df: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Rows of df that known does not have, nulls compared as values."""
-    if known is None:
+def _missing(df: DataFrame, *tables: DataFrame | None) -> DataFrame:
+    """Rows of df that none of the tables has, nulls compared as values. A row moves once, as the key it is joined by."""
+    known = [t for t in tables if t is not None]
+    if not known:
         return df
-    row = lambda rows: F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    there = known.select(row(known).alias("_known"))
-    return df.withColumn("_row", row(df)).join(there, F.col("_row") == F.col("_known"), "left_anti").drop("_row")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    there = reduce(DataFrame.unionAll, [t.select(row.alias("_known")) for t in known])
+    return df.select(row.alias("_row")).join(there, F.col("_row") == F.col("_known"), "left_anti").select("_row.*")
 
 
 def load_since(
@@ -81,14 +83,15 @@ def load_since(
     mark = high_water(spark, f"{bronze}/{table}", column)
     fresh = newer_than(rows, column, mark)
     label = f"{table}:{mark}"
-    behind = {table: as_text(late(rows, column, mark, _landed(spark, f"{bronze}/{table}", [key]), [key]) if mark else rows.limit(0))}
+    behind = {table: (as_text(late(rows, column, mark, _landed(spark, f"{bronze}/{table}", [key]), [key]) if mark else rows.limit(0)), None)}
     for name, df in children.items():
         known = _landed(spark, f"{bronze}/{name}", df.columns)
-        behind[name] = _missing(as_text(df.join(fresh.select(key), key, "left_anti")), known)
+        behind[name] = as_text(df.join(fresh.select(key), key, "left_anti")), known
     side = {}
-    for name, df in behind.items():
+    for name, (df, known) in behind.items():
+        # what has landed and what came late before are looked up in one join
         earlier = _landed(spark, f"{bronze}/{name}__late", df.columns, but=label)
-        side[f"{name}__late"] = load_bronze(_missing(df, earlier), f"{bronze}/{name}__late", label, run_id, now)
+        side[f"{name}__late"] = load_bronze(_missing(df, known, earlier), f"{bronze}/{name}__late", label, run_id, now)
     loaded = {
         name: load_bronze(children_of(df, fresh, key), f"{bronze}/{name}", f"{name}:{mark}", run_id, now)
         for name, df in children.items()
