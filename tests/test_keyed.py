@@ -133,3 +133,29 @@ def test_a_small_batch_moves_no_target_beyond_the_broadcast_limit(spark, tmp_pat
         assert "BroadcastExchange" in metrics
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_large_batch_and_its_target_move_once(spark, store, batch, monkeypatch):
+    """A batch beyond the broadcast threshold: one join and one grouping, and the rows of a small batch."""
+    first = batch(*[(f"d{i}", "1", "x", "m", 1) for i in range(40)])
+    second = batch(*[(f"d{i}", "1", f"s{n}", f"m{n}", n) for i in range(20, 60) for n in (1, 2)], ("d99", "1", None, None, None))
+    store.apply(first, "seq", at(1))
+    small = KeyedStore.create(spark, f"{store.path}-small", "answer_scores", SCHEMA, buckets=8)
+    small.apply(first, "seq", at(1))
+    small.apply(second, "seq", at(2))
+    plans, real = [], keyed.upsert
+
+    def kept(*args):
+        plans.append(real(*args))
+        return plans[-1]
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(keyed, "upsert", kept)
+        store.apply(second, "seq", at(2))
+        plan = plans[0]._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 2
+    assert shown(store.read()) == shown(small.read()) and store.read().count() == 61

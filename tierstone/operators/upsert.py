@@ -16,6 +16,7 @@ def upsert(
     order_col: str | None = None,
     touch_col: str | None = None,
     now: Column | None = None,
+    large: bool = False,
 ) -> DataFrame:
     """The target after the source has been applied.
 
@@ -23,7 +24,8 @@ def upsert(
     and keeps the rest; a new key is inserted whole; touch_col is set on both. Two
     source rows of one key apply in order_col order, and then the columns outside
     update_cols come from the first of them when the key is new; without order_col a
-    repeated key fails the job. A batch that can be broadcast leaves the target where it is.
+    repeated key fails the job. A batch that can be broadcast leaves the target where it is;
+    with large, for one that can't, target and batch move once each, into one full join.
     """
     columns = [c for c in target.columns if c not in keys and c != touch_col]
     updated = set(columns if update_cols is None else update_cols)
@@ -33,8 +35,9 @@ def upsert(
     if order_col is not None:
         # one aggregate: its size can be told from the batch's, so a small batch is seen to be small
         place = F.struct(F.col(order_col).isNotNull(), F.col(order_col))
-        rest = F.struct(*[c for c in source.columns if c not in keys])
-        once = source.groupBy(*keys).agg(F.max_by(rest, place).alias("_last"), F.min_by(rest, place).alias("_first"))
+        taken = {"_last": [c for c in columns if c in updated], "_first": [c for c in columns if c not in updated]}
+        picked = [by(F.struct(*taken[n]), place).alias(n) for n, by in (("_last", F.max_by), ("_first", F.min_by)) if taken[n]]
+        once = source.groupBy(*keys).agg(*picked) if picked else source.select(*keys).distinct()
         source = once.select(*keys, *[F.col(f"{'_last' if c in updated else '_first'}.{c}").alias(c) for c in columns])
     else:
         whole = F.struct(*[c for c in source.columns if c not in keys])
@@ -52,6 +55,18 @@ def upsert(
         same = term if same is None else same & term
     from_source = F.col("_in_source").isNotNull()
 
+    if large:
+        types = {f.name: f.dataType for f in target.schema}
+
+        def merged(c: str) -> Column:
+            if c in keys:
+                return F.coalesce(F.col(c), F.col(f"_k{list(keys).index(c)}").cast(types[c])).alias(c)
+            new = stamp if c == touch_col else F.col(f"_new.{c}")
+            takes = from_source if c == touch_col or c in updated else F.col("_in_target").isNull()
+            return F.when(takes, new.cast(types[c])).otherwise(F.col(c)).alias(c)
+
+        return target.withColumn("_in_target", F.lit(True)).join(source, same, "full").select(*[merged(c) for c in target.columns])
+
     def kept(c: str) -> Column:
         new = stamp if c == touch_col else F.col(f"_new.{c}") if c in updated else None
         return F.col(c) if new is None else F.when(from_source, new).otherwise(F.col(c)).alias(c)

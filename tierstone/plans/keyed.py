@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tierstone.operators.upsert import upsert
 from tierstone.plans.stores import STORES, Store
-from tierstone.session import claim, drop_dir, list_dirs, scratch, settle
+from tierstone.session import broadcast_bytes, claim, dir_bytes, drop_dir, fresh_path, list_dirs, scratch
 
 BUCKETS = 256  # some 100 MB of rows each is a good size; a table keeps the number it was made with
 
@@ -109,12 +109,16 @@ class KeyedStore:
             raise Conflict(f"version {last} of {self.path} is being made, or its writer was stopped and forget() has to clear it")
         before, version, write = self._map(known.get(last)), last + 1, uuid.uuid4().hex
         with scratch(self.spark):
-            fresh = settle(batch, "batch")
+            path = fresh_path(self.spark, "batch")
+            batch.write.parquet(path)
+            fresh = self.spark.read.schema(batch.schema).parquet(path)
+            large = dir_bytes(self.spark, path) > broadcast_bytes(self.spark)
             touched = [r[0] for r in fresh.select(self._bucket()).distinct().collect()]  # at most as many as there are buckets
             target = self._rows({b: before[b] for b in touched if b in before})
-            after = upsert(target, fresh, self.rule.keys, self.rule.updates, order_col, self.rule.touch, now)
+            after = upsert(target, fresh, self.rule.keys, self.rule.updates, order_col, self.rule.touch, now, large)
             placed = after.withColumns({"bucket": self._bucket(), "write": F.lit(write)})
-            placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *self.rule.keys).write.mode("append").partitionBy("bucket", "write").parquet(
+            # the sort names both folder columns, or the write would sort again and lose the order of the keys
+            placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "write", *self.rule.keys).write.mode("append").partitionBy("bucket", "write").parquet(
                 f"{self.path}/rows"
             )
         new = before | dict.fromkeys(touched, write)
