@@ -101,9 +101,12 @@ _TICKET_DOCUMENT = """next_cursor string, tickets array<struct<ticket_id string,
   comments array<struct<comment_id string, body string, is_public string>>>>"""
 
 
+DOCUMENTS_A_FILE = 16  # some megabytes
+
+
 def _export(t: Tables, updated: bool) -> str:
-    """Orders as ticket documents, up to a thousand order keys in each; their lines are comments. In
-    the updated export urgent orders are solved and have one comment more."""
+    """Orders as ticket documents, up to a thousand order keys in each; their lines are comments. A file is
+    an array of documents, so that a large export is no folder of small files. In the updated export urgent orders are solved and have one comment more."""
     urgent = F.lit(updated) & (F.col("o_orderpriority") == "1-URGENT")
     lines = t.lineitem.groupBy("l_orderkey").agg(
         F.collect_list(F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("comment_id"), F.col("l_linestatus").alias("body"), F.lit("true").alias("is_public"))).alias("lines")
@@ -124,8 +127,10 @@ def _export(t: Tables, updated: bool) -> str:
     documents = tickets.groupBy("document").agg(
         F.max("ticket.updated_at").alias("next_cursor"), F.collect_list("ticket").alias("tickets")
     )
+    said = documents.select(F.floor(F.col("document") / DOCUMENTS_A_FILE).alias("file"), F.to_json(F.struct("next_cursor", "tickets")).alias("text"))
+    files = said.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value"))
     path = fresh_path(t.spark, "tickets")
-    documents.write.partitionBy("document").json(path)
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
