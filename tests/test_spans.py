@@ -353,3 +353,9 @@ def test_a_value_given_as_text_is_parsed_once_and_rewritten_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") <= 1 + 2 * (S.NESTING + 1), plan.count("from_json")
     assert rows.first()["v"] == "[" * 8 + "7" + "]" * 8
+
+
+def test_repeated_spans_are_taken_out_once(frame):
+    """What is left of repeated spans is written once, not worked out again for each operator that reads it."""
+    plan = A.agent_runs(flatten_spans(frame("value string", line(span("1")))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

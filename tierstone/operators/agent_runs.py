@@ -123,7 +123,8 @@ def agent_runs(spans: DataFrame) -> DataFrame:
     """One row per agent run: model, tokens, cost, prompt, output, tools and the task
     it ran under. The individual calls are rows of tool_calls / tool_call_lists; a run
     carries their number and the distinct names."""
-    tagged = tag(one_per_span(spans))  # an export may repeat spans
+    # an export may repeat spans; written, as four operators read what is left of them
+    tagged = settle(tag(one_per_span(spans)), "tagged-spans")
     reached = reach(tagged)
     owned = owned_spans(tagged, owning_run(tagged, reached))
     calls = tool_calls(owned)
