@@ -29,6 +29,26 @@ def test_words_give_the_library_s_ids():
         assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_texts_together_give_the_ids_of_each():
+    library, words = Tokenizer.from_file(tokenizer_path()), huffman.WordIds(tokenizer_path())
+    texts = ["Word, word. WORD!? word", None, "", "İ Word, ÀÉÎ... É,", " ", "a,b. <|endoftext|> Word,", "x\n\ny\t,", "...", "你好, word"]
+    for text, ids in zip(texts, words.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert words.encode_all([]) == [] and words.encode_all([None, ""]) == [b"", b""]
+
+
+def test_words_that_come_again_are_tokenised_once(monkeypatch):
+    monkeypatch.setattr(huffman, "CACHED_WORDS", 30)
+    words, asked = huffman.WordIds(tokenizer_path()), []
+    part = words.part
+    monkeypatch.setattr(words, "part", lambda text: asked.append(text) or part(text))
+    for i in range(40):
+        rare = ["".join(chr(97 + int(d)) for d in str(1000 + 10 * i + k)) for k in range(10)]
+        words.encode("hot, hot. hot! " + " ".join(rare))
+    assert asked.count("hot") == 1 and len(asked) == len(set(asked))
+    assert len(words) + len(words.older) <= 60
+
+
 def test_lengths_are_those_of_huffman_where_the_limit_allows():
     counts = np.array([5, 9, 12, 13, 16, 45, 1, 1, 2])
     heap = [(int(c), i, [i]) for i, c in enumerate(counts)]

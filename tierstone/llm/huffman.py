@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ CHECKPOINT = 256  # ids between two checkpoints
 MAX_BITS = 16  # length limit of a code, and so the size of the decoding table
 DECODED = 16  # blocks that go to Python at once, and are decoded in step
 DOCUMENTS_AT_ONCE = 512  # documents that go to Python at once
-CACHED_WORDS = 300_000  # words a Python worker remembers; beyond that it starts anew
+CACHED_WORDS = 200_000  # words of a generation; a Python worker remembers two
+TEXT_AT_ONCE = 4_000_000  # characters whose words are looked up together,
+DOCUMENTS_TOGETHER = 65536  # and documents, at most
 
 STAGED = "shard int, block int, within long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, ids binary"
 BLOCKS = "shard int, block int, first long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, points array<int>, payload binary"
@@ -63,56 +67,81 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+LATIN = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº")
+MARKS = ".,;:!?#$%&*"
+
+
 class WordIds(dict):
     """Ids of a word without blanks, as little-endian unsigned 32-bit integers.
 
     Only for tokenizers whose words never reach over a blank. A word of Latin letters and a tail of
     marks is two words to such a tokenizer, so both parts go to its model directly;
-    every other word takes the whole way through the library.
+    every other word takes the whole way through the library. Words are remembered in two generations:
+    a full one becomes the older one, from which words that come again are taken over.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#$%&*]*)")
+    SIMPLE = re.compile(f"([{LATIN}]*)([{MARKS}]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            mapped = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
-            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(self.parts) >= CACHED_WORDS:
-                self.parts.clear()
-            self.parts[text] = found
-        return found
+        mapped = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def made(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.part(word.lower())
+        if (simple := self.SIMPLE.fullmatch(word)) is None:
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        letters, marks = simple.groups()
+        return (self.part(letters.lower()) if letters else b"") + (self.part(marks) if marks else b"")
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
-            ids = b""
-        elif word.isascii() and word.isalpha():
-            ids = self.part(word if word.islower() else word.lower())
-        elif (simple := self.SIMPLE.fullmatch(word)) is None:
-            ids = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
-        else:
-            letters, marks = simple.groups()
-            ids = (self.part(letters.lower()) if letters else b"") + (self.part(marks) if marks else b"")
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.made(word)
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def looked_up(self, words: pa.Array) -> pa.Array:
+        """The ids of each word; words that repeat are looked up once."""
+        coded = words.dictionary_encode()
+        found = [self[w] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        return pa.array(found, pa.large_binary()).take(coded.indices)
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" not in text and _is_latin(text):
-            text = text.lower()  # as the library would; of a special token it would make another text
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([self[w] for w in words])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; a word is looked up once for all of them."""
+        plain = []
+        for text in texts:
+            if not text:
+                text = ""
+            elif "<|" not in text and _is_latin(text):
+                text = text.lower()  # as the library would; of a special token it would make another text
+            plain.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
+        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        letters = pc.utf8_rtrim(words, MARKS)
+        simple = pc.match_substring_regex(letters, f"^[{LATIN}]*$")
+        heads = self.looked_up(pc.if_else(simple, letters, words))
+        tails = self.looked_up(pc.if_else(simple, pc.utf8_ltrim(words, LATIN), ""))
+        ids = pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        held = memoryview(data or b"")
+        return [held[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -163,6 +192,21 @@ class _Cutter:
             yield self.close()
 
 
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+    """Doc ids and texts of all rows in their order, about TEXT_AT_ONCE characters together; a longer text is a group of its own or ends one."""
+    doc_ids, texts, held = [], [], 0
+    for frame in frames:
+        for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
+            doc_ids.append(doc_id)
+            texts.append(text)
+            held += len(text) if text else 0
+            if held >= TEXT_AT_ONCE or len(texts) >= DOCUMENTS_TOGETHER:
+                yield doc_ids, texts
+                doc_ids, texts, held = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 def stage(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK) -> DataFrame:
     """Documents in ascending doc_id order (null first), tokenised and cut into blocks of ids."""
     end = np.array([end_id], "<u4").tobytes()
@@ -170,13 +214,13 @@ def stage(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK) -> D
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode = word_ids(tokenizer).encode
+        encode_all = word_ids(tokenizer).encode_all
         cutter = _Cutter(TaskContext.get().partitionId(), block)
         number = 0
-        for frame in frames:
+        for doc_ids, texts in _gathered(frames):
             rows: list[dict] = []
-            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
-                rows += cutter.add(number, None if pd.isna(doc_id) else int(doc_id), encode(text) + end)
+            for doc_id, ids in zip(doc_ids, encode_all(texts), strict=True):
+                rows += cutter.add(number, None if pd.isna(doc_id) else int(doc_id), ids + end)
                 number += 1
                 if sum(r["n"] for r in rows) >= 8 * block:
                     yield pd.DataFrame(rows)
