@@ -57,3 +57,17 @@ def test_profile_of_nothing(frame):
     row = P.profile_columns(frame("a int", 1).limit(0), "t").first()
     assert (row["row_count"], row["null_fraction"], row["n_distinct"]) == (0, None, 0)
     assert as_set(P.table_sizes({"t": frame("a int, b int", (1, 2)), "none": frame("a int")})) == {("t", 2, 1), ("none", 1, 0)}
+
+
+def test_declared_report_compiles_its_entries(frame, capsys):
+    df, parent = frame("id int, s string", (1, "a"), (1, "b"), (2, "x"), (None, None)), frame("pid int", 1, 3)
+    checks = [
+        Check("t", "id", "unique"),
+        Check("t", "id", "not_null"),
+        Check("t", "s", "accepted_values", values=("a", "b")),
+        Check("t", "id", "relationships", parent=("p", "pid")),
+    ]
+    report = Q.declared_report({"t": df, "p": parent}, checks)
+    assert [r["failures"] for r in sorted(report.collect(), key=lambda r: r["check_name"])] == [1, 1, 1, 1]
+    report.explain()
+    assert "lambda" not in capsys.readouterr().out
