@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +60,8 @@ def landed_marts(t: Tables) -> DataFrame:
     """Eighteen tables landed as text, the conformed layer over them, and the three marts
     over written dimensions and facts."""
     bronze = fresh_path(t.spark, "bronze")
-    for name, rows in LANDED.items():
-        load_bronze(rows(t), f"{bronze}/{name}", f"{name}.csv", "run-1")
+    with ThreadPoolExecutor(4) as pool:  # the last tasks of one table beside the first of the next
+        list(pool.map(lambda name: load_bronze(LANDED[name](t), f"{bronze}/{name}", f"{name}.csv", "run-1"), LANDED))
     silver = read_silver(t.spark, bronze, LANDED)
     gold = gold_layer(silver, I.window(t), lambda name, df: df if name in _MARTS else settle(df, name))
     parts = [
