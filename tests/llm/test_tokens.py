@@ -1,7 +1,11 @@
 import zlib
+from collections import Counter
 from heapq import heapify, heappop, heappush
+from random import Random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +53,64 @@ def test_words_that_come_again_are_tokenised_once(monkeypatch):
     assert len(words) + len(words.older) <= 60
 
 
+def test_capitals_of_a_word_are_tokenised_once_in_any_text(monkeypatch):
+    library, words, asked = Tokenizer.from_file(tokenizer_path()), huffman.WordIds(tokenizer_path()), []
+    part = words.part
+    monkeypatch.setattr(words, "part", lambda text: asked.append(text) or part(text))
+    text = "你好 Hot hot, HOT! ÉTÉ Été."
+    assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["!", ",", ".", "hot", "été"]
+
+
+def test_letters_become_small_as_in_python():
+    assert pc.utf8_lower(pa.array(list(huffman.LATIN))).to_pylist() == [c.lower() for c in huffman.LATIN]
+
+
+def test_words_outlive_full_generations(monkeypatch):
+    monkeypatch.setattr(huffman, "CACHED_WORDS", 7)
+    monkeypatch.setattr(huffman, "CACHED_BYTES", 500)
+    library, words, random = Tokenizer.from_file(tokenizer_path()), huffman.WordIds(tokenizer_path()), Random(5)
+    for _ in range(60):
+        texts = [" ".join(random.choice(["one", "Two,", "été", "x" * 90, "你好", "a.b", "", "!!", f"w{random.random()}"]) for _ in range(9)) for _ in range(4)]
+        for text, ids in zip(texts, words.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert len(words) <= 7 and len(words.older) <= 7
+        held = [*words.newer.words.to_pylist(), *words.older.words.to_pylist()]
+        assert "x" * 90 not in held
+        for word, ids in zip(held, [*words.newer.ids.to_pylist(), *words.older.ids.to_pylist()], strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_remembered_words_take_little_room():
+    words = huffman.WordIds(tokenizer_path())
+    words.encode(" ".join("".join(chr(97 + int(d)) for d in str(n)) for n in range(10_000, 30_000)))
+    assert len(words) == 20_001  # and the empty tail
+    assert words.newer.words.nbytes + words.newer.ids.nbytes < 50 * 20_000
+
+
+def test_ids_are_counted_where_they_are_made(spark, documents):
+    rows = [(i, f"text {i} of more words, café! " * (i % 7) or None) for i in range(200)]
+    staged = huffman.stage(documents(*rows), tokenizer_path(), 2, block=64).collect()
+    library, expected_counts, counted = Tokenizer.from_file(tokenizer_path()), Counter(), Counter()
+    for _, text in rows:
+        expected_counts.update([*library.encode(text or "", add_special_tokens=False).ids, 2])
+    for row in staged:
+        counted.update(dict(zip(row["seen"] or [], row["times"] or [], strict=True)))
+    assert counted == expected_counts
+    last = {r["shard"]: r["block"] for r in sorted(staged, key=lambda r: (r["shard"], r["block"]))}
+    assert all((r["seen"] is not None) == (r["block"] == last[r["shard"]]) for r in staged)
+
+
+def test_groups_keep_every_row_in_order(monkeypatch):
+    monkeypatch.setattr(huffman, "TEXT_AT_ONCE", 10)
+    texts = ["abc", None, "d" * 25, "", "éé", "fgh", "i" * 9, "j", "k"]
+    batches = [pa.record_batch({"doc_id": pa.array(range(a, z)), "text": pa.array(texts[a:z], pa.string())}) for a, z in [(0, 2), (2, 2), (2, 8), (8, 9)]]
+    groups = list(huffman._gathered(iter(batches)))
+    assert [i for ids, _ in groups for i in ids] == list(range(9))
+    assert [t for _, held in groups for t in held.to_pylist()] == texts
+    assert all(sum(len((t or "").encode()) for t in held.to_pylist()[:-1]) < 10 for _, held in groups)
+
+
 def test_lengths_are_those_of_huffman_where_the_limit_allows():
     counts = np.array([5, 9, 12, 13, 16, 45, 1, 1, 2])
     heap = [(int(c), i, [i]) for i, c in enumerate(counts)]

@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,21 @@ CHECKPOINT = 256  # ids between two checkpoints
 MAX_BITS = 16  # length limit of a code, and so the size of the decoding table
 DECODED = 16  # blocks that go to Python at once, and are decoded in step
 DOCUMENTS_AT_ONCE = 512  # documents that go to Python at once
-CACHED_WORDS = 200_000  # words of a generation; a Python worker remembers two
+CACHED_WORDS = 400_000  # words of a generation, of LONGEST bytes at most; a Python worker remembers two
+CACHED_BYTES = 32_000_000  # and bytes of words and ids, about
+LONGEST = 64
 TEXT_AT_ONCE = 4_000_000  # characters whose words are looked up together,
 DOCUMENTS_TOGETHER = 65536  # and documents, at most
 
-STAGED = "shard int, block int, within long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, ids binary"
+STAGED = (
+    "shard int, block int, within long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, ids binary, "
+    "seen array<int>, times array<bigint>"  # of the whole shard, in the row of its last block
+)
 BLOCKS = "shard int, block int, first long, n int, doc_ids array<bigint>, doc_nos array<int>, counts array<int>, ends array<boolean>, points array<int>, payload binary"
+STAGED_ARROW = pa.schema({
+    "shard": pa.int32(), "block": pa.int32(), "within": pa.int64(), "n": pa.int32(), "doc_ids": pa.list_(pa.int64()), "doc_nos": pa.list_(pa.int32()),
+    "counts": pa.list_(pa.int32()), "ends": pa.list_(pa.bool_()), "ids": pa.binary(), "seen": pa.list_(pa.int32()), "times": pa.list_(pa.int64()),
+})
 PIECES = "shard int, doc_no int, doc_id bigint, piece int, start long, n int, crc long, last boolean"
 
 
@@ -53,26 +63,29 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-BYTE_LETTERS = _byte_letters()
-
-
-def _is_latin(text: str) -> bool:
-    """Whether all characters are below U+0100, which lower() maps one by one."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+BYTE_LETTERS = "".join(_byte_letters()[b] for b in range(256))
 
 
 LATIN = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº")
 MARKS = ".,;:!?#$%&*"
 
 
-class WordIds(dict):
-    """Ids of a word without blanks, as little-endian unsigned 32-bit integers.
+NO_WORDS, NO_IDS = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
+
+
+class Generation(NamedTuple):
+    """Words and the ids of each, as Arrow arrays, which take a fraction of the room of Python's strings."""
+
+    words: pa.Array = NO_WORDS
+    ids: pa.Array = NO_IDS
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+
+class WordIds:
+    """Ids of words without blanks, as little-endian unsigned 32-bit integers.
 
     Only for tokenizers whose words never reach over a blank. A word of Latin letters and a tail of
     marks is two words to such a tokenizer, so both parts go to its model directly;
@@ -87,57 +100,77 @@ class WordIds(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.older: dict[str, bytes] = {}
+        self.newer, self.older = Generation(), Generation()
 
-    def part(self, text: str) -> bytes:
-        mapped = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+    def __len__(self) -> int:
+        return len(self.newer)
 
-    def made(self, word: str) -> bytes:
+    def part(self, text: str) -> list[int]:
+        mapped = text if text.isascii() else charmap_decode(text.encode(), "strict", BYTE_LETTERS)[0]
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def made(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
             return self.part(word.lower())
         if (simple := self.SIMPLE.fullmatch(word)) is None:
-            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+            return self.whole.encode(word, add_special_tokens=False).ids
         letters, marks = simple.groups()
-        return (self.part(letters.lower()) if letters else b"") + (self.part(marks) if marks else b"")
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.made(word)
-        if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        return (self.part(letters.lower()) if letters else []) + (self.part(marks) if marks else [])
+
+    def all_made(self, words: pa.Array) -> pa.Array:
+        ids, ends = [], [0]
+        for word in words.to_pylist():
+            ids += self.made(word)
+            ends.append(len(ids))
+        buffers = [None, pa.py_buffer(4 * np.array(ends, np.int64)), pa.py_buffer(np.array(ids, "<u4"))]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), buffers)
 
     def looked_up(self, words: pa.Array) -> pa.Array:
         """The ids of each word; words that repeat are looked up once."""
         coded = words.dictionary_encode()
-        found = [self[w] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        return pa.array(found, pa.large_binary()).take(coded.indices)
+        distinct = coded.dictionary
+        place = pc.index_in(distinct, value_set=self.newer.words).fill_null(-1).to_numpy().copy()
+        lost = np.flatnonzero(place < 0)
+        before = pc.index_in(distinct.take(lost), value_set=self.older.words)
+        again = lost[before.is_valid().to_numpy(zero_copy_only=False)]
+        first = lost[before.is_null().to_numpy(zero_copy_only=False)]
+        came = np.concatenate([again, first])
+        added = distinct.take(came)
+        found = pa.concat_arrays([self.older.ids.take(before.drop_null()), self.all_made(distinct.take(first))])
+        place[came] = len(self.newer) + np.arange(len(came))
+        ids = pa.concat_arrays([self.newer.ids, found])
+        self.remember(added, found)
+        return ids.take(pa.array(place).take(coded.indices))
+
+    def remember(self, words: pa.Array, ids: pa.Array) -> None:
+        short = pc.less_equal(pc.binary_length(words), LONGEST)
+        words, ids = words.filter(short)[:CACHED_WORDS], ids.filter(short)[:CACHED_WORDS]
+        if len(self.newer) + len(words) > CACHED_WORDS or self.newer.words.nbytes + self.newer.ids.nbytes > CACHED_BYTES:
+            self.newer, self.older = Generation(), self.newer
+        self.newer = Generation(pa.concat_arrays([self.newer.words, words]), pa.concat_arrays([self.newer.ids, ids]))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a word is looked up once for all of them."""
-        plain = []
-        for text in texts:
-            if not text:
-                text = ""
-            elif "<|" not in text and _is_latin(text):
-                text = text.lower()  # as the library would; of a special token it would make another text
-            plain.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
-        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        return self.encode_array(pa.array(texts, pa.large_string()))
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """The same for an array of large strings."""
+        joined = pa.concat_arrays([pc.fill_null(texts, "")])  # a slice gets buffers of its own
+        _, offsets, data = joined.buffers()
+        plain = pa.py_buffer((data.to_pybytes() if data else b"").translate(BLANKS))
+        split = pc.split_pattern(pa.Array.from_buffers(pa.large_string(), len(joined), [None, offsets, plain], offset=joined.offset), " ")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
         letters = pc.utf8_rtrim(words, MARKS)
         simple = pc.match_substring_regex(letters, f"^[{LATIN}]*$")
-        heads = self.looked_up(pc.if_else(simple, letters, words))
-        tails = self.looked_up(pc.if_else(simple, pc.utf8_ltrim(words, LATIN), ""))
-        ids = pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        heads = pc.if_else(simple, pc.utf8_lower(letters), words)
+        tails = pc.if_else(simple, pc.utf8_ltrim(words, LATIN), "")
+        parts = self.looked_up(pa.concat_arrays([heads, tails]))
+        both = pc.binary_join_element_wise(parts[: len(words)], parts[len(words) :], pa.scalar(b"", pa.large_binary()))
+        ids = both.take(coded.indices)
         _, offsets, data = ids.buffers()
         ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
         held = memoryview(data or b"")
@@ -192,49 +225,76 @@ class _Cutter:
             yield self.close()
 
 
-def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
-    """Doc ids and texts of all rows in their order, about TEXT_AT_ONCE characters together; a longer text is a group of its own or ends one."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Doc ids and texts of all rows in their order, about TEXT_AT_ONCE bytes together; a longer text is a group of its own or ends one."""
     doc_ids, texts, held = [], [], 0
-    for frame in frames:
-        for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
-            doc_ids.append(doc_id)
-            texts.append(text)
-            held += len(text) if text else 0
-            if held >= TEXT_AT_ONCE or len(texts) >= DOCUMENTS_TOGETHER:
-                yield doc_ids, texts
-                doc_ids, texts, held = [], [], 0
-    if texts:
-        yield doc_ids, texts
+    for batch in batches:
+        ids, column = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_string())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        start = 0
+        for i, size in enumerate(sizes.tolist()):
+            doc_ids.append(ids[i])
+            held += size
+            if held >= TEXT_AT_ONCE or len(doc_ids) >= DOCUMENTS_TOGETHER:
+                texts.append(column[start : i + 1])
+                yield doc_ids, pa.concat_arrays(texts)
+                doc_ids, texts, held, start = [], [], 0, i + 1
+        if start < len(column):
+            texts.append(column[start:])
+    if doc_ids:
+        yield doc_ids, pa.concat_arrays(texts)
+
+
+class _Counts:
+    """How often each id occurs."""
+
+    def __init__(self):
+        self.total = np.zeros(0, np.int64)
+
+    def add(self, ids: bytes) -> None:
+        part = np.bincount(np.frombuffer(ids, "<u4"))
+        if len(part) > len(self.total):
+            self.total = np.pad(self.total, (0, len(part) - len(self.total)))
+        self.total[: len(part)] += part
+
+    def row(self) -> dict:
+        seen = np.flatnonzero(self.total)
+        return {"seen": seen, "times": self.total[seen]}
 
 
 def stage(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK) -> DataFrame:
-    """Documents in ascending doc_id order (null first), tokenised and cut into blocks of ids."""
+    """Documents in ascending doc_id order (null first), tokenised and cut into blocks of ids, which are counted on the way."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode_all = word_ids(tokenizer).encode_all
-        cutter = _Cutter(TaskContext.get().partitionId(), block)
+        encode = word_ids(tokenizer).encode_array
+        cutter, counts = _Cutter(TaskContext.get().partitionId(), block), _Counts()
+
         number = 0
-        for doc_ids, texts in _gathered(frames):
+        for doc_ids, texts in _gathered(batches):
             rows: list[dict] = []
-            for doc_id, ids in zip(doc_ids, encode_all(texts), strict=True):
-                rows += cutter.add(number, None if pd.isna(doc_id) else int(doc_id), ids + end)
+            for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
+                for row in cutter.add(number, doc_id, ids + end):
+                    counts.add(row["ids"])
+                    rows.append(row)
+                    if len(rows) >= 8:
+                        yield pa.RecordBatch.from_pylist(rows, STAGED_ARROW)
+                        rows = []
                 number += 1
-                if sum(r["n"] for r in rows) >= 8 * block:
-                    yield pd.DataFrame(rows)
-                    rows = []
             if rows:
-                yield pd.DataFrame(rows)
-        if cutter.held:
-            yield pd.DataFrame([cutter.close()])
+                yield pa.RecordBatch.from_pylist(rows, STAGED_ARROW)
+        if cutter.held:  # always, after a document: a block is closed by what comes after it
+            row = cutter.close()
+            counts.add(row["ids"])
+            yield pa.RecordBatch.from_pylist([row | counts.row()], STAGED_ARROW)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the hash of the text spreads and orders rows that repeat one doc_id
     keyed = kept.withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return ordered.mapInPandas(cut, STAGED)
+    return ordered.mapInArrow(cut, STAGED)
 
 
 # ---------------------------------------------------------------- code
@@ -342,18 +402,6 @@ def _decoded(code: Code, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple
             yield from zip(part.itertuples(index=False), found, strict=True)
 
 
-def _count_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
-    for frame in frames:
-        for ids in frame["ids"]:
-            part = np.bincount(np.frombuffer(ids, "<u4"))
-            if len(part) > len(total):
-                total = np.pad(total, (0, len(part) - len(total)))
-            total[: len(part)] += part
-    found = np.flatnonzero(total)
-    yield pd.DataFrame({"id": found.astype(np.int32), "count": total[found]})
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: int = BLOCK, max_bits: int = MAX_BITS) -> None:
     """Encode the text of every row (null: empty) and write the store to `path`.
 
@@ -366,8 +414,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block:
         raise ValueError("codes are placed in 16-bit words, so max_bits goes up to 16")
     with arrow_rows(spark, DOCUMENTS_AT_ONCE):
         staged = settle(stage(docs, tokenizer, end_id, block), "staged-ids")
-    with arrow_rows(spark, DECODED):
-        counts = staged.select("ids").mapInPandas(_count_ids, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).orderBy("id").toPandas()
+    each = staged.select(F.explode(F.arrays_zip("seen", "times")).alias("of")).select(F.col("of.seen").alias("id"), F.col("of.times").alias("count"))
+    counts = each.groupBy("id").agg(F.sum("count").alias("count")).orderBy("id").toPandas()
     counts["bits"] = limited_lengths(counts["count"].to_numpy(), max_bits).astype("int32")
     schema = "id int, bits int, count long"
     spark.createDataFrame(counts[["id", "bits", "count"]], schema).coalesce(1).write.parquet(f"{path}/codes")
@@ -387,7 +435,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block:
             yield frame[["shard", "block", "first", "n", "doc_ids", "doc_nos", "counts", "ends", "points", "payload"]]
 
     with arrow_rows(spark, DECODED):
-        staged.mapInPandas(pack, BLOCKS).write.option("compression", "snappy").parquet(f"{path}/blocks")
+        staged.drop("seen", "times").mapInPandas(pack, BLOCKS).write.option("compression", "snappy").parquet(f"{path}/blocks")
 
 
 def load_code(spark: SparkSession, path: str) -> Code:
