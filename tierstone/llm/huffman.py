@@ -39,7 +39,7 @@ DOCUMENTS_AT_ONCE = 512  # documents that go to Python at once
 CACHED_WORDS = 400_000  # words of a generation, of LONGEST bytes at most; a Python worker remembers two
 CACHED_BYTES = 32_000_000  # and bytes of words and ids, about
 LONGEST = 64
-TEXT_AT_ONCE = 4_000_000  # characters whose words are looked up together,
+TEXT_AT_ONCE = 4_000_000  # bytes of text whose words are looked up together,
 DOCUMENTS_TOGETHER = 65536  # and documents, at most
 
 STAGED = (
@@ -393,13 +393,17 @@ class Code:
         return [out[:, back[a:z]].T.ravel()[:n] for a, z, n in zip(bounds[:-1], bounds[1:], sizes, strict=True)]
 
 
-def _decoded(code: Code, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Rows of blocks with their ids, DECODED blocks in step."""
-    for frame in frames:
-        for start in range(0, len(frame), DECODED):
-            part = frame.iloc[start : start + DECODED]
-            found = code.decode_blocks(part["payload"].tolist(), part["points"].tolist(), part["n"].tolist())
-            yield from zip(part.itertuples(index=False), found, strict=True)
+def _decoded(code: Code, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """DECODED blocks in step: their rows, the ids of each, and for every piece of a document its row and the number of its first id."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, DECODED):
+            rows = batch.slice(start, DECODED)
+            points = [p.values.to_numpy() for p in rows.column("points")]
+            found = code.decode_blocks(rows.column("payload").to_pylist(), points, rows.column("n").to_pylist())
+            row_of = np.repeat(np.arange(rows.num_rows), rows.column("counts").value_lengths().to_numpy())
+            counts = [np.asarray(c.values.to_numpy(), np.int64) for c in rows.column("counts")]
+            firsts = [f + np.cumsum(c) - c for f, c in zip(rows.column("first").to_pylist(), counts, strict=True)]
+            yield rows, found, row_of, np.concatenate(firsts)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: int = BLOCK, max_bits: int = MAX_BITS) -> None:
@@ -427,15 +431,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block:
         before[row["shard"]] = total
         total += row["n"]
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            coded = [code.encode(np.frombuffer(ids, "<u4")) for ids in frame["ids"]]
-            frame["first"] = [before[s] + w for s, w in zip(frame["shard"], frame["within"], strict=True)]
-            frame["points"], frame["payload"] = [p for p, _ in coded], [b for _, b in coded]
-            yield frame[["shard", "block", "first", "n", "doc_ids", "doc_nos", "counts", "ends", "points", "payload"]]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = [code.encode(np.frombuffer(ids, "<u4")) for ids in batch.column("ids").to_pylist()]
+            shards, within = batch.column("shard").to_pylist(), batch.column("within").to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "shard": batch.column("shard"), "block": batch.column("block"),
+                "first": pa.array([before[s] + w for s, w in zip(shards, within, strict=True)], pa.int64()),
+                **{name: batch.column(name) for name in ("n", "doc_ids", "doc_nos", "counts", "ends")},
+                "points": pa.array([p for p, _ in coded], pa.list_(pa.int32())), "payload": pa.array([b for _, b in coded], pa.binary()),
+            })
 
     with arrow_rows(spark, DECODED):
-        staged.drop("seen", "times").mapInPandas(pack, BLOCKS).write.option("compression", "snappy").parquet(f"{path}/blocks")
+        staged.drop("seen", "times").mapInArrow(pack, BLOCKS).write.option("compression", "snappy").parquet(f"{path}/blocks")
 
 
 def load_code(spark: SparkSession, path: str) -> Code:
@@ -451,27 +459,28 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, piece, ids array<int>) per piece of a document; only documents longer than a block have several."""
     code = load_code(spark, path)
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, ids in _decoded(code, frames):
-            ends = np.cumsum(row.counts)
-            yield pd.DataFrame({
-                "doc_id": pd.array(row.doc_ids, "Int64"), "start": row.first + ends - row.counts,
-                "piece": row.block, "ids": np.split(ids.astype(np.int32), ends[:-1]),
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, found, row_of, firsts in _decoded(code, batches):
+            offsets = np.cumsum([0, *rows.column("counts").flatten().to_pylist()]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": rows.column("doc_ids").flatten(), "start": pa.array(firsts), "piece": rows.column("block").take(pa.array(row_of)),
+                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32))),
             })
 
-    return read_blocks(spark, path).mapInPandas(unpack, "doc_id long, start long, piece int, ids array<int>")
+    return read_blocks(spark, path).mapInArrow(unpack, "doc_id long, start long, piece int, ids array<int>")
 
 
 def _crc_pieces(code: Code):
-    def crcs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, found in _decoded(code, frames):
-            ids = found.astype("<u4").tobytes()
-            ends = np.cumsum(row.counts)
-            starts = ends - row.counts
-            yield pd.DataFrame({
-                "shard": row.shard, "doc_no": row.doc_nos, "doc_id": pd.array(row.doc_ids, "Int64"), "piece": row.block,
-                "start": row.first + starts, "n": row.counts,
-                "crc": [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)], "last": row.ends,
+    def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, found, row_of, firsts in _decoded(code, batches):
+            of, counts = pa.array(row_of), rows.column("counts").flatten()
+            ids = np.concatenate(found).astype("<u4", copy=False)
+            ends = np.cumsum(counts.to_numpy(), dtype=np.int64)
+            crc = [zlib.crc32(ids[a:z]) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "shard": rows.column("shard").take(of), "doc_no": rows.column("doc_nos").flatten(), "doc_id": rows.column("doc_ids").flatten(),
+                "piece": rows.column("block").take(of), "start": pa.array(firsts), "n": counts,
+                "crc": pa.array(crc, pa.int64()), "last": rows.column("ends").flatten(),
             })
 
     return crcs
@@ -504,7 +513,7 @@ def crc32_joined(first: int, second: int, length: int) -> int:
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, from the store alone."""
-    pieces = read_blocks(spark, path).mapInPandas(_crc_pieces(load_code(spark, path)), PIECES)
+    pieces = read_blocks(spark, path).mapInArrow(_crc_pieces(load_code(spark, path)), PIECES)
 
     @F.pandas_udf("long")
     def joined(parts: pd.Series) -> pd.Series:
