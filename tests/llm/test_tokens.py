@@ -81,6 +81,12 @@ def test_words_outlive_full_generations(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
 
 
+def test_places_of_wanted_words():
+    held = huffman.Generation(pa.array(["a", "b", "", "c"], pa.large_string()))
+    assert held.places(pa.array(["c", "x", "", "a"], pa.large_string())).tolist() == [3, -1, 2, 0]
+    assert held.places(huffman.NO_WORDS).tolist() == [] and huffman.Generation().places(held.words).tolist() == [-1] * 4
+
+
 def test_remembered_words_take_little_room():
     words = huffman.WordIds(tokenizer_path())
     words.encode(" ".join("".join(chr(97 + int(d)) for d in str(n)) for n in range(10_000, 30_000)))

@@ -83,6 +83,13 @@ class Generation(NamedTuple):
     def __len__(self) -> int:
         return len(self.words)
 
+    def places(self, wanted: pa.Array) -> np.ndarray:
+        """Where each of the distinct words stands, or -1. The table that is probed is that of the wanted ones, which are fewer."""
+        asked = pc.index_in(self.words, value_set=wanted)
+        place = np.full(len(wanted), -1)
+        place[asked.drop_null().to_numpy()] = np.flatnonzero(asked.is_valid().to_numpy(zero_copy_only=False))
+        return place
+
 
 class WordIds:
     """Ids of words without blanks, as little-endian unsigned 32-bit integers.
@@ -129,14 +136,13 @@ class WordIds:
         """The ids of each word; words that repeat are looked up once."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary
-        place = pc.index_in(distinct, value_set=self.newer.words).fill_null(-1).to_numpy().copy()
+        place = self.newer.places(distinct)
         lost = np.flatnonzero(place < 0)
-        before = pc.index_in(distinct.take(lost), value_set=self.older.words)
-        again = lost[before.is_valid().to_numpy(zero_copy_only=False)]
-        first = lost[before.is_null().to_numpy(zero_copy_only=False)]
+        before = self.older.places(distinct.take(lost))
+        again, first = lost[before >= 0], lost[before < 0]
         came = np.concatenate([again, first])
         added = distinct.take(came)
-        found = pa.concat_arrays([self.older.ids.take(before.drop_null()), self.all_made(distinct.take(first))])
+        found = pa.concat_arrays([self.older.ids.take(before[before >= 0]), self.all_made(distinct.take(first))])
         place[came] = len(self.newer) + np.arange(len(came))
         ids = pa.concat_arrays([self.newer.ids, found])
         self.remember(added, found)
