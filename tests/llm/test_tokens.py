@@ -103,6 +103,10 @@ def test_ids_are_counted_where_they_are_made(spark, documents):
     for row in staged:
         counted.update(dict(zip(row["seen"] or [], row["times"] or [], strict=True)))
     assert counted == expected_counts
+    shards = [r for r in staged if r["seen"]]
+    columns = {"seen": pa.array([r["seen"] for r in shards], pa.list_(pa.int32())), "times": pa.array([r["times"] for r in shards], pa.list_(pa.int64()))}
+    (whole,) = huffman._shards_counted(iter([pa.record_batch(columns)]))  # a row for each id and task, not for each id and shard
+    assert dict(zip(whole["id"].to_pylist(), whole["count"].to_pylist(), strict=True)) == expected_counts
     last = {r["shard"]: r["block"] for r in sorted(staged, key=lambda r: (r["shard"], r["block"]))}
     assert all((r["seen"] is not None) == (r["block"] == last[r["shard"]]) for r in staged)
 

@@ -257,12 +257,21 @@ class _Counts:
     def __init__(self):
         self.total = np.zeros(0, np.int64)
 
+    def room(self, top: int) -> None:
+        if top > len(self.total):
+            self.total = np.pad(self.total, (0, top - len(self.total)))
+
     def add(self, ids: bytes) -> None:
         part = np.bincount(np.frombuffer(ids, "<u4"))
-        if len(part) > len(self.total):
-            self.total = np.pad(self.total, (0, len(part) - len(self.total)))
+        self.room(len(part))
         self.total[: len(part)] += part
 
+    def add_counted(self, seen: np.ndarray, times: np.ndarray) -> None:
+        """Ids, each once and ascending, and how often each was seen."""
+        if len(seen):
+            self.room(int(seen[-1]) + 1)
+            self.total[seen] += times
+
     def row(self) -> dict:
         seen = np.flatnonzero(self.total)
         return {"seen": seen, "times": self.total[seen]}
@@ -412,6 +421,16 @@ def _decoded(code: Code, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa
             yield rows, found, row_of, np.concatenate(firsts)
 
 
+def _shards_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of the shards of a task, added up."""
+    counts = _Counts()
+    for batch in batches:
+        for seen, times in zip(batch.column("seen"), batch.column("times"), strict=True):
+            counts.add_counted(seen.values.to_numpy(), times.values.to_numpy())
+    found = counts.row()
+    yield pa.RecordBatch.from_pydict({"id": pa.array(found["seen"], pa.int32()), "count": pa.array(found["times"], pa.int64())})
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: int = BLOCK, max_bits: int = MAX_BITS) -> None:
     """Encode the text of every row (null: empty) and write the store to `path`.
 
@@ -424,7 +443,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block:
         raise ValueError("codes are placed in 16-bit words, so max_bits goes up to 16")
     with arrow_rows(spark, DOCUMENTS_AT_ONCE):
         staged = settle(stage(docs, tokenizer, end_id, block), "staged-ids")
-    each = staged.select(F.explode(F.arrays_zip("seen", "times")).alias("of")).select(F.col("of.seen").alias("id"), F.col("of.times").alias("count"))
+    each = staged.where(F.col("seen").isNotNull()).select("seen", "times").mapInArrow(_shards_counted, "id int, count long")
     counts = each.groupBy("id").agg(F.sum("count").alias("count")).orderBy("id").toPandas()
     counts["bits"] = limited_lengths(counts["count"].to_numpy(), max_bits).astype("int32")
     schema = "id int, bits int, count long"
