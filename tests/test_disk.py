@@ -1,13 +1,16 @@
 """What long jobs leave on disk, and how much their checks send."""
 
+import os
 import random
 import time
+from collections import Counter
 
-import pytest
-
+import __spark_entry__ as entry
 from tierstone.operators import quality as Q
 from tierstone.operators.quality import Check
-from tierstone.workload import evidence
+from tierstone.session import shared_folder
+from tierstone.sources.files import read_json_doc
+from tierstone.workload import evidence, lake
 from tierstone.workload.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,3 +59,37 @@ def test_declared_report_agrees_with_single_checks(frame):
 def test_a_key_is_one_entry_for_all_its_checks(frame):
     checks = [Check("p", "id", "unique")] + [Check("t", c, "relationships", parent=("p", "id")) for c in "abc"]
     assert Q._entries(frame("id int", 1, 2), "p", checks).count() == 2
+
+
+def test_ticket_exports_go_once_they_are_landed(spark):
+    before = set(os.listdir(shared_folder(spark)))
+    left, _ = left_behind(spark, lambda: entry.queries()["tickets_cursor"](spark, FOLDER))
+    made = {name.rpartition("-")[0] for name in set(os.listdir(shared_folder(spark))) - before}
+    assert not left and made == {"bronze"}
+
+
+def test_export_of_odd_orders(spark, frame):
+    """An order key that is null, repeated, or far off; lines of no order and without a key; orders moved once."""
+    orders = [(None, "1-URGENT"), (None, "5-LOW"), (1, "1-URGENT"), (1, "2-HIGH"), (999, None), (16_000, "5-LOW"), (-1, "1-URGENT")]
+    lines = [(1, 1, 5, 6, "F"), (1, 2, 5, None, "O"), (16_000, 1, 7, 8, None), (17, 1, 1, 1, "F"), (None, 1, 1, 1, "F")]
+    t = Tables(spark, FOLDER)
+    t.orders = frame("o_orderkey long, o_orderpriority string", *orders)
+    t.lineitem = frame("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string", *lines)
+
+    def ticket(key, priority):
+        solved = priority == "1-URGENT"
+        said = [("-".join(str(x) for x in line[:4] if x is not None), line[4]) for line in lines if key is not None and line[0] == key]
+        closing = [("closing" if key is None else f"{key}-closing", "solved")] if solved else []
+        document = None if key is None else key // 1000
+        return document, None if key is None else str(key), priority, "solved" if solved else "open", tuple(sorted(said + closing, key=str))
+
+    path = lake._export(t, True)
+    got = []
+    for d in read_json_doc(spark, path, lake._TICKET_DOCUMENT).collect():
+        assert d["next_cursor"] == max(x["updated_at"] for x in d["tickets"])
+        for x in d["tickets"]:
+            document = None if x["ticket_id"] is None else int(x["ticket_id"]) // 1000
+            got.append((document, x["ticket_id"], x["subject"], x["ticket_status"], tuple(sorted(((c["comment_id"], c["body"]) for c in x["comments"]), key=str))))
+    assert Counter(got) == Counter(ticket(*o) for o in orders)
+    names = [n for n in os.listdir(path) if n.startswith("part-")]
+    assert len(names) == 4 and all(n.endswith(".gz") for n in names)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierstone.operators.ranking import HOT_ROWS, ordinal
-from tierstone.session import drop_dir, escaped, settle
+from tierstone.session import PACKED, drop_dir, escaped, scratch, settle
 from tierstone.sources.files import listing, read_csv_text, read_json_doc, read_json_text
 
 # The lineage columns every landed row carries.
@@ -35,7 +35,7 @@ def as_text(df: DataFrame) -> DataFrame:
 
 def load_bronze(
     df: DataFrame, table_dir: str, source: str | Column, run_id: str, now: str | None = None, mixed: bool = False,
-    replace_empty: bool = False,
+    replace_empty: bool = False, packed: bool = False,
 ) -> int:
     """Land df under its source label(s) and return the number of rows written.
 
@@ -44,7 +44,7 @@ def load_bronze(
     replace_empty says that it empties its label, which must then be a text. Rows go
     straight from the reading task to its files. Set mixed where the labels of a
     column lie mixed in the input: the rows are then rebalanced by label, and AQE
-    splits the files of a label with most of the rows and merges the tiny ones.
+    splits the files of a label with most of the rows and merges the tiny ones. packed is for large tables (see PACKED).
     """
     if replace_empty and not isinstance(source, str):
         raise ValueError("an empty batch has no labels of a column to empty")
@@ -57,13 +57,8 @@ def load_bronze(
     rows = as_text(df.withColumn(SOURCE, label)).withColumn(LOADED_AT, stamp).withColumn(RUN, F.lit(run_id))
     if mixed:
         rows = rows.hint("rebalance", F.col(SOURCE))
-    (
-        rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(SOURCE)
-        .parquet(table_dir)
-    )
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.option("compression", PACKED) if packed else writer).partitionBy(SOURCE).parquet(table_dir)
     written = seen.get["rows"]
     if replace_empty and not written:
         drop_dir(df.sparkSession, f"{table_dir}/{SOURCE}={escaped(df.sparkSession, source)}")
@@ -185,18 +180,19 @@ def land_tickets(
     an updated ticket lands again; `current` picks the versions that count. A document
     is read by one task, so a large export should come as many files; it is parsed once.
     """
-    documents = settle(read_json_doc(spark, pattern, schema).select("tickets", "next_cursor"), "ticket-documents")
-    tickets = documents.select(F.inline("tickets"))
-    label = "tickets.json"
-    if cursor is not None:
-        tickets, label = tickets.filter(F.col("updated_at") > F.lit(cursor)), f"{label}:{cursor}"
-    parents, comments = flatten_children(tickets, "comments", ["ticket_id"])
-    # comments first: a retry after a failure between the two replaces them
-    loaded = {
-        "comments": load_bronze(comments, comments_dir, f"{label}:comments", run_id, now),
-        "tickets": load_bronze(parents, tickets_dir, label, run_id, now),
-    }
-    return loaded | {"next_cursor": documents.agg(F.max("next_cursor")).first()[0]}
+    with scratch(spark):  # the parsed documents go once they are landed
+        documents = settle(read_json_doc(spark, pattern, schema).select("tickets", "next_cursor"), "ticket-documents", packed=True)
+        tickets = documents.select(F.inline("tickets"))
+        label = "tickets.json"
+        if cursor is not None:
+            tickets, label = tickets.filter(F.col("updated_at") > F.lit(cursor)), f"{label}:{cursor}"
+        parents, comments = flatten_children(tickets, "comments", ["ticket_id"])
+        # comments first: a retry after a failure between the two replaces them
+        loaded = {
+            "comments": load_bronze(comments, comments_dir, f"{label}:comments", run_id, now, packed=True),
+            "tickets": load_bronze(parents, tickets_dir, label, run_id, now, packed=True),
+        }
+        return loaded | {"next_cursor": documents.agg(F.max("next_cursor")).first()[0]}
 
 
 def land_events(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierstone.operators.incremental import load_since
 from tierstone.plans.build import gold_layer, read_silver
-from tierstone.session import fresh_path, settle
+from tierstone.session import freed_shuffles, fresh_path, scratch, settle
 from tierstone.sources.bronze import land_tickets, load_bronze, read_bronze
 from tierstone.workload import standins as I
 from tierstone.workload import star  # noqa: F401  (the SQL of the marts is registered there)
@@ -109,30 +109,38 @@ DOCUMENTS_A_FILE = 16  # some megabytes
 def _export(t: Tables, updated: bool) -> str:
     """Orders as ticket documents, up to a thousand order keys in each; their lines are comments. A file is
     an array of documents, so that a large export is no folder of small files. In the updated export urgent orders are solved and have one comment more."""
-    urgent = F.lit(updated) & (F.col("o_orderpriority") == "1-URGENT")
-    lines = t.lineitem.groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("comment_id"), F.col("l_linestatus").alias("body"), F.lit("true").alias("is_public"))).alias("lines")
+    document = lambda key: F.floor(F.col(key) / 1000)
+    file = lambda key: F.floor(document(key) / DOCUMENTS_A_FILE).alias("file")
+    orders = t.orders.select(file("o_orderkey"), F.col("o_orderkey").alias("number"), F.lit(True).alias("is_order"), "o_orderpriority")
+    lines = t.lineitem.filter("l_orderkey IS NOT NULL").select(
+        file("l_orderkey"), F.col("l_orderkey").alias("number"), F.lit(False).alias("is_order"), "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"
     )
-    closing = F.array(F.struct(F.concat_ws("-", "o_orderkey", F.lit("closing")).alias("comment_id"), F.lit("solved").alias("body"), F.lit("true").alias("is_public")))
-    none = F.filter(closing, lambda c: F.lit(False))
-    said = F.coalesce("lines", none)
-    tickets = t.orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
-        F.floor(F.col("o_orderkey") / 1000).alias("document"),
+    # orders and lines move once, as numbers, to the task that writes their file; all groups below lie within it
+    rows = orders.unionByName(lines, allowMissingColumns=True).repartition("file")
+    comment = F.struct(F.concat_ws("-", "number", "l_linenumber", "l_partkey", "l_suppkey").alias("comment_id"), F.col("l_linestatus").alias("body"), F.lit("true").alias("is_public"))
+    said = rows.groupBy("file", "number").agg(
+        F.collect_list(F.when(F.col("is_order"), F.struct("o_orderpriority"))).alias("orders"), F.collect_list(F.when(~F.col("is_order"), comment)).alias("lines")
+    )
+    urgent = F.lit(updated) & (F.col("order.o_orderpriority") == "1-URGENT")
+    closing = F.array(F.struct(F.concat_ws("-", "number", F.lit("closing")).alias("comment_id"), F.lit("solved").alias("body"), F.lit("true").alias("is_public")))
+    tickets = said.select("file", "number", "lines", F.explode("orders").alias("order")).select(
+        "file",
+        document("number").alias("document"),
         F.struct(
-            text("o_orderkey").alias("ticket_id"),
-            F.col("o_orderpriority").alias("subject"),
+            text("number").alias("ticket_id"),
+            F.col("order.o_orderpriority").alias("subject"),
             F.when(urgent, "solved").otherwise("open").alias("ticket_status"),
             F.when(urgent, "2026-03-09T00:00:00Z").otherwise("2026-03-01T00:00:00Z").alias("updated_at"),
-            F.when(urgent, F.concat(said, closing)).otherwise(said).alias("comments"),
+            F.when(urgent, F.concat("lines", closing)).otherwise(F.col("lines")).alias("comments"),
         ).alias("ticket"),
     )
-    documents = tickets.groupBy("document").agg(
+    documents = tickets.groupBy("file", "document").agg(
         F.max("ticket.updated_at").alias("next_cursor"), F.collect_list("ticket").alias("tickets")
     )
-    said = documents.select(F.floor(F.col("document") / DOCUMENTS_A_FILE).alias("file"), F.to_json(F.struct("next_cursor", "tickets")).alias("text"))
+    said = documents.select("file", F.to_json(F.struct("next_cursor", "tickets")).alias("text"))
     files = said.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value"))
     path = fresh_path(t.spark, "tickets")
-    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    files.select("value").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     return path
 
 
@@ -148,8 +156,11 @@ def tickets_cursor(t: Tables) -> DataFrame:
     per ticket in its newest version, each comment once."""
     bronze = fresh_path(t.spark, "bronze")
     places = f"{bronze}/zendesk__tickets", f"{bronze}/zendesk__ticket_comments"
-    first = land_tickets(t.spark, _export(t, False), *places, "run-1", _TICKET_DOCUMENT)
-    land_tickets(t.spark, _export(t, True), *places, "run-2", _TICKET_DOCUMENT, cursor=first["next_cursor"])
+    with freed_shuffles(t.spark):
+        with scratch(t.spark):  # an export goes once it is landed
+            first = land_tickets(t.spark, _export(t, False), *places, "run-1", _TICKET_DOCUMENT)
+        with scratch(t.spark):
+            land_tickets(t.spark, _export(t, True), *places, "run-2", _TICKET_DOCUMENT, cursor=first["next_cursor"])
     silver = read_silver(t.spark, bronze, ("zendesk__tickets", "zendesk__ticket_comments"))
     said = silver["ticket_comments"].groupBy("ticket_id").agg(F.count("comment_id").alias("comments"))
     return plain(
