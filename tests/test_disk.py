@@ -61,6 +61,15 @@ def test_a_key_is_one_entry_for_all_its_checks(frame):
     assert Q._entries(frame("id int", 1, 2), "p", checks).count() == 2
 
 
+def test_landed_marts_leave_no_shuffle_files(spark):
+    def job():
+        mart = entry.queries()["landed_marts"](spark, FOLDER)
+        return mart, len(mart.collect())
+
+    left, (mart, rows) = left_behind(spark, job)
+    assert not left and rows == len(mart.collect()) > 0
+
+
 def test_ticket_exports_go_once_they_are_landed(spark):
     before = set(os.listdir(shared_folder(spark)))
     left, _ = left_behind(spark, lambda: entry.queries()["tickets_cursor"](spark, FOLDER))

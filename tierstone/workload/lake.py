@@ -39,6 +39,9 @@ LANDED = {
     "zendesk__ticket_comments": I.ticket_comments,
 }
 
+# Landed tables of one row for each order or more.
+_LARGE = ("appdb__orders", "appdb__order_items", "appdb__shipments", "stripe__charges", "stripe__refunds")
+
 _MARTS = {
     "mart_customer_360": ("customer_id", "order_count", "lifetime_net_credits", "late_delivery_rate"),
     "mart_product_performance": ("product_sku", "units_sold", "revenue_credits", "refund_rate"),
@@ -58,17 +61,19 @@ def _marts_sql() -> str:
 @query("landed_marts", _marts_sql())
 def landed_marts(t: Tables) -> DataFrame:
     """Eighteen tables landed as text, the conformed layer over them, and the three marts
-    over written dimensions and facts."""
+    over written dimensions and facts, worked out one after the other so that each leaves the room of its shuffles."""
     bronze = fresh_path(t.spark, "bronze")
-    with ThreadPoolExecutor(4) as pool:  # the last tasks of one table beside the first of the next
-        list(pool.map(lambda name: load_bronze(LANDED[name](t), f"{bronze}/{name}", f"{name}.csv", "run-1"), LANDED))
-    silver = read_silver(t.spark, bronze, LANDED)
-    gold = gold_layer(silver, I.window(t), lambda name, df: df if name in _MARTS else settle(df, name))
-    parts = [
-        gold[mart].select(F.lit(mart).alias("mart"), text(key).alias("id"), F.col(n).cast("bigint").alias("n"),
-                          F.col(credits).cast("double").alias("credits"), F.col(rate).cast("double").alias("rate"))
-        for mart, (key, n, credits, rate) in _MARTS.items()
-    ]
+    land = lambda name: load_bronze(LANDED[name](t), f"{bronze}/{name}", f"{name}.csv", "run-1", packed=name in _LARGE)
+    with freed_shuffles(t.spark):
+        with ThreadPoolExecutor(4) as pool:  # the last tasks of one table beside the first of the next
+            list(pool.map(land, LANDED))
+        silver = read_silver(t.spark, bronze, LANDED)
+        gold = gold_layer(silver, I.window(t), lambda name, df: df if name in _MARTS else settle(df, name, packed=name.startswith("fct_")))
+        parts = [
+            settle(gold[mart].select(F.lit(mart).alias("mart"), text(key).alias("id"), F.col(n).cast("bigint").alias("n"),
+                                     F.col(credits).cast("double").alias("credits"), F.col(rate).cast("double").alias("rate")), mart)
+            for mart, (key, n, credits, rate) in _MARTS.items()
+        ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
