@@ -5,12 +5,16 @@ import random
 import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from tierstone.operators import quality as Q
 from tierstone.operators.quality import Check
-from tierstone.session import shared_folder
+from tierstone.plans import gold as G
+from tierstone.session import settle, shared_folder
 from tierstone.sources.files import read_json_doc
 from tierstone.workload import evidence, lake
+from tierstone.workload import standins as I
 from tierstone.workload.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -61,6 +65,22 @@ def test_a_key_is_one_entry_for_all_its_checks(frame):
     assert Q._entries(frame("id int", 1, 2), "p", checks).count() == 2
 
 
+def test_lines_of_an_order_lie_together(spark):
+    """Without broadcasts the written lines of an order are in one file, beside each other, so they pack well."""
+    t, settings = Tables(spark, FOLDER), {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        lines = settle(G.fct_order_items(I.order_items(t), I.plain_orders(t), I.products(t)), "lines", packed=True)
+        places = lines.groupBy(F.input_file_name().alias("file"), "order_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len({p["file"] for p in places}) > 1 and len(places) == len({p["order_id"] for p in places})
+    assert sum(p["n"] for p in places) == t.lineitem.count()
+
+
 def test_landed_marts_leave_no_shuffle_files(spark):
     def job():
         mart = entry.queries()["landed_marts"](spark, FOLDER)
