@@ -63,7 +63,11 @@ def landed_marts(t: Tables) -> DataFrame:
     """Eighteen tables landed as text, the conformed layer over them, and the three marts
     over written dimensions and facts, worked out one after the other so that each leaves the room of its shuffles."""
     bronze = fresh_path(t.spark, "bronze")
-    land = lambda name: load_bronze(LANDED[name](t), f"{bronze}/{name}", f"{name}.csv", "run-1", packed=name in _LARGE)
+
+    def land(name: str) -> int:
+        now, mixed, replace_empty, packed = None, False, False, name in _LARGE
+        return load_bronze(LANDED[name](t), f"{bronze}/{name}", f"{name}.csv", "run-1", now, mixed, replace_empty, packed)
+
     with freed_shuffles(t.spark):
         with ThreadPoolExecutor(4) as pool:  # the last tasks of one table beside the first of the next
             list(pool.map(land, LANDED))
